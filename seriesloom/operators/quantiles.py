@@ -73,7 +73,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dic
         for i, (metric, lo, hi) in enumerate(spans):
             inside = (F.col("metric") == metric) & F.col("x").between(lo, hi)
             which = F.when(inside, F.lit(i)).otherwise(which)
-            share = (F.col("x") / (hi - lo) - lo / (hi - lo)) if math.isfinite(hi - lo) else (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2)
+            share = (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: the span may overflow
             linear = F.when(F.col("x") == hi, F.lit(LINEAR_BINS)).otherwise(
                 F.least(F.greatest(F.floor(share * LINEAR_BINS), F.lit(0)), F.lit(LINEAR_BINS - 1))
             )

@@ -4,6 +4,7 @@ from seriesloom.plans import (  # noqa: F401 - imported to register
     queries_columns,
     queries_joins,
     queries_series,
+    queries_stats,
 )
 from seriesloom.plans.registry import QUERIES, SQL
 
