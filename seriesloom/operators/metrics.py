@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.distributions import t_quantile
+from seriesloom.functions.distributions import normal_quantile, t_quantile
 from seriesloom.functions.expressions import as_col, ratio
 from seriesloom.functions.windows import series_window
 
+T_TABLE_SIZE = 150
+
 
 def metric_columns(y: str | Column = "y", yhat: str | Column = "yhat") -> dict[str, Column]:
     """MAE, MSE, RMSE, R2 (1 - SSE/SST, may be negative) and MAPE in percent
@@ -59,21 +61,27 @@ def log_rmse_ratio(df: DataFrame, *, keys: Sequence[str], split: str, y: str = "
     return out.withColumn("ratio", ratio("test_log_rmse", "train_log_rmse"))
 
 
+@lru_cache(maxsize=8)
+def _t_table(p: float) -> tuple[float, ...]:
+    return tuple(t_quantile(p, d) for d in range(1, T_TABLE_SIZE + 1))
+
+
 def t_critical(n: Column, confidence: float) -> Column:
     """Two-sided t critical value for ``n - 1`` degrees of freedom.
 
-    Values up to 30 degrees are computed once on the driver; beyond, the
-    Cornish-Fisher expansion around the normal quantile is accurate to 1e-7.
+    Values for small samples are computed once on the driver; beyond, the
+    Cornish-Fisher expansion around the normal quantile is accurate to 1e-10.
     """
     p = 0.5 + confidence / 2
-    table = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, 31)])
+    table = F.array(*[F.lit(t) for t in _t_table(p)])
     df = (n - 1).cast("double")
-    z = t_quantile(p, 1e9)
+    z = normal_quantile(p)
     g1, g2 = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
     wide = F.lit(z) + g1 / df + g2 / (df * df) + g3 / F.pow(df, F.lit(3)) + g4 / F.pow(df, F.lit(4))
-    return F.when(df < 1, F.lit(None)).when(df <= 30, F.try_element_at(table, df.cast("int"))).otherwise(wide)
+    small = F.try_element_at(table, df.cast("int"))
+    return F.when(df < 1, F.lit(None)).when(df <= T_TABLE_SIZE, small).otherwise(wide)
 
 
 def metric_intervals(df: DataFrame, *, keys: Sequence[str], y: str = "y", yhat: str = "yhat", confidence: float = 0.95) -> DataFrame:

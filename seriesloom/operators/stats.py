@@ -184,6 +184,24 @@ def predict_linear(df: DataFrame, model: Mapping, name: str = "prediction") -> D
     return df.withColumn(name, value)
 
 
+def two_factor_impact(df: DataFrame, *, keys: Sequence[str], target: str, factors: tuple[str, str]) -> DataFrame:
+    """Standardised coefficients of two factors and their shares of the sum
+    of absolute values, in closed form from three correlations."""
+    a, b = factors
+    rows = df.na.drop("any", subset=[target, a, b]).groupBy(*keys).agg(
+        F.corr(target, a).alias("_ya"), F.corr(target, b).alias("_yb"), F.corr(a, b).alias("_ab")
+    )
+    rest = 1 - F.col("_ab") * F.col("_ab")
+    out = rows.withColumns(
+        {
+            f"coef_{a}": ratio(F.col("_ya") - F.col("_ab") * F.col("_yb"), rest),
+            f"coef_{b}": ratio(F.col("_yb") - F.col("_ab") * F.col("_ya"), rest),
+        }
+    ).drop("_ya", "_yb", "_ab")
+    size = F.abs(f"coef_{a}") + F.abs(f"coef_{b}")
+    return out.withColumns({f"importance_{f}": ratio(F.abs(f"coef_{f}"), size) for f in factors})
+
+
 # ------------------------------------------------------------ diagnostics
 
 

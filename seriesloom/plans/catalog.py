@@ -2,6 +2,7 @@
 
 from seriesloom.plans import (  # noqa: F401 - imported to register
     queries_columns,
+    queries_forecast,
     queries_joins,
     queries_series,
     queries_stats,
