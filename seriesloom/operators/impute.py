@@ -8,7 +8,10 @@ partitions the calendar bounds.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,9 +104,6 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
     per calendar period; distances are worked out one incomplete row at a time
     inside the task and no pair is ever emitted.
     """
-    import numpy as np
-    import pandas as pd
-
     names = list(cols)
 
     def impute(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,41 +136,56 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
     return doubled.groupBy(*keys).applyInPandas(impute, T.StructType(fields))
 
 
-def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], rounds: int = 10, reg: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
-    """Round-robin ridge regression of every incomplete column on the others.
+def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], rounds: int = 10, alpha: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
+    """Regress every incomplete column on the others, up to ``rounds`` times.
 
-    Starts from the key means; every round fits each column on the rows that
-    hold it (one pass over the table) and re-predicts its missing cells.  The
-    table is cut loose with a reliable checkpoint after each round, and the
-    rounds end when no missing cell moves by more than ``tolerance`` of its
-    column's deviation.
+    Starts from the key means (table means where a key has none).  One round
+    is one aggregate, which collects the moments of all fits at once over the
+    rows that hold each target, and one projection that re-predicts the
+    missing cells.  A reliable checkpoint ends each round so that the plan
+    does not grow; the rounds stop when no cell moves by more than
+    ``tolerance`` of its column's deviation.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
+    from seriesloom.operators.stats import covariance, solve_centred
     from seriesloom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     names = list(cols)
-    missing = {c: F.col(c).isNull() for c in names}
-    marked = df.withColumns({f"_gap_{c}": m for c, m in missing.items()})
-    work = fill_mean(marked, keys=keys, cols=names)
-    overall = work.agg(*[F.avg(c).alias(c) for c in names], *[F.stddev_samp(c).alias(f"sd_{c}") for c in names]).first()
-    work = work.na.fill({c: overall[c] for c in names if overall[c] is not None}).checkpoint()
-    gaps = work.agg(*[F.count_if(f"_gap_{c}").alias(c) for c in names]).first()
-    targets = [c for c in names if gaps[c]]
+    work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in names})
+    work = fill_mean(work.withColumns({c: F.col(c).cast("double") for c in names}), keys=keys, cols=names).checkpoint()
+    start = work.agg(
+        *[F.avg(c).alias(c) for c in names],
+        *[F.stddev_samp(c).alias(f"sd_{c}") for c in names],
+        *[F.count_if(f"_gap_{c}").alias(f"n_{c}") for c in names],
+    ).first()
+    work = work.na.fill({c: start[c] for c in names if start[c] is not None})
+    targets = [c for c in names if start[f"n_{c}"] and start[c] is not None]
     for _ in range(rounds if targets else 0):
+        fits = []
+        for c in targets:
+            order = [*[o for o in names if o != c], c]
+            seen = [F.when(~F.col(f"_gap_{c}"), F.col(o)) for o in order]
+            fits.append(
+                F.struct(
+                    F.count(seen[-1]).alias("n"),
+                    F.array(*[F.avg(x) for x in seen]).alias("means"),
+                    F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(seen, 2)]).alias("covs"),
+                ).alias(c)
+            )
+        moments = work.agg(*fits).first()
+        update = {}
         for c in targets:
-            others = [o for o in names if o != c]
-            vectors = VectorAssembler(inputCols=others, outputCol="_x").transform(work)
-            fit = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_y", regParam=reg, solver="normal")
-            predicted = fit.fit(vectors.filter(~F.col(f"_gap_{c}"))).transform(vectors)
-            value = F.when(F.col(f"_gap_{c}"), F.col("_y")).otherwise(F.col(c))
-            work = predicted.withColumns({c: value, f"_move_{c}": F.abs(value - F.col(c))}).drop("_x", "_y")
-        work = work.checkpoint()
-        moved = work.agg(*[F.max(f"_move_{c}").alias(c) for c in targets]).first()
-        work = work.drop(*[f"_move_{c}" for c in targets])
-        if all(moved[c] <= tolerance * (overall[f"sd_{c}"] or 1.0) for c in targets):
+            m, others = moments[c], [o for o in names if o != c]
+            slopes, intercept, _ = solve_centred(covariance(m.covs, len(names)), np.array(m.means), alpha)
+            value = F.lit(intercept)
+            for o, b in zip(others, slopes.tolist()):
+                value = value + F.col(o) * b
+            update[c] = F.when(F.col(f"_gap_{c}"), value).otherwise(F.col(c))
+        moved = {f"_move_{c}": F.abs(update[c] - F.col(c)) for c in targets}
+        work = work.withColumns({**update, **moved}).checkpoint()
+        largest = work.agg(*[F.max(f"_move_{c}").alias(c) for c in targets]).first()
+        work = work.drop(*moved)
+        if all(largest[c] <= tolerance * (start[f"sd_{c}"] or 1.0) for c in targets):
             break
     return work.select(*df.columns)
 

@@ -4,6 +4,7 @@ from seriesloom.plans import (  # noqa: F401 - imported to register
     queries_columns,
     queries_forecast,
     queries_joins,
+    queries_models,
     queries_series,
     queries_stats,
 )
