@@ -28,13 +28,13 @@ def scale_on_train(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], m
     of each key, applied to all its rows."""
     on_train = {c: F.when(F.col(split) == "train", F.col(c)) for c in cols}
     if method == "standard":
-        shift, size = F.avg, F.stddev_pop
+        shift, size = F.avg, lambda x, w: F.stddev_pop(x).over(w)
     else:
-        shift, size = F.min, lambda x: F.max(x) - F.min(x)
-    stats = df.groupBy(*keys).agg(
-        *[shift(x).alias(f"_a_{c}") for c, x in on_train.items()], *[size(x).alias(f"_b_{c}") for c, x in on_train.items()]
+        shift, size = F.min, lambda x, w: F.max(x).over(w) - F.min(x).over(w)
+    whole = Window.partitionBy(*keys)
+    joined = df.withColumns(
+        {f"_a_{c}": shift(x).over(whole) for c, x in on_train.items()} | {f"_b_{c}": size(x, whole) for c, x in on_train.items()}
     )
-    joined = df.join(stats, list(keys))
     scaled = {
         c: ratio(F.col(c) - F.col(f"_a_{c}"), F.when(F.col(f"_b_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_b_{c}")))
         for c in cols

@@ -140,8 +140,8 @@ def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], r
     """Regress every incomplete column on the others, up to ``rounds`` times.
 
     Starts from the key means (table means where a key has none).  One round
-    is one aggregate, which collects the moments of all fits at once over the
-    rows that hold each target, and one projection that re-predicts the
+    is one aggregate, which yields the moments of all fits at once (one row per
+    target, over the rows that hold it), and one projection that re-predicts the
     missing cells.  A reliable checkpoint ends each round so that the plan
     does not grow; the rounds stop when no cell moves by more than
     ``tolerance`` of its column's deviation.
@@ -161,22 +161,18 @@ def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], r
     work = work.na.fill({c: start[c] for c in names if start[c] is not None})
     targets = [c for c in names if start[f"n_{c}"] and start[c] is not None]
     for _ in range(rounds if targets else 0):
-        fits = []
-        for c in targets:
-            order = [*[o for o in names if o != c], c]
-            seen = [F.when(~F.col(f"_gap_{c}"), F.col(o)) for o in order]
-            fits.append(
-                F.struct(
-                    F.count(seen[-1]).alias("n"),
-                    F.array(*[F.avg(x) for x in seen]).alias("means"),
-                    F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(seen, 2)]).alias("covs"),
-                ).alias(c)
-            )
-        moments = work.agg(*fits).first()
+        held = F.filter(F.array(*[F.when(~F.col(f"_gap_{c}"), F.lit(c)) for c in targets]), lambda t: t.isNotNull())
+        rows = work.withColumn("_target", F.explode(held)).groupBy("_target").agg(
+            F.array(*[F.avg(c) for c in names]).alias("means"),
+            F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(names, 2)]).alias("covs"),
+        )
+        moments = {row["_target"]: row for row in rows.collect()}
         update = {}
         for c in targets:
-            m, others = moments[c], [o for o in names if o != c]
-            slopes, intercept, _ = solve_centred(covariance(m.covs, len(names)), np.array(m.means), alpha)
+            others = [o for o in names if o != c]
+            at = [*(names.index(o) for o in others), names.index(c)]
+            cov = covariance(moments[c].covs, len(names))[np.ix_(at, at)]
+            slopes, intercept, _ = solve_centred(cov, np.array(moments[c].means)[at], alpha)
             value = F.lit(intercept)
             for o, b in zip(others, slopes.tolist()):
                 value = value + F.col(o) * b
@@ -244,15 +240,13 @@ def clean(
 
 
 def cap_per_key(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], z_limit: float = 3.0) -> DataFrame:
-    """Cap at mean +- ``z_limit`` sample deviations of the series."""
-    stats = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"_mean_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_sd_{c}") for c in cols]
-    )
-    out = df.join(stats, list(keys), "left")
+    """Cap at mean +- ``z_limit`` sample deviations of the series (panel grain)."""
+    whole = Window.partitionBy(*keys)
+    out = df.withColumns({f"_mean_{c}": F.avg(c).over(whole) for c in cols} | {f"_sd_{c}": F.stddev_samp(c).over(whole) for c in cols})
 
     def capped(c: str) -> Column:
         mean, reach = F.col(f"_mean_{c}"), F.col(f"_sd_{c}") * z_limit
         bounded = F.least(F.greatest(F.col(c), mean - reach), mean + reach)
         return F.when(F.col(c).isNull() | reach.isNull(), as_col(c)).otherwise(bounded)
 
-    return out.withColumns({c: capped(c) for c in cols}).drop(*stats.columns[len(keys):])
+    return out.withColumns({c: capped(c) for c in cols}).drop(*[f"_{s}_{c}" for c in cols for s in ("mean", "sd")])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.expressions import attach_row, finite
@@ -120,3 +120,36 @@ def flag_beyond(df: DataFrame, col: str, *, deviations: float = 2.0, flag: str =
     """Flag values outside mean +- ``deviations`` sample deviations."""
     out = _with_moments(df, [col])
     return out.withColumn(flag, F.coalesce(_z(col) > deviations, F.lit(False))).drop("_m")
+
+
+def clip_flagged_series(
+    df: DataFrame,
+    cols: Sequence[str],
+    *,
+    keys: Sequence[str],
+    z_limit: float = 3.0,
+    iqr_factor: float = 1.5,
+    caps: tuple[float, float] = (0.01, 0.99),
+) -> DataFrame:
+    """``clip_flagged_columns`` series by series, for panels: the calendar
+    bounds a series, so its statistics are a window over it."""
+    whole = Window.partitionBy(*keys)
+    probs = [caps[0], 0.25, 0.75, caps[1]]
+    out = df
+    for c in cols:
+        x = F.col(c).cast("double")
+        out = out.withColumns(
+            {
+                "_m": F.avg(x).over(whole),
+                "_s": F.stddev_pop(x).over(whole),
+                "_lo": F.min(x).over(whole),
+                "_hi": F.max(x).over(whole),
+                "_q": F.percentile(x, F.array(*[F.lit(p) for p in probs])).over(whole),
+            }
+        )
+        low, q25, q75, high = (F.col("_q")[i] for i in range(4))
+        spread = (q75 - q25) * iqr_factor
+        reach = F.greatest(F.col("_hi") - F.col("_m"), F.col("_m") - F.col("_lo"))
+        flagged = (reach > F.col("_s") * z_limit) | (F.col("_lo") < q25 - spread) | (F.col("_hi") > q75 + spread)
+        out = out.withColumn(c, F.when(flagged, clip(c, low, high)).otherwise(F.col(c)))
+    return out.drop("_m", "_s", "_lo", "_hi", "_q")

@@ -15,7 +15,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 
 from seriesloom.operators.models import fit_forest
-from seriesloom.operators.stats import _complete, _moments, covariance, raw_gram_matrix, solve_centred, vif_values
+from seriesloom.operators.stats import column_moments, raw_gram_matrix, solve_centred, vif_values
 
 
 def select_by_vif(df: DataFrame, features: Sequence[str], *, threshold: float = 10.0, max_features: int | None = None) -> list[str]:
@@ -67,16 +67,14 @@ def rfe_forest(df: DataFrame, features: Sequence[str], target: str, *, keep: int
 
 def rfe_ridge(df: DataFrame, features: Sequence[str], target: str, *, keep: int | None = None, alpha: float = 1.0) -> list[str]:
     """Eliminate by the smallest standardised ridge coefficient; keeps
-    ``min(sqrt(n), p)`` features by default.  One data pass in all."""
-    names = [*features, target]
-    m = _complete(df.select(*names), names).agg(*_moments(names)).first()
-    cov = covariance(m.covs, len(names))
+    ``min(sqrt(n), p)`` features by default.  The data is read for the moments only."""
+    n, _, cov = column_moments(df, [*features, target])
     scale = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
     unit, kept = cov / np.outer(scale, scale), list(range(len(features)))
-    keep = keep or min(int(math.sqrt(m.n)), len(features))
+    keep = keep or min(int(math.sqrt(n)), len(features))
     while len(kept) > keep:
         at = [*kept, len(features)]
-        slopes, _, _ = solve_centred(unit[np.ix_(at, at)], np.zeros(len(at)), alpha / m.n)
+        slopes, _, _ = solve_centred(unit[np.ix_(at, at)], np.zeros(len(at)), alpha / n)
         kept.pop(int(np.argmin(np.abs(slopes))))
     return [features[i] for i in kept]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.windows import position, series_window
@@ -24,8 +24,10 @@ def seasonal_decompose(df: DataFrame, *, keys: Sequence[str], date: str, col: st
         edges = F.lag(x, half).over(w) + F.lead(x, half).over(w)
         trend = F.when(F.count(x).over(inner) == period - 1, (F.sum(x).over(inner) + edges / 2) / period)
     parts = df.withColumns({"trend": trend, "_phase": F.pmod(position(w), F.lit(period))})
-    phase = parts.groupBy(*keys, "_phase").agg(F.avg(x - F.col("trend")).alias("_mean"))
-    level = phase.groupBy(*keys).agg(F.avg("_mean").alias("_level"))
-    seasonal = phase.join(level, list(keys)).select(*keys, "_phase", (F.col("_mean") - F.col("_level")).alias("seasonal"))
-    out = parts.join(seasonal, [*keys, "_phase"], "left").drop("_phase")
+    by_phase = Window.partitionBy(*keys, "_phase")
+    parts = parts.withColumns(
+        {"_mean": F.avg(x - F.col("trend")).over(by_phase), "_first": F.row_number().over(by_phase.orderBy(date)) == 1}
+    )
+    level = F.avg(F.when(F.col("_first"), F.col("_mean"))).over(Window.partitionBy(*keys))
+    out = parts.withColumn("seasonal", F.col("_mean") - level).drop("_phase", "_mean", "_first")
     return out.withColumn("resid", F.col(col) - F.col("trend") - F.col("seasonal"))

@@ -7,14 +7,20 @@ from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.distributions import chi2_sf, normal_quantile
 from seriesloom.functions.expressions import attach_row, finite, ratio
 from seriesloom.functions.windows import series_window
+from seriesloom.operators.projections import replace_infinite
 from seriesloom.operators.quantiles import quantiles
 
+# Up to this many columns a covariance matrix is planned as one expression each.
+FEW_COLUMNS = 6
+
 # ------------------------------------------------------------ profiles
 
 
@@ -139,15 +145,32 @@ def solve_centred(cov: np.ndarray, means: np.ndarray, penalty: float = 0.0) -> t
     return slopes, float(means[k] - slopes @ means[:k]), float(max(residual, 0.0))
 
 
+def column_moments(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and population covariances over complete rows.
+
+    A few columns are one aggregate of expressions; many go through Spark
+    ML's vector statistics, whose cost in plan size does not grow with their
+    number.  Only the k x k result reaches the driver.
+    """
+    complete = _complete(df.select(*names), names)
+    k = len(names)
+    if k <= FEW_COLUMNS:
+        m = complete.agg(*_moments(names)).first()
+        return m.n, np.array(m.means, dtype=float), covariance(m.covs, k)
+    vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(complete).select("v")
+    stats = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first().s
+    n, sd = stats["count"], np.sqrt(stats["variance"].toArray() * (stats["count"] - 1) / stats["count"])
+    corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
+    return n, stats["mean"].toArray(), corr * np.outer(sd, sd)
+
+
 def ols(df: DataFrame, xs: Sequence[str], y: str, *, alpha: float = 0.0) -> dict:
-    """Whole-table least squares (ridge with ``alpha``): one aggregate pass,
-    one small solve on the driver."""
-    names = [*xs, y]
-    m = _complete(df.select(*names), names).agg(*_moments(names)).first()
-    cov = covariance(m.covs, len(names))
-    slopes, intercept, residual = solve_centred(cov, np.array(m.means), alpha / m.n)
+    """Whole-table least squares (ridge with ``alpha``): the moments of all
+    columns, then one small solve on the driver."""
+    n, means, cov = column_moments(df, [*xs, y])
+    slopes, intercept, residual = solve_centred(cov, means, alpha / n)
     r2 = 1 - residual / cov[-1, -1] if cov[-1, -1] > 0 else float("nan")
-    return {"coef": dict(zip(xs, slopes.tolist())), "intercept": intercept, "r2": r2, "n": m.n, "mse": residual}
+    return {"coef": dict(zip(xs, slopes.tolist())), "intercept": intercept, "r2": r2, "n": n, "mse": residual}
 
 
 def ols_by(df: DataFrame, xs: Sequence[str], y: str, *, keys: Sequence[str], alpha: float = 0.0) -> DataFrame:
@@ -206,12 +229,13 @@ def two_factor_impact(df: DataFrame, *, keys: Sequence[str], target: str, factor
 
 
 def raw_gram_matrix(df: DataFrame, xs: Sequence[str]) -> np.ndarray:
-    """Uncentred X'X over rows with finite values (bad cells take the mean)."""
-    from seriesloom.operators.projections import replace_infinite
-
+    """Mean uncentred products of the features (bad cells take the mean)."""
     clean = replace_infinite(df.select(*[F.col(c).cast("double").alias(c) for c in xs]), xs)
-    sums = [F.sum(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(xs, 2)]
-    return covariance(clean.agg(F.array(*sums).alias("g")).first().g, len(xs))
+    if len(xs) <= FEW_COLUMNS:
+        means = [F.avg(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(xs, 2)]
+        return covariance(clean.agg(F.array(*means).alias("g")).first().g, len(xs))
+    _, means, cov = column_moments(clean, xs)
+    return cov + np.outer(means, means)
 
 
 def vif_values(g: np.ndarray) -> list[float | None]:

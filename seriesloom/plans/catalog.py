@@ -5,6 +5,7 @@ from seriesloom.plans import (  # noqa: F401 - imported to register
     queries_forecast,
     queries_joins,
     queries_models,
+    queries_reports,
     queries_series,
     queries_stats,
 )
