@@ -15,19 +15,15 @@ def write_table(
     *,
     format: str = "parquet",
     partition_by: Sequence[str] = (),
-    salt: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write a result table.
 
-    With ``partition_by`` the rows are shuffled so that one folder is written
-    by few tasks; ``salt`` spreads every folder over that many tasks, so a
-    folder with a large share of the rows is not written by one of them.
+    With ``partition_by`` the rows of one folder are brought together so that
+    few files are written; the rebalance hint lets Spark split a folder that
+    holds a large share of the rows over several tasks.
     """
-    writer_df = df
-    if partition_by:
-        spread = [F.pmod(F.xxhash64(*df.columns), F.lit(salt))] if salt else []
-        writer_df = df.repartition(*[F.col(c) for c in partition_by], *spread)
+    writer_df = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
     writer = writer_df.write.mode(mode).format(format)
     if format == "csv":
         writer = writer.option("header", "true")
