@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesloom.functions.expressions import as_col
@@ -46,3 +46,11 @@ def filled_forward(col: str | Column, w: WindowSpec) -> Column:
 def position(w: WindowSpec) -> Column:
     """Zero-based row position inside the series."""
     return F.row_number().over(w) - 1
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distribute series for grouped Python work, which costs CPU rather than
+    bytes: a fixed partition count keeps adaptive execution from merging the
+    small partitions into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

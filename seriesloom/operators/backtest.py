@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -42,126 +43,164 @@ def scale_on_train(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], m
     return joined.withColumns(scaled).drop(*[f"_{s}_{c}" for c in cols for s in "ab"])
 
 
-def _windows(df: DataFrame, keys: Sequence[str], date: str, starts: Column, size: Column) -> DataFrame:
-    """Windows from test-start positions; a series' dates form one short array."""
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(date).cast("date"))).alias("_d"))
-    series = series.withColumn("_n", F.size("_d"))
-    placed = series.select(*keys, "_d", "_n", F.posexplode(starts).alias("window", "_i"))
-    last = F.least(F.col("_i") + size, F.col("_n"))
-    return placed.select(
-        *keys,
-        "window",
-        F.col("_i").alias("test_from"),
-        F.element_at("_d", 1).alias("train_start"),
-        F.element_at("_d", F.col("_i")).alias("train_end"),
-        F.element_at("_d", F.col("_i") + 1).alias("test_start"),
-        F.element_at("_d", last).alias("test_end"),
-    )
+@dataclass(frozen=True)
+class Walk:
+    """Train and test stretches of a series, as a function of its length.
+
+    ``stretches(n)`` is an array of structs ``(window, train_rows, test_from,
+    test_rows)``: train on the first ``train_rows`` rows, test on
+    ``test_rows`` rows from position ``test_from``.
+    """
 
+    stretches: Callable[[Column], Column]
 
-def backtest_windows(df: DataFrame, *, keys: Sequence[str], date: str, min_train: int = 24, window: int = 12, step: int = 3) -> DataFrame:
-    """Expanding windows: train on rows before position ``test_from``, test on
-    the following ``window`` rows."""
-    last = F.col("_n") - window
-    starts = F.when(last >= min_train, F.sequence(F.lit(min_train), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return _windows(df, keys, date, starts, F.lit(window))
 
+def _stretch(window, train_rows, test_from, test_rows) -> Column:
+    parts = {"window": window, "train_rows": train_rows, "test_from": test_from, "test_rows": test_rows}
+    return F.struct(*[c.cast("int").alias(n) for n, c in parts.items()])
 
-def fold_windows(df: DataFrame, *, keys: Sequence[str], date: str, folds: int = 5, test_rows: Column | None = None) -> DataFrame:
-    """Time-ordered folds: ``n // (folds + 1)`` test rows each (or
-    ``test_rows``), everything before as train."""
-    size = F.floor(F.col("_n") / (folds + 1)).cast("int") if test_rows is None else test_rows.cast("int")
-    numbers = F.sequence(F.lit(folds), F.lit(1), F.lit(-1))
-    starts = F.transform(numbers, lambda i: F.col("_n") - size * i)
-    usable = F.filter(starts, lambda i: (i > 0) & (size > 0))
-    return _windows(df, keys, date, usable, size)
 
+def walk_forward(*, min_train: int = 24, window: int = 12, step: int = 3) -> Walk:
+    """Expanding windows: the test stretch starts at ``min_train`` and moves
+    on by ``step`` rows while ``window`` rows fit."""
 
-def backtest_split(df: DataFrame, windows: DataFrame, *, keys: Sequence[str], date: str) -> DataFrame:
-    """Every row of every window with its ``split``."""
+    def stretches(n: Column) -> Column:
+        last = n - window
+        starts = F.when(last >= min_train, F.sequence(F.lit(min_train), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: _stretch((i - min_train) / step, i, i, F.lit(window)))
+
+    return Walk(stretches)
+
+
+def time_ordered_folds(folds: int = 5, *, test_rows: Callable[[Column], Column] | None = None) -> Walk:
+    """``n // (folds + 1)`` test rows per fold (or ``test_rows(n)``),
+    everything before as train."""
+
+    def stretches(n: Column) -> Column:
+        size = (test_rows(n) if test_rows else F.floor(n / (folds + 1))).cast("int")
+        numbers = F.sequence(F.lit(0), F.lit(folds - 1))
+        parts = F.transform(numbers, lambda f: _stretch(f, n - size * (folds - f), n - size * (folds - f), size))
+        return F.filter(parts, lambda x: (x["train_rows"] > 0) & (size > 0))
+
+    return Walk(stretches)
+
+
+def ensemble_folds(folds: int = 5) -> Walk:
+    """Folds of ``max(5, n // 20)`` test rows, as used for ensemble weights."""
+    return time_ordered_folds(folds, test_rows=lambda n: F.greatest(F.lit(5), F.floor(n / 20)))
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    return df.withColumns(
+        {"_pos": position(series_window(keys, date)), "_n": F.count("*").over(Window.partitionBy(*keys)).cast("int")}
+    )
+
+
+def _expand(numbered: DataFrame, walk: Walk, first: Callable[[Column], Column]) -> DataFrame:
+    """Each row once per stretch that uses it: positions ``first(stretch)``
+    up to the end of the test rows.  Works on the row alone, so no join and
+    no shuffle is needed."""
+    used = F.filter(
+        walk.stretches(F.col("_n")),
+        lambda x: (F.col("_pos") >= first(x)) & (F.col("_pos") < x["test_from"] + x["test_rows"]),
+    )
+    return numbered.withColumn("_w", F.explode(used)).select("*", "_w.*").drop("_w")
+
+
+def backtest_windows(df: DataFrame, walk: Walk, *, keys: Sequence[str], date: str) -> DataFrame:
+    """``(keys, window, test_from, train_start, train_end, test_start, test_end)``."""
     d = F.col(date).cast("date")
-    within = d.between(F.col("train_start"), F.col("test_end"))
-    joined = df.join(windows, list(keys)).filter(within)
-    return joined.withColumn("split", F.when(d <= F.col("train_end"), "train").otherwise("test")).drop(
-        "train_start", "train_end", "test_start", "test_end", "test_from"
+    rows = _expand(_numbered(df.select(*keys, d.alias(date)), keys, date), walk, lambda x: F.lit(0))
+    train, test = F.col("_pos") < F.col("train_rows"), F.col("_pos") >= F.col("test_from")
+    return rows.groupBy(*keys, "window", "test_from").agg(
+        F.min(F.when(train, F.col(date))).alias("train_start"),
+        F.max(F.when(train, F.col(date))).alias("train_end"),
+        F.min(F.when(test, F.col(date))).alias("test_start"),
+        F.max(F.when(test, F.col(date))).alias("test_end"),
     )
 
 
-def _test_rows(df: DataFrame, windows: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    joined = df.join(windows, list(keys))
-    return joined.filter(F.col(date).cast("date").between(F.col("test_start"), F.col("test_end")))
+def backtest_split(df: DataFrame, walk: Walk, *, keys: Sequence[str], date: str) -> DataFrame:
+    """Every row of every window with its ``split``."""
+    rows = _expand(_numbered(df, keys, date), walk, lambda x: F.lit(0))
+    rows = rows.withColumn("split", F.when(F.col("_pos") < F.col("train_rows"), "train").when(F.col("_pos") >= F.col("test_from"), "test"))
+    return rows.filter(F.col("split").isNotNull()).select(*df.columns, "window", "split")
 
 
-def backtest_naive(df: DataFrame, windows: DataFrame, *, keys: Sequence[str], date: str, target: str, season: int | None = None) -> DataFrame:
-    """Last value before the window, or with ``season`` the value at the same
-    phase of the last season before it."""
-    w = series_window(keys, date)
-    rows = df.select(*keys, date, F.col(target).alias("true_value"), position(w).alias("_pos"))
-    known = df.select(*keys, (position(w)).alias("_src"), F.col(target).alias("predicted_value"))
-    test = _test_rows(rows, windows, keys, date)
-    if season:
-        back = (F.floor((F.col("_pos") - F.col("test_from")) / season) + 1) * season
-        source = F.col("_pos") - back
-    else:
-        source = F.col("test_from") - 1
-    joined = test.withColumn("_src", source.cast("int")).join(known, [*keys, "_src"])
-    return joined.select(*keys, "window", date, "true_value", "predicted_value")
+def backtest_naive(df: DataFrame, walk: Walk, *, keys: Sequence[str], date: str, target: str, season: int = 1) -> DataFrame:
+    """The last value before the window, or with ``season`` the value at the
+    same phase of the last season before it."""
+    rows = _expand(_numbered(df.select(*keys, date, target), keys, date), walk, lambda x: x["train_rows"] - season)
+    phase = F.pmod(F.col("_pos") - F.col("train_rows"), F.lit(season)).alias("_phase")
+    rows = rows.select("*", phase)
+    group = Window.partitionBy(*keys, "window", "_phase")
+    known = F.max(F.when(F.col("_pos") < F.col("train_rows"), F.col(target))).over(group)
+    rows = rows.withColumn("predicted_value", known).filter(F.col("_pos") >= F.col("test_from"))
+    return rows.select(*keys, "window", date, F.col(target).alias("true_value"), "predicted_value")
 
 
-def backtest_linear(df: DataFrame, windows: DataFrame, *, keys: Sequence[str], date: str, target: str, features: Sequence[str], alpha: float = 0.0) -> DataFrame:
+def backtest_linear(df: DataFrame, walk: Walk, *, keys: Sequence[str], date: str, target: str, features: Sequence[str], alpha: float = 0.0) -> DataFrame:
     """Refit on every window without touching its train rows again.
 
     Running moments over the series give the moments of every train range at
-    its last row; one row per window is then solved.  The running state holds
-    k (k + 3) / 2 numbers, which suits up to about thirty features.
+    its last row, which is carried along with the test rows.  The running
+    state holds k (k + 3) / 2 numbers, which suits up to about thirty
+    features.  One shuffle by key serves all windows.
     """
     names = [*features, target]
-    w = series_window(keys, date)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0)
+    frame = series_window(keys, date).rowsBetween(Window.unboundedPreceding, 0)
     complete = F.lit(True)
     for c in names:
         complete = complete & F.col(c).isNotNull()
-    masked = df.select(*keys, date, position(w).alias("_pos"), *[F.when(complete, F.col(c).cast("double")).alias(c) for c in names])
-    running = masked.select(
-        *keys,
-        (F.col("_pos") + 1).alias("test_from"),
-        F.count(target).over(frame).alias("n"),
-        F.array(*[F.avg(c).over(frame) for c in names]).alias("means"),
-        F.array(*[F.covar_pop(a, b).over(frame) for a, b in combinations_with_replacement(names, 2)]).alias("covs"),
-    )
-    at_end = windows.select(*keys, "window", "test_from").join(running, [*keys, "test_from"])
-    models = _one_slope(at_end, keys) if len(features) == 1 and not alpha else _many_slopes(at_end, keys, len(names), alpha)
-    test = _test_rows(df.select(*keys, date, *names), windows, keys, date).join(models, [*keys, "window"])
-    value = F.col("intercept")
-    for i, c in enumerate(features):
-        value = value + F.col("slopes")[i] * F.col(c)
-    return test.select(*keys, "window", date, F.col(target).alias("true_value"), value.alias("predicted_value"))
-
-
-def _one_slope(at_end: DataFrame, keys: Sequence[str]) -> DataFrame:
-    slope = ratio(F.col("covs")[1], F.col("covs")[0])
-    return at_end.select(
-        *keys, "window", F.array(slope).alias("slopes"), (F.col("means")[1] - slope * F.col("means")[0]).alias("intercept")
-    )
+    masked = _numbered(df.select(*keys, date, *[F.col(c).cast("double").alias(c) for c in names]), keys, date)
+    masked = masked.withColumns({f"_v_{c}": F.when(complete, F.col(c)) for c in names})
+    held = [f"_v_{c}" for c in names]
+    running = masked.withColumns(
+        {
+            "n": F.count(held[-1]).over(frame),
+            "means": F.array(*[F.avg(c).over(frame) for c in held]),
+            "covs": F.array(*[F.covar_pop(a, b).over(frame) for a, b in combinations_with_replacement(held, 2)]),
+        }
+    ).drop(*held)
+    # The train range may end before the test rows begin; its last row is kept.
+    rows = _expand(running, walk, lambda x: x["train_rows"] - 1)
+    at_end = F.col("_pos") == F.col("train_rows") - 1
+    rows = rows.filter(at_end | (F.col("_pos") >= F.col("test_from")))
+    state = F.struct("n", "means", "covs")
+    rows = rows.withColumn("_m", F.max_by(state, F.when(at_end, F.lit(1))).over(Window.partitionBy(*keys, "window")))
+    test = rows.filter(F.col("_pos") >= F.col("test_from"))
+    if len(features) == 1 and not alpha:
+        slope = ratio(F.col("_m.covs")[1], F.col("_m.covs")[0])
+        value = F.col("_m.means")[1] + slope * (F.col(features[0]) - F.col("_m.means")[0])
+        predicted = test.withColumn("predicted_value", value)
+    else:
+        predicted = _solve_rows(test, keys, date, names, alpha)
+    return predicted.select(*keys, "window", date, F.col(target).alias("true_value"), "predicted_value")
 
 
-def _many_slopes(at_end: DataFrame, keys: Sequence[str], size: int, alpha: float) -> DataFrame:
-    def solve(batches):
+def _solve_rows(test: DataFrame, keys: Sequence[str], date: str, names: Sequence[str], alpha: float) -> DataFrame:
+    """Predict test rows whose moments travel with them, batch by batch; rows
+    of one window share their moments and are solved once."""
+    size = len(names)
+
+    def predict(batches):
         for pdf in batches:
-            solved = [
-                solve_centred(covariance(c, size), np.array(m, dtype=float), alpha / n)
-                for c, m, n in zip(pdf["covs"], pdf["means"], pdf["n"])
-            ]
-            out = pdf[[*keys, "window"]].copy()
-            out["slopes"] = [s[0].tolist() for s in solved]
-            out["intercept"] = [s[1] for s in solved]
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at_end.schema.fields if f.name in keys)
-    usable = at_end.filter("n > 1")
-    return usable.select(*keys, "window", "n", "means", "covs").mapInPandas(
-        solve, f"{fields}, window int, slopes array<double>, intercept double"
-    )
+            values = np.full(len(pdf), np.nan)
+            solved: dict = {}
+            for i, (n, m, c, x) in enumerate(zip(pdf["n"], pdf["means"], pdf["covs"], pdf[list(names[:-1])].to_numpy(float))):
+                if not n or n < 2:
+                    continue
+                at = (n, *m)
+                if at not in solved:
+                    solved[at] = solve_centred(covariance(c, size), np.array(m, dtype=float), alpha / n)
+                values[i] = solved[at][1] + x @ solved[at][0]
+            yield pdf.drop(columns=["n", "means", "covs"]).assign(predicted_value=values)
+
+    sent = test.select(*keys, "window", date, *names, "_m.n", "_m.means", "_m.covs")
+    kept = [f for f in sent.schema.fields if f.name not in ("n", "means", "covs")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", predicted_value double"
+    out = sent.mapInPandas(predict, schema)
+    return out.withColumn("predicted_value", F.when(~F.isnan("predicted_value"), F.col("predicted_value")))
 
 
 def backtest_records(predictions: DataFrame, *, keys: Sequence[str], log_target: bool = False) -> DataFrame:
@@ -172,9 +211,17 @@ def backtest_records(predictions: DataFrame, *, keys: Sequence[str], log_target:
     )
     e = F.col("true_value_original") - F.col("predicted_value_original")
     rows = rows.withColumns({"error": e, "squared_error": e * e, "absolute_error": F.abs(e)})
-    metrics = window_metrics(rows, keys=[*keys, "window"])
-    named = metrics.withColumnsRenamed({m: f"window_{m}" for m in ("mse", "rmse", "mae", "r2")}).drop("mape")
-    return rows.join(named, [*keys, "window"])
+    whole = Window.partitionBy(*keys, "window")
+    rows = rows.withColumns(
+        {
+            "window_mse": F.avg("squared_error").over(whole),
+            "window_mae": F.avg("absolute_error").over(whole),
+            "_var": F.var_pop(F.when(e.isNotNull(), F.col("true_value_original"))).over(whole),
+        }
+    )
+    return rows.withColumns(
+        {"window_rmse": F.sqrt("window_mse"), "window_r2": 1 - ratio("window_mse", "_var")}
+    ).drop("_var")
 
 
 def window_metrics(rows: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -208,14 +255,24 @@ def learning_curve(df: DataFrame, *, keys: Sequence[str], date: str, target: str
     Each share is a train range that ends earlier, so running moments serve
     all ``sizes * folds`` fits in one pass.
     """
-    base = fold_windows(df, keys=keys, date=date, folds=folds)
-    share = F.explode(F.sequence(F.lit(1), F.lit(sizes))).alias("size_step")
-    grown = base.select("*", share).withColumn(
-        "test_from", F.greatest(F.floor(F.col("test_from") * F.col("size_step") / sizes), F.lit(len(features) + 2)).cast("int")
+    least = len(features) + 2
+    steps = F.sequence(F.lit(1), F.lit(sizes))
+
+    def shares(n: Column) -> Column:
+        def of_fold(x: Column) -> Column:
+            rows = lambda k: F.greatest(F.floor(x["train_rows"] * k / sizes), F.lit(least))
+            return F.transform(steps, lambda k: _stretch(x["window"] * sizes + k, rows(k), x["test_from"], x["test_rows"]))
+
+        grown = F.flatten(F.transform(time_ordered_folds(folds).stretches(n), of_fold))
+        return F.filter(grown, lambda x: x["train_rows"] <= x["test_from"])
+
+    fitted = backtest_linear(df, Walk(shares), keys=keys, date=date, target=target, features=features)
+    rows = fitted.withColumns(
+        {
+            "fold": F.floor((F.col("window") - 1) / sizes).cast("int"),
+            "size_step": (F.pmod(F.col("window") - 1, F.lit(sizes)) + 1).cast("int"),
+        }
     )
-    numbered = grown.withColumn("window", (F.col("window") * sizes + F.col("size_step")).cast("int"))
-    fitted = backtest_linear(df, numbered, keys=keys, date=date, target=target, features=features)
-    rows = fitted.withColumns({"fold": F.floor((F.col("window") - 1) / sizes).cast("int"), "size_step": (F.pmod(F.col("window") - 1, F.lit(sizes)) + 1).cast("int")})
     e = F.col("true_value") - F.col("predicted_value")
     per_fold = rows.groupBy(*keys, "size_step", "fold").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
     return per_fold.groupBy(*keys, "size_step").agg(F.avg("rmse").alias("test_rmse_mean"), F.stddev_pop("rmse").alias("test_rmse_std"))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.expressions import as_col, numeric_columns, ratio
-from seriesloom.functions.windows import filled_forward, position, series_window
+from seriesloom.functions.windows import filled_forward, position, series_window, spread
 
+KNN_CHUNK = 256
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -101,8 +102,8 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
     Distance is Euclidean over the columns both rows have, scaled up by the
     share of columns present; ties go to the earlier row; a row that shares no
     column with any donor takes the column mean.  A series is at most one row
-    per calendar period; distances are worked out one incomplete row at a time
-    inside the task and no pair is ever emitted.
+    per calendar period; distances are worked out for a chunk of incomplete
+    rows at a time inside the task and no pair is ever emitted.
     """
     names = list(cols)
 
@@ -110,22 +111,23 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
         pdf = pdf.sort_values(date, kind="stable").reset_index(drop=True)
         x = pdf[names].to_numpy(float)
         has = ~np.isnan(x)
-        zero = np.where(has, x, 0.0)
-        filled = x.copy()
-        for i in np.flatnonzero(~has.all(axis=1)):
-            both = has & has[i]
-            shared = both.sum(axis=1)
-            square = np.where(both, (zero - zero[i]) ** 2, 0.0).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.where(shared > 0, square * len(names) / shared, np.inf)
-            for j in np.flatnonzero(~has[i]):
-                donors = np.flatnonzero(has[:, j] & np.isfinite(dist))
-                if len(donors):
-                    # Distances equal but for rounding count as ties.
-                    order = np.lexsort((donors, np.round(dist[donors], 9)))
-                    filled[i, j] = x[donors[order[:k]], j].mean()
-                elif has[:, j].any():
-                    filled[i, j] = x[has[:, j], j].mean()
+        zero, filled = np.where(has, x, 0.0), x.copy()
+        incomplete = np.flatnonzero(~has.all(axis=1))
+        for part in np.array_split(incomplete, len(incomplete) // KNN_CHUNK + 1):
+            both = has[part][:, None, :] & has[None, :, :]
+            shared = both.sum(axis=2)
+            square = np.where(both, (zero[None, :, :] - zero[part][:, None, :]) ** 2, 0.0).sum(axis=2)
+            dist = np.where(shared > 0, square * len(names) / np.maximum(shared, 1), np.inf)
+            dist = np.round(dist, 9)  # distances equal but for rounding are ties
+            for j in range(len(names)):
+                open_rows, donors = np.flatnonzero(~has[part, j]), np.flatnonzero(has[:, j])
+                if not len(open_rows) or not len(donors):
+                    continue
+                d = dist[np.ix_(open_rows, donors)]
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                usable = np.isfinite(np.take_along_axis(d, near, axis=1))
+                total, n = (x[donors[near], j] * usable).sum(axis=1), usable.sum(axis=1)
+                filled[part[open_rows], j] = np.where(n > 0, total / np.maximum(n, 1), x[donors, j].mean())
         pdf[names] = filled
         return pdf
 
@@ -133,7 +135,7 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
         T.StructField(f.name, T.DoubleType() if f.name in names else f.dataType, True) for f in df.schema.fields
     ]
     doubled = df.withColumns({c: F.col(c).cast("double") for c in names})
-    return doubled.groupBy(*keys).applyInPandas(impute, T.StructType(fields))
+    return spread(doubled, keys).groupBy(*keys).applyInPandas(impute, T.StructType(fields))
 
 
 def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], rounds: int = 10, alpha: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from seriesloom.functions.calendar import month_end_after, wave
-from seriesloom.functions.windows import position, rolling, series_window
+from seriesloom.functions.windows import position, rolling, series_window, spread
 from seriesloom.operators.features import lag_exprs
 
 # The reduced-complexity presets.
@@ -270,7 +270,7 @@ def panel_arima(
         return out[[*names, "step", "last", "forecast", "lower_95", "upper_95"]]
 
     narrow = df.select(*names, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))
-    made = narrow.groupBy(*names).applyInPandas(forecast, schema)
+    made = spread(narrow, names).groupBy(*names).applyInPandas(forecast, schema)
     return made.select(*names, "step", month_end_after("last", "step").alias(date), "forecast", "lower_95", "upper_95")
 
 
@@ -305,7 +305,7 @@ def arima_grid(
     grid = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("pdq", order)]) for order in orders])
     narrow = df.select(*names, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))
     crossed = narrow.select("*", F.explode(grid).alias("_o")).select(*names, date, value, "_o.*")
-    fits = crossed.groupBy(*names, "p", "d", "q").applyInPandas(fit_one, schema)
+    fits = spread(crossed, [*names, "p", "d", "q"]).groupBy(*names, "p", "d", "q").applyInPandas(fit_one, schema)
     fits = fits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("aic", "bic")})
     ranked = series_window(names, F.col(criterion).asc_nulls_last(), F.col("p"), F.col("d"), F.col("q"))
     return fits.withColumn("is_best", F.row_number().over(ranked) == 1)

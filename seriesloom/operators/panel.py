@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.windows import filled_forward, series_window
+from seriesloom.functions.windows import filled_forward, series_window, spread
 from seriesloom.operators.impute import edge_filled, interpolate
 
 
@@ -81,17 +81,6 @@ def suffix_merge(target: DataFrame, others: Mapping[str, DataFrame], *, on: Sequ
     return out
 
 
-def common_range(sources: Mapping[str, DataFrame], *, date: str) -> DataFrame:
-    """One row ``(start, end)``: latest first date, earliest last date."""
-    ends = [
-        df.agg(F.min(date).cast("date").alias("lo"), F.max(date).cast("date").alias("hi")) for df in sources.values()
-    ]
-    stacked = reduce(DataFrame.unionByName, ends)
-    start = F.max("lo")
-    on_grid = F.when(F.trunc(start, "month") == start, start).otherwise(F.add_months(F.trunc(start, "month"), 1))
-    return stacked.agg(on_grid.alias("start"), F.min("hi").alias("end"))
-
-
 def align_sources(
     sources: Mapping[str, DataFrame],
     *,
@@ -102,30 +91,68 @@ def align_sources(
 ) -> DataFrame:
     """Bring sources to the month-start grid of their common range.
 
-    ``exact`` keeps observations that lie on the grid and drops the others;
-    otherwise the last observation up to a grid date within its month counts.
-    Gaps are interpolated by elapsed days and the edges filled.
+    The range runs from the latest first to the earliest last date of the
+    sources.  ``exact`` keeps observations that lie on the grid and drops the
+    others; otherwise the last observation of the month counts.  Gaps are
+    interpolated by elapsed days and the edges filled.
+
+    All sources are stacked and aggregated once; the range is a scalar
+    subquery over that same aggregate, so its shuffle is reused.
     """
-    bounds = common_range(sources, date=date).select(F.struct("start", "end").alias("r"))
-    gridded = {}
-    for name, df in sources.items():
-        col = value[name]
+    names, k = list(sources), list(keys)
+    stacked = [
+        df.select(
+            *k,
+            F.trunc(F.col(date).cast("date"), "month").alias(date),
+            F.col(date).cast("date").alias("_raw"),
+            F.lit(name).alias("_source"),
+            F.col(value[name]).cast("double").alias("_value"),
+        )
+        for name, df in sources.items()
+    ]
+
+    def observed(name: str) -> Column:
+        own = F.col("_source") == name
         if exact:
-            on_grid = df.filter(F.trunc(date, "month") == F.col(date)).select(*keys, date, F.col(col).alias(name))
-        else:
-            monthly = resample_last(df, keys=keys, date=date, cols=[col])
-            on_grid = monthly.select(*keys, date, F.col(col).alias(name))
-        gridded[name] = on_grid
-    merged = outer_merge_many(gridded, on=[*keys, date], value={n: n for n in gridded})
-    months = F.sequence(F.col("r.start"), F.col("r.end"), F.expr("interval 1 month"))
-    spine = merged.select(*keys).distinct().select("*", bounds.scalar().alias("r"))
-    spine = spine.select(*keys, F.explode(months).alias(date))
-    aligned = spine.join(merged, [*keys, date], "left")
-    names = list(sources)
+            return F.max(F.when(own & (F.col("_raw") == F.col(date)), F.col("_value")))
+        return F.max_by("_value", F.when(own & F.col("_value").isNotNull(), F.col("_raw")))
+
+    def raw(fn, name: str) -> Column:
+        return fn(F.when(F.col("_source") == name, F.col("_raw")))
+
+    merged = reduce(DataFrame.unionByName, stacked).groupBy(*k, date).agg(
+        *[observed(n).alias(n) for n in names],
+        *[raw(F.min, n).alias(f"_from_{n}") for n in names],
+        *[raw(F.max, n).alias(f"_to_{n}") for n in names],
+    )
+    latest = _extreme(F.greatest, [F.min(f"_from_{n}") for n in names])
+    first = F.when(F.trunc(latest, "month") == latest, latest).otherwise(F.add_months(F.trunc(latest, "month"), 1))
+    last = F.trunc(_extreme(F.least, [F.max(f"_to_{n}") for n in names]), "month")
+    span = merged.agg(F.struct(first.alias("start"), last.alias("end")).alias("r"))
+    ranged = merged.select(*k, date, *names, span.scalar().alias("_r"))
+    aligned = _stretch(ranged, k, date, F.col("_r.start"), F.col("_r.end"), names)
     timed = interpolate(aligned, keys=keys, date=date, cols=names, by="time")
     return edge_filled(timed, keys=keys, date=date, cols=names)
 
 
+def _extreme(fn, cols: Sequence[Column]) -> Column:
+    return fn(*cols) if len(cols) > 1 else cols[0]
+
+
+def _stretch(df: DataFrame, keys: Sequence[str], date: str, start: Column, end: Column, cols: Sequence[str]) -> DataFrame:
+    """Monthly grid ``start .. end`` for every key, without a spine join: each
+    row covers the months up to its successor, the first row also those
+    before it.  Rows outside the range only lend their key."""
+    w = series_window(keys, date)
+    one = F.expr("interval 1 month")
+    opens = F.when(F.lag(date).over(w).isNull(), start).otherwise(F.col(date))
+    closes = F.coalesce((F.lead(date).over(w) - one).cast("date"), end)
+    grown = df.withColumns({"_a": F.greatest(opens, start), "_b": F.least(closes, end)}).filter(F.col("_a") <= F.col("_b"))
+    grown = grown.withColumn("_at", F.explode(F.sequence("_a", "_b", one)))
+    here = F.col("_at") == F.col(date)
+    return grown.select(*keys, F.col("_at").alias(date), *[F.when(here, F.col(c)).alias(c) for c in cols])
+
+
 def cubic_upsample(
     df: DataFrame, *, keys: Sequence[str], date: str, value: str, step_days: int = 1
 ) -> DataFrame:
@@ -169,8 +196,5 @@ def cubic_upsample(
         return out[[*keys, date, value]]
 
     narrow = df.select(*keys, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))
-    return narrow.groupBy(*keys).applyInPandas(upsample, narrow.schema)
-
+    return spread(narrow, keys).groupBy(*keys).applyInPandas(upsample, narrow.schema)
 
-def as_month(c: str | Column) -> Column:
-    return F.trunc((F.col(c) if isinstance(c, str) else c).cast("date"), "month")

@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.expressions import ratio
 from seriesloom.functions.windows import rolling, series_window
 from seriesloom.operators.features import lag_exprs
 from seriesloom.operators.impute import clean
 from seriesloom.operators.outliers import clip_flagged_series
 from seriesloom.operators.panel import align_sources, outer_merge_many
-from seriesloom.operators.stats import lag_correlation, seasonal_profile, target_correlation, two_factor_impact
 
 
 def prepare_panel(
@@ -44,23 +44,37 @@ def complete_dataset(sources: Mapping[str, DataFrame], *, keys: Sequence[str], d
 
 
 def insight_report(df: DataFrame, *, keys: Sequence[str], date: str, target: str, drivers: tuple[str, str], max_lag: int = 12) -> DataFrame:
-    """``(keys, insight, value)``: season, correlations, best lead and shares
-    of two drivers of the target."""
-    season = seasonal_profile(df, keys=keys, date=date, col=target).select(
-        *keys, F.col("peak_month").cast("double"), F.col("trough_month").cast("double")
-    ).distinct()
-    parts = [season.unpivot(list(keys), ["peak_month", "trough_month"], "insight", "value")]
-    parts.append(
-        target_correlation(df, target, drivers, keys=keys).select(*keys, F.concat(F.lit("corr_"), "metric").alias("insight"), F.col("corr").alias("value"))
+    """``(keys, insight, value)``: peak and trough month, correlations, the
+    best lead of each driver and the drivers' shares in a joint regression.
+
+    Lags come from one window and everything else from one aggregate per key.
+    """
+    w = series_window(keys, date)
+    lags = {f"_{d}_{k}": F.lag(d, k).over(w) for d in drivers for k in range(max_lag + 1)}
+    a, b = drivers
+    months = [F.struct(F.avg(F.when(F.month(date) == m, F.col(target))).alias("v"), F.lit(m).alias("m")) for m in range(1, 13)]
+    leads = {
+        d: F.array(*[F.struct(F.abs(F.corr(target, f"_{d}_{k}")).alias("c"), F.lit(-k).alias("k")) for k in range(max_lag + 1)])
+        for d in drivers
+    }
+    table = df.withColumns(lags).groupBy(*keys).agg(
+        F.corr(target, a).alias("ya"),
+        F.corr(target, b).alias("yb"),
+        F.corr(a, b).alias("ab"),
+        F.array(*months).alias("months"),
+        *[lead.alias(f"lead_{d}") for d, lead in leads.items()],
     )
-    for d in drivers:
-        lead = lag_correlation(df, keys=keys, date=date, target=target, driver=d, max_lag=max_lag)
-        best = lead.filter(F.col("lag") == F.col("best_lag"))
-        parts.append(best.select(*keys, F.lit(f"best_lag_{d}").alias("insight"), F.col("best_lag").cast("double").alias("value")))
-    shares = two_factor_impact(df, keys=keys, target=target, factors=drivers)
-    names = [f"importance_{d}" for d in drivers]
-    parts.append(shares.select(*keys, *names).unpivot(list(keys), names, "insight", "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    seen = F.filter("months", lambda x: x["v"].isNotNull())
+    top = F.array_max(F.transform(seen, lambda x: F.struct(x["v"].alias("v"), (-x["m"]).alias("m"))))
+    pull_a, pull_b = F.abs(F.col("ya") - F.col("ab") * F.col("yb")), F.abs(F.col("yb") - F.col("ab") * F.col("ya"))
+    insights = {
+        "peak_month": -top["m"],
+        "trough_month": F.array_min(seen)["m"],
+        f"corr_{a}": F.col("ya"),
+        f"corr_{b}": F.col("yb"),
+        **{f"best_lag_{d}": -F.array_max(f"lead_{d}")["k"] for d in drivers},
+        f"importance_{a}": ratio(pull_a, pull_a + pull_b),
+        f"importance_{b}": ratio(pull_b, pull_a + pull_b),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("insight"), c.cast("double").alias("value")) for n, c in insights.items()])
+    return table.select(*keys, F.inline(rows))

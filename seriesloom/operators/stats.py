@@ -27,19 +27,22 @@ FEW_COLUMNS = 6
 def seasonal_profile(df: DataFrame, *, keys: Sequence[str], date: str, col: str) -> DataFrame:
     """Month-of-year means with each key's peak and trough month."""
     monthly = df.groupBy(*keys, F.month(date).alias("month_of_year")).agg(F.avg(col).alias("mean_value"))
-    by_level = F.struct("mean_value", -F.col("month_of_year"))
-    ends = monthly.groupBy(*keys).agg(
-        F.max_by("month_of_year", by_level).alias("peak_month"),
-        F.min_by("month_of_year", F.struct("mean_value", "month_of_year")).alias("trough_month"),
+    whole = Window.partitionBy(*keys)
+    high = F.struct("mean_value", -F.col("month_of_year"))
+    low = F.struct("mean_value", "month_of_year")
+    return monthly.withColumns(
+        {
+            "peak_month": F.max_by("month_of_year", high).over(whole),
+            "trough_month": F.min_by("month_of_year", low).over(whole),
+        }
     )
-    return monthly.join(ends, list(keys))
 
 
 def seasonality_factors(df: DataFrame, *, keys: Sequence[str], date: str, col: str) -> DataFrame:
     """Month mean divided by the mean of the month means: ``(keys, month_of_year, factor)``."""
     monthly = df.groupBy(*keys, F.month(date).alias("month_of_year")).agg(F.avg(col).alias("mean_value"))
-    level = monthly.groupBy(*keys).agg(F.avg("mean_value").alias("level"))
-    return monthly.join(level, list(keys)).select(*keys, "month_of_year", ratio("mean_value", "level").alias("factor"))
+    level = F.avg("mean_value").over(Window.partitionBy(*keys))
+    return monthly.select(*keys, "month_of_year", ratio(F.col("mean_value"), level).alias("factor"))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:

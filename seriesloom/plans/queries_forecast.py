@@ -258,8 +258,7 @@ _FOLD_SQL = f"""{P1_SQL}, {_POS_SQL}, st AS (SELECT n_name, n, CAST(floor(n / 6)
 _TEST_SQL = """te AS (SELECT win.n_name, win."window", win.i, d.month, d.pos, d.revenue, d.revenue_lag_12 FROM win JOIN d ON d.n_name = win.n_name AND d.pos BETWEEN i AND i + size - 1)"""
 
 
-def _windows(spark, sf):
-    return bt.backtest_windows(_revenue(spark, sf), **NATION, min_train=24, window=12, step=3)
+WALK = bt.walk_forward(min_train=24, window=12, step=3)
 
 
 @query(
@@ -269,7 +268,7 @@ def _windows(spark, sf):
         JOIN d c ON c.n_name = w.n_name AND c.pos = i JOIN d e ON e.n_name = w.n_name AND e.pos = i + 11""",
 )
 def _backtest_windows(spark, sf):
-    return _windows(spark, sf)
+    return bt.backtest_windows(_revenue(spark, sf), WALK, **NATION)
 
 
 @query(
@@ -278,7 +277,7 @@ def _backtest_windows(spark, sf):
         FROM win w JOIN d ON d.n_name = w.n_name AND pos <= i + 11""",
 )
 def _backtest_split(spark, sf):
-    return bt.backtest_split(_revenue(spark, sf), _windows(spark, sf), **NATION)
+    return bt.backtest_split(_revenue(spark, sf), WALK, **NATION)
 
 
 _NAIVE_SQL = f"""{_WIN_SQL}, {_TEST_SQL}, pr AS (SELECT te.n_name, te."window", te.month, te.revenue AS true_value, d.revenue AS predicted_value
@@ -295,7 +294,7 @@ _NAIVE_SQL = f"""{_WIN_SQL}, {_TEST_SQL}, pr AS (SELECT te.n_name, te."window",
 )
 def _backtest_naive(spark, sf):
     panel = _revenue(spark, sf)
-    made = bt.backtest_naive(panel, _windows(spark, sf), **NATION, target="revenue", season=12)
+    made = bt.backtest_naive(panel, WALK, **NATION, target="revenue", season=12)
     return _round_metrics(bt.backtest_records(made, keys=["n_name"]))
 
 
@@ -313,7 +312,7 @@ _LINEAR_SQL = """run AS (SELECT n_name, pos + 1 AS i, regr_slope(revenue, revenu
     f"""WITH {_WIN_SQL}, {_TEST_SQL}, {_LINEAR_SQL} SELECT n_name, "window", month, true_value, {r('predicted_value', 1)} AS predicted_value FROM pr""",
 )
 def _backtest_linear(spark, sf):
-    made = bt.backtest_linear(_lagged(spark, sf), _windows(spark, sf), **NATION, target="revenue", features=["revenue_lag_12"])
+    made = bt.backtest_linear(_lagged(spark, sf), WALK, **NATION, target="revenue", features=["revenue_lag_12"])
     return round_columns(made, 1, "predicted_value")
 
 
@@ -327,7 +326,7 @@ _PRM = _metrics_sql("true_value", "predicted_value")
           {r('stddev_samp(true_value - predicted_value) * 1.96', 3)} AS band_upper FROM pr GROUP BY 1""",
 )
 def _backtest_metrics(spark, sf):
-    made = bt.backtest_naive(_revenue(spark, sf), _windows(spark, sf), **NATION, target="revenue", season=12)
+    made = bt.backtest_naive(_revenue(spark, sf), WALK, **NATION, target="revenue", season=12)
     out = bt.backtest_metrics(bt.backtest_records(made, keys=["n_name"]), keys=["n_name"])
     return round_columns(_round_metrics(out), 3, "error_std", "band_lower", "band_upper")
 
@@ -339,8 +338,7 @@ def _backtest_metrics(spark, sf):
 )
 def _ts_cv(spark, sf):
     panel = _lagged(spark, sf)
-    folds = bt.fold_windows(panel, **NATION, folds=5)
-    made = bt.backtest_linear(panel, folds, **NATION, target="revenue", features=["revenue_lag_12"])
+    made = bt.backtest_linear(panel, bt.time_ordered_folds(5), **NATION, target="revenue", features=["revenue_lag_12"])
     out = bt.fold_summary(bt.backtest_records(made, keys=["n_name"]), keys=["n_name"])
     out = round_columns(out, 5, "r2_mean", "r2_std")
     return round_columns(out, 2, "mae_mean", "mae_std", "rmse_mean", "rmse_std")

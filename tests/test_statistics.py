@@ -222,10 +222,10 @@ def test_adf_tells_a_walk_from_noise(series):
 
 def test_windows_and_folds(series):
     df = series({"a": range(36)})
-    win = bt.backtest_windows(df, **K, min_train=24, window=6, step=3).orderBy("window").collect()
+    win = bt.backtest_windows(df, bt.walk_forward(min_train=24, window=6, step=3), **K).orderBy("window").collect()
     assert [w.test_from for w in win] == [24, 27, 30]
-    assert bt.backtest_windows(series({"a": range(10)}), **K).count() == 0
-    folds = bt.fold_windows(series({"a": range(12)}), **K, folds=5).orderBy("window").collect()
+    assert bt.backtest_windows(series({"a": range(10)}), bt.walk_forward(), **K).count() == 0
+    folds = bt.backtest_windows(series({"a": range(12)}), bt.time_ordered_folds(5), **K).orderBy("window").collect()
     assert [(f.test_start.month - 1, f.test_end.month - 1) for f in folds] == [(2, 3), (4, 5), (6, 7), (8, 9), (10, 11)]
 
 
@@ -237,8 +237,9 @@ def test_prefix_refits_equal_direct_fits(series, features):
 
     w = series_window(["key"], "date")
     lagged = df.withColumns({"l1": F.lag("value", 1).over(w), "l2": F.lag("value", 2).over(w)})
-    win = bt.backtest_windows(lagged, **K, min_train=24, window=6, step=10)
-    got = bt.backtest_linear(lagged, win, **K, target="value", features=features).toPandas()
+    walk = bt.walk_forward(min_train=24, window=6, step=10)
+    win = bt.backtest_windows(lagged, walk, **K)
+    got = bt.backtest_linear(lagged, walk, **K, target="value", features=features).toPandas()
     pdf = lagged.orderBy("date").toPandas()
     for row in win.collect():
         train = pdf[: row.test_from].dropna(subset=["value", *features])
