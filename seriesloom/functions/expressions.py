@@ -43,9 +43,10 @@ def round_columns(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 
 def melt(df: DataFrame, ids: list[str], cols: list[str], name: str = "metric", value: str = "value") -> DataFrame:
-    """Wide to long; the values are cast to double."""
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot(ids, cols, name, value)
+    """Wide to long; the values are cast to double.  Written as a generator,
+    which (unlike ``unpivot``) keeps the partitioning of its input."""
+    rows = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols]
+    return df.select(*ids, F.inline(F.array(*rows)))
 
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

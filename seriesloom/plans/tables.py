@@ -23,10 +23,7 @@ def _per_nation(spark: SparkSession, sf_dir: str, per_customer: DataFrame, measu
     """(o_custkey, month, ...) -> (n_name, month, ...)."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    by_key = per_customer.join(customer, "o_custkey").groupBy("c_nationkey", "month").agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
-    named = by_key.join(nation, "c_nationkey")
+    named = per_customer.join(customer, "o_custkey").join(nation, "c_nationkey")
     return named.groupBy("n_name", "month").agg(*[total.alias(name) for name, total in measures.items()])
 
 
