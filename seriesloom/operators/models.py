@@ -14,11 +14,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from seriesloom.functions.calendar import month_end_after, wave
 from seriesloom.functions.windows import position, rolling, series_window, spread
 from seriesloom.operators.features import lag_exprs
+from seriesloom.session import held
 
 # The reduced-complexity presets.
 FOREST = {"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "seed": 42}
@@ -43,11 +43,8 @@ def design_frame(df: DataFrame, *, keys: Sequence[str], date: str, target: str,
 def _fit(estimator, train: DataFrame, features: Sequence[str]) -> PipelineModel:
     """Fit on a persisted narrow frame; an iterative fit reads it many times."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), estimator]
-    held = train.select(*features, estimator.getLabelCol()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=stages).fit(held)
-    finally:
-        held.unpersist()
+    with held(train.select(*features, estimator.getLabelCol())) as frame:
+        return Pipeline(stages=stages).fit(frame)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str, **params) -> PipelineModel:
@@ -123,20 +120,17 @@ def hyperparameter_search(
     """
     fit = {"forest": fit_forest, "boosted": fit_boosted}[family]
     settings = sample_parameters(space, n_iter)
-    held = df.select(date, *features, target).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cuts = time_folds(held, date=date, folds=folds)
+    with held(df.select(date, *features, target)) as frame:
+        cuts = time_folds(frame, date=date, folds=folds)
 
         def mse(job: tuple[int, tuple]) -> tuple[int, float | None]:
             i, (train_end, test_end) = job
-            model = fit(held.filter(F.col(date) <= F.lit(train_end)), features, target, **settings[i])
-            test = held.filter((F.col(date) > F.lit(train_end)) & (F.col(date) <= F.lit(test_end)))
+            model = fit(frame.filter(F.col(date) <= F.lit(train_end)), features, target, **settings[i])
+            test = frame.filter((F.col(date) > F.lit(train_end)) & (F.col(date) <= F.lit(test_end)))
             return i, model.transform(test).agg(F.avg(F.pow(F.col(target) - F.col("yhat"), 2))).first()[0]
 
         with ThreadPoolExecutor(parallelism) as pool:
             scored = list(pool.map(mse, [(i, c) for i in range(len(settings)) for c in cuts]))
-    finally:
-        held.unpersist()
     rows = []
     for i, params in enumerate(settings):
         values = [v for j, v in scored if j == i and v is not None]

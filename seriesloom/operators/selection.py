@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from seriesloom.operators.models import fit_forest
 from seriesloom.operators.stats import column_moments, raw_gram_matrix, solve_centred, vif_values
+from seriesloom.session import held
 
 
 def select_by_vif(df: DataFrame, features: Sequence[str], *, threshold: float = 10.0, max_features: int | None = None) -> list[str]:
@@ -58,10 +59,11 @@ def rfe_forest(df: DataFrame, features: Sequence[str], target: str, *, keep: int
     """Refit a forest and drop the ``step`` least important features until
     ``keep`` (default a third) remain."""
     kept, keep = list(features), keep or max(len(features) // 3, 1)
-    while len(kept) > keep:
-        scores = forest_importance(df, kept, target, **params)
-        drop = sorted(kept, key=lambda f: scores[f])[: min(step, len(kept) - keep)]
-        kept = [f for f in kept if f not in drop]
+    with held(df.select(*features, target)) as frame:
+        while len(kept) > keep:
+            scores = forest_importance(frame, kept, target, **params)
+            drop = sorted(kept, key=lambda f: scores[f])[: min(step, len(kept) - keep)]
+            kept = [f for f in kept if f not in drop]
     return kept
 
 
@@ -127,6 +129,7 @@ def select_with_priority(features: Sequence[str], importance: dict[str, float],
 
 def select_features(df: DataFrame, features: Sequence[str], target: str, *, vif_threshold: float = 50.0, vif_max: int = 30, importance: float = 0.01, keep: int = 20, **params) -> list[str]:
     """VIF, then importance, then recursive elimination."""
-    kept = select_by_vif(df, features, threshold=vif_threshold, max_features=vif_max)
-    kept = select_by_importance(df, kept, target, threshold=importance, **params) or kept
-    return rfe_forest(df, kept, target, keep=min(keep, len(kept)), **params)
+    with held(df.select(*features, target)) as frame:
+        kept = select_by_vif(frame, features, threshold=vif_threshold, max_features=vif_max)
+        kept = select_by_importance(frame, kept, target, threshold=importance, **params) or kept
+        return rfe_forest(frame, kept, target, keep=min(keep, len(kept)), **params)

@@ -17,6 +17,7 @@ from seriesloom.functions.expressions import attach_row, finite, ratio
 from seriesloom.functions.windows import series_window
 from seriesloom.operators.projections import replace_infinite
 from seriesloom.operators.quantiles import quantiles
+from seriesloom.session import held
 
 # Up to this many columns a covariance matrix is planned as one expression each.
 FEW_COLUMNS = 6
@@ -161,9 +162,10 @@ def column_moments(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray
         m = complete.agg(*_moments(names)).first()
         return m.n, np.array(m.means, dtype=float), covariance(m.covs, k)
     vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(complete).select("v")
-    stats = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first().s
+    with held(vectors) as frame:
+        stats = frame.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first().s
+        corr = np.nan_to_num(Correlation.corr(frame, "v").first()[0].toArray())
     n, sd = stats["count"], np.sqrt(stats["variance"].toArray() * (stats["count"] - 1) / stats["count"])
-    corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
     return n, stats["mean"].toArray(), corr * np.outer(sd, sd)
 
 
@@ -415,6 +417,7 @@ def residual_histogram(df: DataFrame, residual: str, *, bins: int = 20) -> DataF
 def normal_quantile_pairs(df: DataFrame, residual: str, *, points: int = 19) -> DataFrame:
     """Sample quantiles beside those of the normal distribution."""
     probs = [(i + 1) / (points + 1) for i in range(points)]
-    sample = quantiles(df, [residual], probs)[residual]
+    with held(df.select(residual)) as frame:
+        sample = quantiles(frame, [residual], probs)[residual]
     rows = [(p, normal_quantile(p), sample[p]) for p in probs]
     return df.sparkSession.createDataFrame(rows, "p double, theoretical double, sample double")

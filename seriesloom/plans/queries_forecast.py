@@ -344,11 +344,30 @@ def _ts_cv(spark, sf):
     return round_columns(out, 2, "mae_mean", "mae_std", "rmse_mean", "rmse_std")
 
 
-@query("learning_curve")
+_CURVE_SQL = f"""{P1_SQL}, {_POS_SQL}, fo AS (SELECT n_name, f, n - CAST(floor(n / 6) AS BIGINT) * (5 - f) AS i, CAST(floor(n / 6) AS BIGINT) AS size
+      FROM (SELECT DISTINCT n_name, n FROM d), range(0, 5) t(f)),
+    sh AS (SELECT fo.*, k, greatest(CAST(floor(i * k / 10) AS BIGINT), 3) AS train_rows FROM fo, range(1, 11) t(k)),
+    run AS (SELECT n_name, pos + 1 AS train_rows, regr_slope(revenue, revenue_lag_12) OVER w AS b, regr_intercept(revenue, revenue_lag_12) OVER w AS a
+      FROM d WINDOW w AS (PARTITION BY n_name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    pr AS (SELECT sh.n_name, sh.f, sh.k, d.revenue - (run.a + run.b * d.revenue_lag_12) AS e FROM sh JOIN run USING (n_name, train_rows)
+      JOIN d ON d.n_name = sh.n_name AND d.pos BETWEEN sh.i AND sh.i + sh.size - 1),
+    pf AS (SELECT n_name, k, f, sqrt(avg(e * e)) AS rmse FROM pr GROUP BY ALL)"""
+
+
+@query(
+    "learning_curve",
+    f"""WITH {_CURVE_SQL} SELECT n_name, CAST(k AS INT) AS size_step, {r('avg(rmse)', 1)} AS test_rmse_mean, {r('stddev_pop(rmse)', 1)} AS test_rmse_std FROM pf GROUP BY 1, 2""",
+)
 def _learning_curve(spark, sf):
+    out = bt.learning_curve(_lagged(spark, sf), **NATION, target="revenue", features=["revenue_lag_12"])
+    return round_columns(out, 1)
+
+
+@query("learning_curve_two_features")
+def _learning_curve_two_features(spark, sf):
     panel = lag_features(_revenue(spark, sf), **NATION, cols=["revenue"], lags=[1, 12])
     out = bt.learning_curve(panel, **NATION, target="revenue", features=["revenue_lag_1", "revenue_lag_12"])
-    return round_columns(out, 3)
+    return round_columns(out, 1)
 
 
 # ---------------------------------------------------------------- regression

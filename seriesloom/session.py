@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,3 +37,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seriesloom-"))
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a narrow frame in memory and on disk while several passes read it.
+
+    Lost blocks are recomputed from the lineage, so losing an executor costs
+    time only.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
