@@ -137,7 +137,9 @@ def _resample_month_last(spark, sf):
 @query(
     "asof_month_end",
     f"""WITH {_PRIORITY_SQL}, m AS (SELECT o_orderpriority, CAST(date_trunc('month', day) AS DATE) AS day, arg_max(total, day) AS total FROM pd GROUP BY 1, 2)
-        SELECT o_orderpriority, day, total FROM m""",
+        , g AS (SELECT o_orderpriority, CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS day FROM m GROUP BY 1)
+        SELECT g.o_orderpriority, g.day, last_value(m.total IGNORE NULLS) OVER (PARTITION BY g.o_orderpriority ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+        FROM g LEFT JOIN m USING (o_orderpriority, day)""",
 )
 def _asof_month_end(spark, sf):
     return last_known_at_period_end(_priority_days(spark, sf), keys=["o_orderpriority"], date="day", cols=["total"])
