@@ -160,10 +160,25 @@ def _lagged(x: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
     return np.column_stack([x[start - k : len(x) - k] for k in lags]) if lags else np.empty((len(x) - start, 0))
 
 
+STABLE_RADIUS = 0.99
+
+
+def _radius(weights: np.ndarray, lags: Sequence[int]) -> float:
+    """Largest inverse root of ``1 - sum w_k B^k``; below 1 means that all
+    roots lie outside the unit circle."""
+    if not lags:
+        return 0.0
+    poly = np.zeros(max(lags) + 1)
+    poly[0] = 1.0
+    poly[list(lags)] = -weights
+    return float(np.abs(np.roots(poly)).max(initial=0.0))
+
+
 def seasonal_arma(y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int], m: int) -> dict | None:
     """Two-stage least squares: residuals of a long autoregression stand in
-    for the shocks, then AR and MA terms are one regression.  None when the
-    series is too short."""
+    for the shocks, then AR and MA terms are one regression.  Explosive AR terms
+    are shrunk to just inside the stationary region.  None when the series is
+    too short."""
     (p, d, q), (sp, sd, sq) = order, seasonal
     steps = [m] * sd + [1] * d
     z = reduce(_difference, steps, y) if len(y) > sum(steps) else np.empty(0)
@@ -181,11 +196,16 @@ def seasonal_arma(y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[in
         shocks[long:] = z[long:] - first @ np.linalg.lstsq(first, z[long:], rcond=None)[0]
     design = np.column_stack([np.ones(len(z) - start), _lagged(z, ar, start), _lagged(shocks, ma, start)])
     beta = np.linalg.lstsq(design, z[start:], rcond=None)[0]
+    radius = _radius(beta[1 : len(ar) + 1], ar)
+    if radius >= 1:
+        # Pull explosive roots back, or the forecast grows without bound.
+        beta[1 : len(ar) + 1] *= (STABLE_RADIUS / radius) ** np.array(ar)
+        beta[0] = np.mean(z[start:] - design[:, 1:] @ beta[1:])
     residual = z[start:] - design @ beta
     n, sigma2 = len(residual), max(float(np.mean(residual**2)), 1e-300)
     fit = n * np.log(sigma2)
     shocks[start:] = residual
-    return {"beta": beta, "ar": ar, "ma": ma, "z": z, "shocks": shocks, "steps": steps, "sigma2": sigma2, "aic": fit + 2 * k, "bic": fit + np.log(n) * k}
+    return {"beta": beta, "ar": ar, "ma": ma, "z": z, "shocks": shocks, "steps": steps, "sigma2": sigma2, "stationary": radius < 1, "aic": fit + 2 * k, "bic": fit + np.log(n) * k}
 
 
 def _extend(beta, ar, ma, z, shocks, h: int) -> np.ndarray:
@@ -279,22 +299,24 @@ def arima_grid(
     m: int = 12,
     criterion: str = "aic",
 ) -> DataFrame:
-    """AIC and BIC of every order for every series, best one marked.
+    """AIC and BIC of every order for every series, best one marked, and
+    whether the AR roots as estimated lie outside the unit circle.
 
     The grid is crossed in by exploding a literal array, so each (series,
     order) pair is a task-sized group of its own.
     """
     fields = [f for f in df.schema.fields if f.name in keys]
     names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", p int, d int, q int, aic double, bic double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", p int, d int, q int, aic double, bic double, stationary boolean"
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
         y = pdf[value].dropna().to_numpy(float)
         order = tuple(int(pdf[c].iloc[0]) for c in "pdq")
-        fit = seasonal_arma(y, order, seasonal, m) or {"aic": None, "bic": None}
+        fit = seasonal_arma(y, order, seasonal, m) or {"aic": None, "bic": None, "stationary": None}
         out = pdf[[*names, "p", "d", "q"]].head(1)
-        return out.assign(aic=fit["aic"], bic=fit["bic"]).astype({"aic": float, "bic": float})
+        out = out.assign(aic=fit["aic"], bic=fit["bic"], stationary=fit["stationary"])
+        return out.astype({"aic": float, "bic": float})
 
     grid = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("pdq", order)]) for order in orders])
     narrow = df.select(*names, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))

@@ -329,3 +329,12 @@ def test_design_has_no_leak(series):
     assert "value" not in names and not {"key", "date"} & set(names)
     last = frame_.orderBy(F.desc("date")).first()
     assert last["value_ma_3"] == pytest.approx(np.mean([38**2, 37**2, 36**2]))
+
+
+def test_explosive_terms_are_pulled_back(series):
+    x = [1.3**i for i in range(40)]
+    fit = ml.seasonal_arma(np.array(x), (1, 0, 0), (0, 0, 0), 12)
+    assert not fit["stationary"] and abs(fit["beta"][1]) <= 0.99
+    assert ml.seasonal_arma(np.sin(np.arange(60.0)) + 0.1 * np.arange(60) % 3, (1, 0, 0), (0, 0, 0), 12)["stationary"]
+    out = ml.panel_arima(series({"a": x}), **K, value="value", order=(1, 0, 0), seasonal=(0, 0, 0), periods=200, log=False)
+    assert all(math.isfinite(r.forecast) for r in out.collect())
