@@ -200,7 +200,7 @@ def clean(
 
     Without ``methods``: text columns take the mode, numeric ones are
     interpolated.  Methods: drop, mean, median, mode, forward, backward,
-    interpolate, time, zero, knn, none.
+    interpolate, time, zero, knn, iterative, none.
     """
     plan = dict(methods or {})
     values = [f for f in df.schema.fields if f.name not in (*keys, date)]
@@ -225,6 +225,8 @@ def clean(
         out = fill_mode(out, keys=keys, cols=using("mode"))
     if len(knn) > 1:
         out = fill_knn(out, keys=keys, date=date, cols=knn)
+    if using("iterative"):
+        out = fill_iterative(out, keys=keys, cols=using("iterative"))
     if using("forward"):
         out = fill_forward(out, keys=keys, date=date, cols=using("forward"))
     if using("backward"):

@@ -13,6 +13,7 @@ from seriesloom.operators.features import lag_exprs
 from seriesloom.operators.impute import clean
 from seriesloom.operators.outliers import clip_flagged_series
 from seriesloom.operators.panel import align_sources, outer_merge_many
+from seriesloom.operators.quality import flagged_sources, quality_report
 
 
 def prepare_panel(
@@ -43,6 +44,12 @@ def complete_dataset(sources: Mapping[str, DataFrame], *, keys: Sequence[str], d
     return clean(merged, keys=keys, date=date)
 
 
+def clean_flagged(sources: Mapping[str, DataFrame], *, keys: Sequence[str], dates: Mapping[str, str]) -> dict[str, DataFrame]:
+    """Clean the sources whose quality report says so; the others pass through."""
+    flagged = set(flagged_sources(quality_report(sources, dates=dates)))
+    return {n: clean(df, keys=keys, date=dates[n]) if n in flagged else df for n, df in sources.items()}
+
+
 def insight_report(df: DataFrame, *, keys: Sequence[str], date: str, target: str, drivers: tuple[str, str], max_lag: int = 12) -> DataFrame:
     """``(keys, insight, value)``: peak and trough month, correlations, the
     best lead of each driver and the drivers' shares in a joint regression.

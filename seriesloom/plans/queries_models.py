@@ -12,6 +12,7 @@ from seriesloom.operators import backtest as bt
 from seriesloom.operators import models as ml
 from seriesloom.operators import selection as sel
 from seriesloom.operators import stats as st
+from seriesloom.operators.scenario import model_bounds
 from seriesloom.plans.registry import query
 from seriesloom.plans.tables import nation_panel
 
@@ -77,7 +78,7 @@ def _hyperparam_search(spark, sf):
 def _forecast_frozen(spark, sf):
     frame, names = _design(spark, sf)
     model = ml.fit_forest(frame, names, "revenue")
-    return round_columns(ml.frozen_forecast(model, frame, names, **NATION), 4)
+    return round_columns(model_bounds(ml.frozen_forecast(model, frame, names, **NATION), "forecast"), 4)
 
 
 @query("panel_arima")

@@ -220,3 +220,19 @@ def test_bundle_is_one_window_and_one_exchange(series):
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
     assert "SinglePartition" not in plan
+
+
+def test_iterative_method_and_edge_fill(spark):
+    rows = [("a", dt.date(2020, 1, i + 1), float(i), None if i == 3 else 2.0 * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "key string, date date, x double, y double")
+    out = impute.clean(df, **K, methods={"x": "iterative", "y": "iterative"}, cap=False)
+    assert out.filter("date = '2020-01-04'").first().y == pytest.approx(6.0, abs=0.1)
+
+
+def test_only_flagged_sources_are_cleaned(series):
+    from seriesloom.operators.reports import clean_flagged
+
+    good, bad = series({"a": [1, 2, 3]}), series({"a": [1, None, 3]})
+    out = clean_flagged({"good": good, "bad": bad}, keys=["key"], dates={"good": "date", "bad": "date"})
+    assert out["good"] is good
+    assert [r.value for r in out["bad"].orderBy("date").collect()] == [1, 2, 3]

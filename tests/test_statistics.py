@@ -338,3 +338,8 @@ def test_explosive_terms_are_pulled_back(series):
     assert ml.seasonal_arma(np.sin(np.arange(60.0)) + 0.1 * np.arange(60) % 3, (1, 0, 0), (0, 0, 0), 12)["stationary"]
     out = ml.panel_arima(series({"a": x}), **K, value="value", order=(1, 0, 0), seasonal=(0, 0, 0), periods=200, log=False)
     assert all(math.isfinite(r.forecast) for r in out.collect())
+
+
+def test_ensemble_folds_hold_at_least_five_rows(series):
+    folds = bt.backtest_windows(series({"a": range(40)}), bt.ensemble_folds(5), **K).orderBy("window").collect()
+    assert [f.test_from for f in folds] == [15, 20, 25, 30, 35]
