@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from seriesloom.functions.expressions import as_col, numeric_columns, ratio
 from seriesloom.functions.windows import filled_forward, position, series_window, spread
 
-KNN_CHUNK = 256
+KNN_CELLS = 4_000_000  # cells of one distance block, about 32 MB
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -113,7 +113,8 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
         has = ~np.isnan(x)
         zero, filled = np.where(has, x, 0.0), x.copy()
         incomplete = np.flatnonzero(~has.all(axis=1))
-        for part in np.array_split(incomplete, len(incomplete) // KNN_CHUNK + 1):
+        rows = max(KNN_CELLS // x.size, 1)
+        for part in np.array_split(incomplete, len(incomplete) // rows + 1):
             both = has[part][:, None, :] & has[None, :, :]
             shared = both.sum(axis=2)
             square = np.where(both, (zero[None, :, :] - zero[part][:, None, :]) ** 2, 0.0).sum(axis=2)
@@ -149,12 +150,11 @@ def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], r
     ``tolerance`` of its column's deviation.
     """
     from seriesloom.operators.stats import covariance, solve_centred
-    from seriesloom.session import ensure_checkpoint_dir
+    from seriesloom.session import settled
 
-    ensure_checkpoint_dir(df.sparkSession)
     names = list(cols)
     work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in names})
-    work = fill_mean(work.withColumns({c: F.col(c).cast("double") for c in names}), keys=keys, cols=names).checkpoint()
+    work = settled(fill_mean(work.withColumns({c: F.col(c).cast("double") for c in names}), keys=keys, cols=names))
     start = work.agg(
         *[F.avg(c).alias(c) for c in names],
         *[F.stddev_samp(c).alias(f"sd_{c}") for c in names],
@@ -180,7 +180,7 @@ def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], r
                 value = value + F.col(o) * b
             update[c] = F.when(F.col(f"_gap_{c}"), value).otherwise(F.col(c))
         moved = {f"_move_{c}": F.abs(update[c] - F.col(c)) for c in targets}
-        work = work.withColumns({**update, **moved}).checkpoint()
+        work = settled(work.withColumns({**update, **moved}))
         largest = work.agg(*[F.max(f"_move_{c}").alias(c) for c in targets]).first()
         work = work.drop(*moved)
         if all(largest[c] <= tolerance * (start[f"sd_{c}"] or 1.0) for c in targets):

@@ -96,8 +96,9 @@ def align_sources(
     others; otherwise the last observation of the month counts.  Gaps are
     interpolated by elapsed days and the edges filled.
 
-    All sources are stacked and aggregated once; the range is a scalar
-    subquery over that same aggregate, so its shuffle is reused.
+    All sources are stacked and aggregated in one shuffle.  The range is a
+    scalar subquery over the dates, so each source is read twice: settle
+    (``session.settled``) a source that is costly to derive.
     """
     names, k = list(sources), list(keys)
     stacked = [

@@ -23,6 +23,7 @@ from seriesloom.plans.tables import (
     user_days_dense,
     user_days_wide,
 )
+from seriesloom.session import settled
 
 NATION = {"keys": ["n_name"], "date": "month"}
 USER = {"keys": ["user_id"], "date": "day"}
@@ -192,7 +193,10 @@ _POS = "row_number() OVER (PARTITION BY {} ORDER BY {})"
         WINDOW w AS (PARTITION BY n_name ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
 )
 def _align_sources(spark, sf):
-    sources = {"revenue": nation_panel(spark, sf), "ship_qty": nation_ship_qty(spark, sf)}
+    sources = {
+        "revenue": settled(nation_panel(spark, sf).select("n_name", "month", "revenue")),
+        "ship_qty": settled(nation_ship_qty(spark, sf)),
+    }
     aligned = panel.align_sources(sources, **NATION, value={"revenue": "revenue", "ship_qty": "ship_qty"})
     return round_columns(aligned, 4)
 

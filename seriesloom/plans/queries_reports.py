@@ -7,6 +7,7 @@ from seriesloom.operators import reports
 from seriesloom.plans.queries_joins import _DAYS, _POS, _interp_sql
 from seriesloom.plans.registry import query, r
 from seriesloom.plans.tables import P1_SHIP_SQL, P1_SQL, nation_panel, nation_ship_qty
+from seriesloom.session import settled
 
 NATION = {"keys": ["n_name"], "date": "month"}
 VALUE = {"revenue": "revenue", "ship_qty": "ship_qty"}
@@ -16,6 +17,12 @@ def _sources(spark, sf):
     return {"revenue": nation_panel(spark, sf), "ship_qty": nation_ship_qty(spark, sf)}
 
 
+def _settled_sources(spark, sf):
+    """The panels are small and their joins are not, and aligning reads them
+    for the range and for the values."""
+    return {n: settled(df.select("n_name", "month", VALUE[n])) for n, df in _sources(spark, sf).items()}
+
+
 def _clip_sql(c: str) -> str:
     s = {k: f"{k} OVER k" for k in (f"avg({c})", f"stddev_pop({c})", f"min({c})", f"max({c})")}
     q = {p: f"quantile_cont({c}, {p}) OVER k" for p in (0.01, 0.25, 0.75, 0.99)}
@@ -49,7 +56,7 @@ def _mean(n: int) -> str:
           {', '.join(f"{r(f'lag(log_revenue, {k}) OVER (PARTITION BY n_name ORDER BY month)', 6)} AS log_revenue_lag_{k}" for k in (1, 2, 3))}, {_mean(3)}, {_mean(12)} FROM lg""",
 )
 def _prepare_panel(spark, sf):
-    out = reports.prepare_panel(_sources(spark, sf), **NATION, value=VALUE, target="revenue")
+    out = reports.prepare_panel(_settled_sources(spark, sf), **NATION, value=VALUE, target="revenue")
     out = round_columns(out, 6, *[c for c in out.columns if c.startswith("log_")])
     return round_columns(out, 3, "revenue", "ship_qty")
 

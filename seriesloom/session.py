@@ -30,15 +30,25 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; only where none is named
-    (tests, one machine) point Spark at a fresh temporary folder."""
+    """Use the checkpoint folder the cluster names.  Where none is named, a
+    local session (tests, one machine) gets a fresh temporary folder; on a
+    cluster that would not be shared, so it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seriesloom-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small but costly frame (such as a panel made
+    from large tables) that the next plan reads more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a narrow frame in memory and on disk while several passes read it.

@@ -75,3 +75,11 @@ def test_feature_names_resolve(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "a double, b_gold double, log_c double, d double")
     row = resolve_features(df, ["a", "b", "c", "d_oil", "x", "e"], aliases={"e": "a"}, suffixes=["_gold", "_oil"]).first()
     assert tuple(row) == (1.0, 2.0, 3.0, 4.0, 0.0, 1.0)
+
+
+def test_settled_frames_forget_their_lineage(spark):
+    from seriesloom.session import settled
+
+    out = settled(spark.range(10).selectExpr("id % 3 AS k").groupBy("k").count())
+    assert "Range" not in out._jdf.queryExecution().logical().toString()
+    assert sum(r["count"] for r in out.collect()) == 10
