@@ -5,8 +5,8 @@
    that holds a third of all rows is spread over ``salts`` groups.
 3. The salt winners of a digest, at most ``salts`` a text, meet and are combined.
 
-Winners go back to the rows by (digest, salt), along pairs that stage 2 already
-has, so no task sees a whole hot group.  Two texts of one SHA-256 digest would be
+Winners go back to the rows by (digest, salt), along the salts that stage 2 has
+seen (one bit each, so 64 at most); no task sees a whole hot group.  Two texts of one SHA-256 digest would be
 seen in stage 3 and stop the job instead of being merged.
 
 Nulls and empty texts are equal to each other.  A null id is smaller than any
@@ -43,18 +43,13 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     winners = (
         merged.repartition("digest")
         .groupBy("digest", "content")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.expr("bit_or(shiftleft(1L, salt))").alias("seen"))
         .groupBy("digest")
-        .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-        .select(
-            "digest",
-            "keep_id",
-            F.when(F.col("texts") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
-            .alias("group_size"),
-        )
+        .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max("seen").alias("seen"), F.count(F.lit(1)).alias("texts"))
     )
-    routes = merged.select("digest", "salt").join(winners, "digest")
+    alone = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
+    slots = F.expr(f"filter(sequence(0, {salts - 1}), k -> (shiftright(seen, k) & 1) = 1)")
+    routes = winners.select("digest", F.explode(slots).alias("salt"), "keep_id", alone.alias("group_size"))
     rows = docs.select(key.alias("doc_id"), _digest(content).alias("digest"), _salt(key, salts).alias("salt"))
     return rows.join(routes, ["digest", "salt"]).select(
         "doc_id",
