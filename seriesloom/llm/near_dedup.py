@@ -7,12 +7,13 @@ the leading one (0: empty bucket).  Bands of five registers are the search keys:
 
 Documents of equal sets are merged first, so groups below hold different sets.
 Candidates of a band are tested against the smallest id of the band, never all
-against all.  A pair first needs a Jaccard estimate (share of equal registers,
+against all: first each document against its smallest partner, then against those
+that are still in another component.  A pair first needs a Jaccard estimate (share of equal registers,
 corrected for chance collisions of the stored bits) within five standard errors
 of the threshold, then passes a comparison of its full sets.  Bands whose members
 still belong to different components are looked at again: in small ones every
-pair across components is tested, in large ones further leaders are, until a
-round finds no new link.
+pair across components is tested, in large ones further leaders are, in rounds,
+until a round finds no new link.
 
 Nulls and texts without words have an empty set: linked with nothing and kept.
 Ids are meant to be unique.  Rows that share an id are one node of the graph: a
@@ -157,11 +158,32 @@ def connected(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _pairs_of_small(groups: DataFrame) -> DataFrame:
+def _sized(a: str, b: str, percent: int) -> str:
+    """Sets whose sizes differ too much cannot be that similar."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _pairs_of_small(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs across components within bands of at most SMALL members."""
-    lists = groups.groupBy("band").agg(F.collect_list(F.struct("id", "root")).alias("all"))
-    one = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    return one.filter("x.id < y.id and x.root <> y.root").select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    lists = groups.groupBy("band").agg(F.collect_list(F.struct("id", "root", "n")).alias("all"))
+    one = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.expr("filter(all, y -> y.id > x.id and y.root <> x.root)")).alias("y"))
+    return one.filter(_sized("x.n", "y.n", percent)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+
+
+def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one component, with their component and the band's size."""
+    labelled = members.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    return labelled.join(checkpointed(several.select("band", "size")), "band")
+
+
+def _leader_pairs(groups: DataFrame, percent: int, seed: str) -> DataFrame:
+    """Pairs of members with a few leaders of their band, chosen by hash, of other components."""
+    picks = [F.min(F.struct(F.xxhash64(F.lit(f"{seed}-{k}"), "id"), F.col("id"), F.col("root"), F.col("n"))).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = groups.groupBy("band").agg(*picks)
+    leaders = checkpointed(leaders.select("band", F.explode(F.array(*[F.struct(f"l{k}.id", f"l{k}.root", f"l{k}.n") for k in range(LEADERS)])).alias("l")))
+    crossed = groups.join(leaders, "band").filter("root <> l.root").filter(_sized("n", "l.n", percent))
+    return crossed.select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
 
 
 class _Search:
@@ -197,31 +219,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketches = groups.select("id", "n", "sketch")
     width = 2 * BAND
     bands = (
-        sketches.select("id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "sketch")
-        .select("id", "i", F.substring("sketch", F.col("i") * width + 1, F.lit(width)).alias("part"))
+        sketches.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "sketch")
+        .select("id", "n", "i", F.substring("sketch", F.col("i") * width + 1, F.lit(width)).alias("part"))
         .filter(F.col("part") != F.lit(bytes(width)))
-        .select("id", F.xxhash64("i", "part").alias("band"))
+        .select("id", "n", F.xxhash64("i", "part").alias("band"))
     )
     shared = checkpointed(bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("band", "lead"))
-    members = checkpointed(bands.join(shared, "band").select("band", "id", "lead"))
-    pairs = members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = search.tested(pairs, sketches)
+    members = checkpointed(bands.join(shared, "band").select("band", "id", "n", "lead"))
+    pairs = checkpointed(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    links = search.tested(pairs.groupBy("a").agg(F.min("b").alias("b")), sketches)
+    roots = connected(links)
+    apart = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("r")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("s")), "b", "left")
+    apart = apart.filter("coalesce(r, a) <> coalesce(s, b)").select("a", "b")
+    links = links.unionByName(search.tested(apart, sketches))
+    roots = connected(links)
+    everywhere = True
     while True:
-        roots = connected(links)
-        labelled = members.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        open_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        open_bands = checkpointed(open_bands.select("band", "size"))
-        again = checkpointed(labelled.join(open_bands, "band"))
-        before = links.count()
-        new = _pairs_of_small(again.filter(F.col("size") <= SMALL))
-        picks = [F.min(F.struct(F.xxhash64(F.lit(f"{before}-{k}"), "id"), F.col("id"), F.col("root"))).alias(f"l{k}") for k in range(LEADERS)]
-        leaders = again.filter(F.col("size") > SMALL).groupBy("band").agg(*picks)
-        leaders = checkpointed(leaders.select("band", F.explode(F.array(*[F.struct(f"l{k}.id", f"l{k}.root") for k in range(LEADERS)])).alias("l")))
-        crossed = again.filter(F.col("size") > SMALL).join(leaders, "band").filter("root <> l.root")
-        new = new.unionByName(crossed.select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b"))).distinct()
-        links = checkpointed(links.unionByName(search.tested(new, sketches)).distinct())
-        if links.count() == before:
+        again = checkpointed(_open_bands(members, roots))
+        new = _leader_pairs(again.filter(F.col("size") > SMALL), percent, str(links.count()))
+        if everywhere:
+            new = new.unionByName(_pairs_of_small(again.filter(F.col("size") <= SMALL), percent)).distinct()
+        found = search.tested(new, sketches)
+        if found.isEmpty():
             break
+        everywhere, links = False, links.unionByName(found)
+        roots = connected(links)
     rep_roots = roots.select(F.col("id").alias("rep"), "root")
     reps = checkpointed(classes.join(rep_roots, "rep", "left").select(F.col("digest").alias("key"), "size", F.coalesce("root", "rep").alias("root")))
     out = sizes.join(reps, (F.col("digest") == F.col("key")) & (F.col("n") == F.col("size")), "left")
