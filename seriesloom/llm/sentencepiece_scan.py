@@ -40,7 +40,7 @@ from seriesloom.llm.common import checkpointed, small_batches
 MARK = "▁"
 CHUNK = 32_768
 FAN = 64
-CACHE = 400_000
+CACHE = 200_000
 NEVER = float("-inf")
 PENALTY = 10.0
 
@@ -76,6 +76,12 @@ class Vocabulary:
         self.plain = [raw if i in own_bytes else raw.replace(MARK.encode(), b" ") for i, raw in enumerate(self.raw)]
         self.units = self._cut_rule()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.worth = np.zeros(n)
+        for piece, i in self.ids.items():
+            self.worth[i] = self.scores[piece]
+        for b, i in self.byte_ids.items():  # a character without a piece counts once, at its leading byte
+            self.worth[i] = self.unknown if b & 0xC0 != 0x80 else 0.0
 
     def _cut_rule(self) -> re.Pattern | None:
         """Stretches between places that no piece spans: before marks, around newlines, before some punctuation."""
@@ -92,20 +98,24 @@ class Vocabulary:
         n = len(text)
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[start] = 0.0
-        starts, unknown, longest = self.starts, self.unknown, self.longest
+        get, unknown, longest = self.starts.get, self.unknown, self.longest
         for i in range(start, n):
             here = best[i]
-            single = starts.get(text[i])
-            reach = here + (unknown if single is None else single)
-            if reach > best[i + 1]:
-                best[i + 1], back[i + 1] = reach, i
+            single = get(text[i])
+            value = here + (unknown if single is None else single)
+            if value > best[i + 1]:
+                best[i + 1] = value
+                back[i + 1] = i
             for j in range(i + 2, min(i + longest, n) + 1):
-                piece = text[i:j]
-                if piece not in starts:  # nothing in the vocabulary begins like this
+                s = get(text[i:j], False)
+                if s is None:  # only the beginning of a piece
+                    continue
+                if s is False:
                     break
-                s = starts[piece]
-                if s is not None and here + s > best[j]:
-                    best[j], back[j] = here + s, i
+                value = here + s
+                if value > best[j]:
+                    best[j] = value
+                    back[j] = i
         return best, back
 
     def trace(self, text: str, back: list[int], start: int, end: int, literal: str) -> bytes:
@@ -126,22 +136,22 @@ class Vocabulary:
 
     def unit(self, text: str, literal: str) -> bytes:
         """Ids of a stretch between two cuts."""
-        found = self.cache.get(text)
+        found = self.cache.get(text) or self.older.get(text)
         if found is None:
             _, back = self.forward(text)
             found = self.trace(text, back, 0, len(text), literal)
-            if len(text) < 64 and not (literal and literal in text):
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = found
+        if len(text) < 64 and not (literal and literal in text):
+            if len(self.cache) >= CACHE:  # what is still in use moves on, the rest goes with the next turn
+                self.cache, self.older = {}, self.cache
+            self.cache[text] = found
         return found
 
     def stretch(self, text: str, literal: str) -> bytes:
         """The same for any text that starts and ends at cuts."""
         if self.units is None:
             return self.unit(text, literal)
-        unit, cache = self.unit, self.cache
-        return b"".join([cache.get(u) or unit(u, literal) for u in self.units.findall(text)])
+        known, unit = self.cache.get, self.unit
+        return b"".join([known(u) or unit(u, literal) for u in self.units.findall(text)])
 
     def cuts(self, text: str, low: int, high: int) -> tuple[int, int] | None:
         """First cut at or after ``low`` and last one at or before ``high``."""
@@ -154,7 +164,7 @@ class Vocabulary:
                 last = m.start()
         return None if first is None else (first, last)
 
-    def transfer(self, text: str, n: int) -> np.ndarray:
+    def transfer(self, text: str, n: int, literal: str = "") -> np.ndarray:
         """Matrix [covered at the start, reach beyond n] of the chunk text[:n]; the rest of ``text`` is what follows."""
         width = self.longest
         out = np.full((width, width), NEVER)
@@ -167,7 +177,7 @@ class Vocabulary:
                 self._into(out[i], self._forward_to(text, n, i)[0], n, reach)
         if cut:
             head, (first, last) = out[:, 0].copy(), cut
-            middle = sum(self.forward(u)[0][-1] for u in self.units.findall(text[first:last]))
+            middle = float(self.worth[np.frombuffer(self.stretch(text[first:last], literal), np.int32)].sum())
             tail = np.full(width, NEVER)
             self._into(tail, self._forward_to(text[last:], n - last)[0], n - last, reach)
             out = head[:, None] + middle + tail[None, :]
@@ -267,7 +277,7 @@ def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path)
         for batch in batches:
-            found = [vocabulary.transfer(t, n).tobytes() for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [vocabulary.transfer(*x).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["row", "i", "m"])
 
     return run
