@@ -10,10 +10,11 @@ Candidates of a band are tested against the smallest id of the band, never all
 against all: first each document against its smallest partner, then against those
 that are still in another component.  A pair first needs a Jaccard estimate (share of equal registers,
 corrected for chance collisions of the stored bits) within five standard errors
-of the threshold, then passes a comparison of its full sets.  Bands whose members
-still belong to different components are looked at again: in small ones every
-pair across components is tested, in large ones further leaders are, in rounds,
-until a round finds no new link.
+of the threshold, then passes a comparison of its full sets.  Last, in every band
+that still holds several components all pairs across components are tested: small
+bands give the pairs as rows, larger ones are compared in blocks inside tasks and
+only give the pairs that pass the estimate.  So every pair that shares a band is
+either linked through others already or tested.
 
 Nulls and texts without words have an empty set: linked with nothing and kept.
 Ids are meant to be unique.  Rows that share an id are one node of the graph: a
@@ -23,6 +24,7 @@ no component and is not compared.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ REGISTERS = 256
 BAND = 5
 BANDS = REGISTERS // BAND
 MANTISSA = 10
-SMALL = 48
-LEADERS = 4
+SMALL = 8
+BLOCK = 1024
 PERCENT = 75
 
 
@@ -72,6 +74,18 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return np.maximum(raw - chance, 0) / (1 - chance), used
 
 
+def floor(used: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Share of equal registers five standard errors below the threshold.
+
+    Used registers sample the union of both sets without replacement, so small sets have small errors.
+    """
+    j = percent / 100
+    used = np.maximum(used, 1)
+    union = np.maximum((size_a + size_b) / (1 + j), used)
+    error = np.sqrt(j * (1 - j) / used * (union - used) / np.maximum(union - 1, 1))
+    return j - 5 * error - 1 / used
+
+
 def _sets(column: pa.Array, length: int) -> list[np.ndarray]:
     return shingle_sets(words(*utf8(column), SPACED), length)
 
@@ -115,8 +129,7 @@ def _estimator(percent: int):
             a, b, n, m, left, right = (batch.column(i) for i in range(6))
             n, m = n.to_numpy(), m.to_numpy()
             found, used = similarity(_matrix(left), _matrix(right), n, m)
-            limit = percent / 100 - 5 * np.sqrt(0.25 / np.maximum(used, 1))
-            passed = (found >= limit) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            passed = (found >= floor(used, n, m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(passed))
 
     return run
@@ -171,19 +184,55 @@ def _pairs_of_small(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of bands that hold more than one component, with their component and the band's size."""
+    """(band, id, n, root, size) of the members of bands that hold more than one component."""
     labelled = members.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    return labelled.join(checkpointed(several.select("band", "size")), "band")
+    return labelled.join(several.select("band", "size"), "band")
+
+
+def _compared(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one block pair (id, root, n, side, sketch) that may be similar enough: across sides, or all if there is one side."""
+    ids, roots, sizes, sides = (np.array([r[k] for r in rows]) for k in range(4))
+    m = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+    one = (sides == sides[0]).all()
+    for i in range(len(rows) - 1):
+        rest = np.arange(i + 1, len(rows))
+        ok = (roots[rest] != roots[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+        rest = rest[ok & (one | (sides[rest] != sides[i]))]
+        if len(rest):
+            used = ((m[rest] > 0) | (m[i] > 0)).sum(axis=1)
+            equal = ((m[rest] == m[i]) & (m[i] > 0)).sum(axis=1)
+            for j in rest[equal >= used * floor(used, sizes[rest], sizes[i], percent)]:
+                yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+
+def _block_comparer(percent: int):
+    """Rows come sorted by block pair; a block pair holds two blocks at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for *now, id_, root, n, side, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    found += _compared(rows, percent) if rows else []
+                    key, rows = now, []
+                rows.append((id_, root, n, side, sketch))
+            yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = list(_compared(rows, percent)) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
-def _leader_pairs(groups: DataFrame, percent: int, seed: str) -> DataFrame:
-    """Pairs of members with a few leaders of their band, chosen by hash, of other components."""
-    picks = [F.min(F.struct(F.xxhash64(F.lit(f"{seed}-{k}"), "id"), F.col("id"), F.col("root"), F.col("n"))).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = groups.groupBy("band").agg(*picks)
-    leaders = checkpointed(leaders.select("band", F.explode(F.array(*[F.struct(f"l{k}.id", f"l{k}.root", f"l{k}.n") for k in range(LEADERS)])).alias("l")))
-    crossed = groups.join(leaders, "band").filter("root <> l.root").filter(_sized("n", "l.n", percent))
-    return crossed.select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
+
+def _pairs_of_large(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The same within larger bands, whose members are compared block by block inside tasks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = groups.withColumn("blocks", blocks).withColumn("side", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.join(sketches.select("id", "sketch"), "id")
+    keyed = each.select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "root", "n", "side", "sketch")
+    return keyed.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_block_comparer(percent), "a long, b long").distinct()
 
 
 class _Search:
@@ -191,6 +240,11 @@ class _Search:
         self.docs, self.length, self.percent = docs, length, percent
         self.spark = docs.sparkSession
 
+    def tidy(self) -> None:
+        """Let the cleaner remove the shuffle files and checkpoints of rounds that are over."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def tested(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Links among candidate ``pairs`` (a, b)."""
         left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -224,26 +278,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         .filter(F.col("part") != F.lit(bytes(width)))
         .select("id", "n", F.xxhash64("i", "part").alias("band"))
     )
-    shared = checkpointed(bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("band", "lead"))
-    members = checkpointed(bands.join(shared, "band").select("band", "id", "n", "lead"))
-    pairs = checkpointed(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    first = (F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.max("id").alias("last"))
+    shared = checkpointed(bands.groupBy("band").agg(*first).filter("lead <> last").select("band", "lead", "lead_n"))
+    members = checkpointed(bands.join(shared, "band").select("band", "id", "n", "lead", "lead_n"))
+    pairs = members.filter("id <> lead").filter(_sized("n", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = checkpointed(pairs)
     links = search.tested(pairs.groupBy("a").agg(F.min("b").alias("b")), sketches)
     roots = connected(links)
     apart = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("r")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("s")), "b", "left")
     apart = apart.filter("coalesce(r, a) <> coalesce(s, b)").select("a", "b")
     links = links.unionByName(search.tested(apart, sketches))
     roots = connected(links)
-    everywhere = True
-    while True:
-        again = checkpointed(_open_bands(members, roots))
-        new = _leader_pairs(again.filter(F.col("size") > SMALL), percent, str(links.count()))
-        if everywhere:
-            new = new.unionByName(_pairs_of_small(again.filter(F.col("size") <= SMALL), percent)).distinct()
-        found = search.tested(new, sketches)
-        if found.isEmpty():
-            break
-        everywhere, links = False, links.unionByName(found)
-        roots = connected(links)
+    members = checkpointed(_open_bands(members, roots))
+    search.tidy()
+    small = _pairs_of_small(members.filter(F.col("size") <= SMALL), percent)
+    large = _pairs_of_large(members.filter(F.col("size") > SMALL), sketches, percent)
+    links = links.unionByName(search.tested(small.unionByName(large).distinct(), sketches))
+    roots = connected(links)
     rep_roots = roots.select(F.col("id").alias("rep"), "root")
     reps = checkpointed(classes.join(rep_roots, "rep", "left").select(F.col("digest").alias("key"), "size", F.coalesce("root", "rep").alias("root")))
     out = sizes.join(reps, (F.col("digest") == F.col("key")) & (F.col("n") == F.col("size")), "left")
