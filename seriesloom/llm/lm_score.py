@@ -28,7 +28,8 @@ from seriesloom.llm.common import fold, small_batches, utf8
 from seriesloom.llm.lexing import SPACED, words
 
 FREQUENT, BUCKETS, WIDTH, SIDE = 192, 64, 16, 2
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.15
+STRIDE, ROUNDS, BATCH, RATE = 16, 2, 128, 0.3
+SCORE_BATCH = 4096
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -158,8 +159,8 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None
             inside = symbols < net.symbols
             logs = np.zeros(len(symbols))
             at = np.flatnonzero(inside)
-            for a in range(0, len(at), 4 * BATCH):
-                part = at[a : a + 4 * BATCH]
+            for a in range(0, len(at), SCORE_BATCH):
+                part = at[a : a + SCORE_BATCH]
                 _, p = net.predict(symbols, part)
                 logs[part] = np.log(p[np.arange(len(part)), symbols[part]])
             total, count = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(inside)]
