@@ -241,6 +241,18 @@ def arma_forecast(y: np.ndarray, fit: Mapping, h: int) -> tuple[np.ndarray, np.n
     return _integrate(ahead, y, fit["steps"]), np.sqrt(fit["sigma2"] * np.cumsum(psi**2))
 
 
+def monthly(pdf: pd.DataFrame, date: str, value: str) -> tuple[np.ndarray, object]:
+    """Values of one series on every month from its first to its last observed one,
+    gaps filled on a straight line, and the last date; so lag 12 is the same month."""
+    seen = pdf[pdf[value].notna()]
+    if not len(seen):
+        return np.zeros(0), None
+    when = pd.to_datetime(seen[date])
+    month = (when.dt.year * 12 + when.dt.month).to_numpy()
+    at = np.arange(month[0], month[-1] + 1)
+    return np.interp(at, month, seen[value].to_numpy(float)), seen[date].iloc[-1]
+
+
 def panel_arima(
     df: DataFrame,
     *,
@@ -266,8 +278,7 @@ def panel_arima(
 
     def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
-        y = pdf[value].to_numpy(float)
-        y = y[~np.isnan(y)]
+        y, last = monthly(pdf, date, value)
         shift = max(-y.min(), 0.0) if log and len(y) else 0.0
         x = np.log1p(y + shift) if log else y
         fit = seasonal_arma(x, order, seasonal, m)
@@ -278,7 +289,7 @@ def panel_arima(
         if log:
             bands = [np.expm1(b) - shift for b in bands]
         out = pd.DataFrame(dict(zip(("forecast", "lower_95", "upper_95"), bands)))
-        out["step"], out["last"] = np.arange(1, periods + 1), pdf[date].iloc[-1]
+        out["step"], out["last"] = np.arange(1, periods + 1), last
         for k in names:
             out[k] = pdf[k].iloc[0]
         return out[[*names, "step", "last", "forecast", "lower_95", "upper_95"]]
@@ -311,7 +322,7 @@ def arima_grid(
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
-        y = pdf[value].dropna().to_numpy(float)
+        y, _ = monthly(pdf, date, value)
         order = tuple(int(pdf[c].iloc[0]) for c in "pdq")
         fit = seasonal_arma(y, order, seasonal, m) or {"aic": None, "bic": None, "stationary": None}
         out = pdf[[*names, "p", "d", "q"]].head(1)

@@ -21,12 +21,12 @@ from seriesloom.session import held
 
 def select_by_vif(df: DataFrame, features: Sequence[str], *, threshold: float = 10.0, max_features: int | None = None) -> list[str]:
     """Drop the feature with the highest VIF until all are at or below the
-    threshold and at most ``max_features`` are left."""
+    threshold or, where ``max_features`` is given, no more than that are left."""
     g, kept = raw_gram_matrix(df, features), list(range(len(features)))
     while len(kept) > 1:
         vifs = [math.inf if v is None else v for v in vif_values(g[np.ix_(kept, kept)])]
         worst = int(np.argmax(vifs))
-        if vifs[worst] <= threshold and (max_features is None or len(kept) <= max_features):
+        if vifs[worst] <= threshold or (max_features is not None and len(kept) <= max_features):
             break
         kept.pop(worst)
     return [features[i] for i in kept]

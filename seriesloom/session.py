@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -30,16 +29,12 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names.  Where none is named, a
-    local session (tests, one machine) gets a fresh temporary folder; on a
-    cluster that would not be shared, so it is an error."""
+    """Use the checkpoint folder the cluster names; where none is named, one in
+    the warehouse, which all executors share as well."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seriesloom-"))
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
 
 
 def settled(df: DataFrame) -> DataFrame:

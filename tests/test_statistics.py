@@ -343,3 +343,28 @@ def test_explosive_terms_are_pulled_back(series):
 def test_ensemble_folds_hold_at_least_five_rows(series):
     folds = bt.backtest_windows(series({"a": range(40)}), bt.ensemble_folds(5), **K).orderBy("window").collect()
     assert [f.test_from for f in folds] == [15, 20, 25, 30, 35]
+
+
+def test_vif_stops_at_the_threshold_or_the_count(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    free = [tuple(map(float, r)) for r in rng.normal(size=(200, 3))]
+    names = ["a", "b", "c"]
+    assert sel.select_by_vif(spark.createDataFrame(free, names), names, threshold=10, max_features=2) == names
+    base = rng.normal(size=200)
+    tied = [tuple(float(x + 0.01 * e) for e in rng.normal(size=4)) for x in base]
+    four = ["a", "b", "c", "d"]
+    assert len(sel.select_by_vif(spark.createDataFrame(tied, four), four, threshold=10, max_features=3)) == 3
+
+
+def test_seasonal_forecast_keeps_its_months_over_gaps(spark):
+    import datetime as dt
+
+    from seriesloom.operators.models import panel_arima
+
+    gone = {7, 20, 33, 50}
+    rows = [("a", dt.date(2015 + i // 12, i % 12 + 1, 1), None if i in gone else 150.0 if i % 12 == 11 else 100.0 + i % 3) for i in range(72)]
+    out = panel_arima(spark.createDataFrame(rows, "k string, d date, v double"), keys=["k"], date="d", value="v").collect()
+    best = max(out, key=lambda r: r.forecast)
+    assert best.d.month == 12 and all(r.forecast < 125 for r in out if r is not best)
