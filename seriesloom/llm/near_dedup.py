@@ -4,6 +4,9 @@ A document's set of word shingles is hashed into 256 buckets.  Of each bucket th
 smallest value is stored in 16 bits: its leading-zero count and the ten bits after
 the leading one (0: empty bucket).  Bands of five registers are the search keys:
 51 bands miss a pair of similarity 0.75 with probability (1 - 0.75^5)^51 = 1e-6.
+A small set leaves most buckets empty; in a band an empty bucket is stood for by
+the first filled one of a fixed random order, so that every band of every set has
+five values, each shared with the probability of the similarity.
 
 Documents of equal sets are merged first, so groups below hold different sets.
 Candidates of a band are tested against the smallest id of the band, never all
@@ -60,6 +63,29 @@ def registers(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _orders() -> np.ndarray:
+    """For every bucket a random order of all buckets that starts with itself."""
+    out = np.argsort(np.random.default_rng(REGISTERS).random((REGISTERS, REGISTERS)), axis=1)
+    return np.array([np.r_[i, row[row != i]] for i, row in enumerate(out)], np.uint8)
+
+
+ORDERS = _orders()
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """Keys of the bands of one sketch that is not empty."""
+    filled = sketch > 0
+    if filled.all():
+        source = np.arange(REGISTERS)
+    else:
+        source = ORDERS[np.arange(REGISTERS), np.argmax(filled[ORDERS], axis=1)].astype(np.int64)
+    values = (source.astype(np.uint64) << np.uint64(16)) | sketch[source].astype(np.uint64)
+    key = mix(np.arange(BANDS, dtype=np.uint64))
+    for column in values[: BANDS * BAND].reshape(BANDS, BAND).T:
+        key = mix(key ^ column)
+    return key.view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated Jaccard similarity of rows of registers, and how many registers tell of it."""
     used = ((a > 0) | (b > 0)).sum(axis=1)
@@ -109,6 +135,14 @@ def _sketcher(length: int):
     return run
 
 
+def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [band_keys(row) for row in _matrix(batch.column(2))]
+        if keys:
+            ids, n = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(np.concatenate(keys))], ["id", "n", "band"])
+
+
 def _set_maker(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,13 +305,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     groups = checkpointed(known.groupBy("digest", "n", "sketch").agg(F.min("id").alias("id")))
     classes = groups.select("digest", F.col("n").alias("size"), F.col("id").alias("rep"))
     sketches = groups.select("id", "n", "sketch")
-    width = 2 * BAND
-    bands = (
-        sketches.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "sketch")
-        .select("id", "n", "i", F.substring("sketch", F.col("i") * width + 1, F.lit(width)).alias("part"))
-        .filter(F.col("part") != F.lit(bytes(width)))
-        .select("id", "n", F.xxhash64("i", "part").alias("band"))
-    )
+    bands = sketches.mapInArrow(_bander, "id long, n long, band long")
     first = (F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.max("id").alias("last"))
     shared = checkpointed(bands.groupBy("band").agg(*first).filter("lead <> last").select("band", "lead", "lead_n"))
     members = checkpointed(bands.join(shared, "band").select("band", "id", "n", "lead", "lead_n"))
