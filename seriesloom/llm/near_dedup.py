@@ -15,9 +15,11 @@ that are still in another component.  A pair first needs a Jaccard estimate (sha
 corrected for chance collisions of the stored bits) within five standard errors
 of the threshold, then passes a comparison of its full sets.  Last, in every band
 that still holds several components all pairs across components are tested: small
-bands give the pairs as rows, larger ones are compared in blocks inside tasks and
-only give the pairs that pass the estimate.  So every pair that shares a band is
-either linked through others already or tested.
+bands give the pairs as rows, larger ones are compared in blocks inside tasks.
+There sets of at most 256 members, no longer than their registers would be useful
+for, come whole: they are compared exactly and only give the links that join what
+is still apart.  Pairs with a larger set give a row if they pass the estimate.  So
+every pair that shares a band is either linked through others already or tested.
 
 Nulls and texts without words have an empty set: linked with nothing and kept.
 Ids are meant to be unique.  Rows that share an id are one node of the graph: a
@@ -45,6 +47,7 @@ BANDS = REGISTERS // BAND
 MANTISSA = 10
 SMALL = 8
 BLOCK = 1024
+WHOLE = 256
 PERCENT = 75
 
 
@@ -224,14 +227,54 @@ def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.join(several.select("band", "size"), "band")
 
 
-def _compared(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one block pair (id, root, n, side, sketch) that may be similar enough: across sides, or all if there is one side."""
-    ids, roots, sizes, sides = (np.array([r[k] for r in rows]) for k in range(4))
-    m = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
-    one = (sides == sides[0]).all()
-    for i in range(len(rows) - 1):
-        rest = np.arange(i + 1, len(rows))
-        ok = (roots[rest] != roots[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+class _Forest:
+    """Components known so far inside one block pair."""
+
+    def __init__(self, roots: np.ndarray):
+        self.up = {int(r): int(r) for r in roots}
+
+    def top(self, r: int) -> int:
+        while self.up[r] != r:
+            self.up[r] = r = self.up[self.up[r]]
+        return r
+
+    def tops(self, roots: np.ndarray) -> np.ndarray:
+        return np.fromiter((self.top(int(r)) for r in roots), np.int64, len(roots))
+
+
+def _exact_links(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between whole small sets, as few as join what they join."""
+    if len(ids) < 2:
+        return
+    forest, one = _Forest(roots), bool((sides == sides[0]).all())
+    value, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(place, kind="stable")
+    by_value, begin = owner[order], np.searchsorted(place[order], np.arange(len(value) + 1))
+    ends = np.r_[0, np.cumsum(sizes)]
+    now = forest.tops(roots)
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        ok = (now[rest] != now[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+        if not (ok if one else ok & (sides[rest] != sides[i])).any():
+            continue
+        rest = rest[ok if one else ok & (sides[rest] != sides[i])]
+        spans = [by_value[begin[v] : begin[v + 1]] for v in place[ends[i] : ends[i + 1]]]
+        common = np.bincount(np.concatenate(spans), minlength=len(ids))[rest]
+        for j in rest[100 * common >= percent * (sizes[rest] + sizes[i] - common)]:
+            x, y = forest.top(int(roots[i])), forest.top(int(roots[j]))
+            if x != y:
+                forest.up[max(x, y)] = min(x, y)
+                now[(now == x) | (now == y)] = min(x, y)
+                yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+
+def _likely_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sides: np.ndarray, whole: np.ndarray, m: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs whose registers pass the estimate, but for those of two whole sets."""
+    one = bool((sides == sides[0]).all())
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        ok = ~(whole[rest] & whole[i]) & (roots[rest] != roots[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
         rest = rest[ok & (one | (sides[rest] != sides[i]))]
         if len(rest):
             used = ((m[rest] > 0) | (m[i] > 0)).sum(axis=1)
@@ -240,33 +283,62 @@ def _compared(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
                 yield max(ids[i], ids[j]), min(ids[i], ids[j])
 
 
+def _compared(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, bool]]:
+    """(a, b, sure) of one block pair (id, root, n, side, sketch, members): across sides, or all if there is one side.
+
+    Sets of at most ``WHOLE`` members come whole and are compared exactly among themselves; every pair with a larger
+    one must pass the estimate.
+    """
+    ids, roots, sizes, sides = (np.array([r[k] for r in rows]) for k in range(4))
+    whole = np.array([r[5] is not None for r in rows])
+    sets = {k: np.frombuffer(rows[k][5], np.uint64) for k in np.flatnonzero(whole).tolist()}
+    for k, members in sets.items():
+        sizes[k] = len(members)
+    at = np.array(list(sets), np.int64)
+    for a, b in _exact_links(ids[at], roots[at], sizes[at], sides[at], list(sets.values()), percent):
+        yield a, b, True
+    most = np.flatnonzero(100 * sizes >= percent * WHOLE)  # smaller ones have no partner beyond WHOLE
+    if not whole[most].all():
+        m = np.frombuffer(b"".join(registers(sets[k]).tobytes() if k in sets else rows[k][4] for k in most.tolist()), np.uint16)
+        for a, b in _likely_pairs(ids[most], roots[most], sizes[most], sides[most], whole[most], m.reshape(len(most), REGISTERS), percent):
+            yield a, b, False
+
+
 def _block_comparer(percent: int):
     """Rows come sorted by block pair; a block pair holds two blocks at most."""
 
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        ids = [pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array([f[2] for f in found], pa.bool_())], ["a", "b", "sure"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             found = []
-            for *now, id_, root, n, side, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *now, id_, root, n, side, sketch, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     found += _compared(rows, percent) if rows else []
                     key, rows = now, []
-                rows.append((id_, root, n, side, sketch))
-            yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = list(_compared(rows, percent)) if rows else []
-        yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                rows.append((id_, root, n, side, sketch, members))
+            yield out(found)
+        yield out(list(_compared(rows, percent)) if rows else [])
 
     return run
 
 
-def _pairs_of_large(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The same within larger bands, whose members are compared block by block inside tasks."""
+def _pairs_of_large(groups: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure) within larger bands, whose members are compared block by block inside tasks.
+
+    ``sets`` has the members of sets of at most ``WHOLE``; they travel in place of the registers.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = groups.withColumn("blocks", blocks).withColumn("side", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.join(sketches.select("id", "sketch"), "id")
-    keyed = each.select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "root", "n", "side", "sketch")
-    return keyed.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_block_comparer(percent), "a long, b long").distinct()
+    wide = sketches.filter(F.col("n") > WHOLE).select("id", "sketch", F.lit(None).cast("binary").alias("members"))
+    wide = wide.unionByName(sets.select("id", F.lit(None).cast("binary").alias("sketch"), "members"))
+    each = each.join(wide, "id")
+    keyed = each.select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "root", "n", "side", "sketch", "members")
+    return keyed.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_block_comparer(percent), "a long, b long, sure boolean").distinct()
 
 
 class _Search:
@@ -279,6 +351,10 @@ class _Search:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, members): the full sets of the documents named by ``__wanted``."""
+        return keep_rows(self.docs, ids, (self.docs["id"], "__wanted")).mapInArrow(_set_maker(self.length), "id long, members binary")
+
     def tested(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Links among candidate ``pairs`` (a, b)."""
         left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -287,8 +363,7 @@ class _Search:
             pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_estimator(self.percent), "a long, b long")
         )
         ids = near.select(F.explode(F.array("a", "b")).alias("__wanted")).distinct()
-        sets = keep_rows(self.docs, ids, (self.docs["id"], "__wanted")).mapInArrow(_set_maker(self.length), "id long, members binary")
-        sets = checkpointed(sets)
+        sets = checkpointed(self.sets(ids))
         full = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
         return checkpointed(full.select("a", "b", "m_a", "m_b").mapInArrow(_confirmer(self.percent), "a long, b long"))
@@ -320,8 +395,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = checkpointed(_open_bands(members, roots))
     search.tidy()
     small = _pairs_of_small(members.filter(F.col("size") <= SMALL), percent)
-    large = _pairs_of_large(members.filter(F.col("size") > SMALL), sketches, percent)
-    links = links.unionByName(search.tested(small.unionByName(large).distinct(), sketches))
+    wide = members.filter(F.col("size") > SMALL)
+    sets = checkpointed(search.sets(wide.filter(F.col("n") <= WHOLE).select(F.col("id").alias("__wanted")).distinct()))
+    large = checkpointed(_pairs_of_large(wide, sketches, sets, percent))
+    links = links.unionByName(large.filter("sure").select("a", "b"))
+    links = links.unionByName(search.tested(small.unionByName(large.filter("not sure").select("a", "b")).distinct(), sketches))
     roots = connected(links)
     rep_roots = roots.select(F.col("id").alias("rep"), "root")
     reps = checkpointed(classes.join(rep_roots, "rep", "left").select(F.col("digest").alias("key"), "size", F.coalesce("root", "rep").alias("root")))

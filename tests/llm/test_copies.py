@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from seriesloom.llm import decontaminate, exact_dedup, line_dedup, near_dedup
 from seriesloom.llm.queries import op6_decontaminate  # noqa: F401 - imported by name elsewhere
 
@@ -65,6 +67,32 @@ def test_near_against_brute_force(docs):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == _near_brute(rows)
 
 
+def test_blocks_against_brute_force():
+    rng = np.random.default_rng(8)
+    for sides in ([0], [0, 1]):
+        rows, base = [], None
+        for k in range(120):
+            if k % 12 == 0:
+                base = np.unique(rng.integers(0, 2**63, rng.choice([6, 40, 250, 300]), dtype=np.uint64))
+            members = np.unique(np.concatenate((base[rng.random(len(base)) > 0.08], rng.integers(0, 2**63, 1, dtype=np.uint64))))
+            small = len(members) <= near_dedup.WHOLE
+            rows.append((k, k, len(members), sides[k % len(sides)], None if small else near_dedup.registers(members).tobytes(), members.tobytes() if small else None))
+            rows[-1] += (set(members.tolist()),)
+        found = list(near_dedup._compared([r[:6] for r in rows], 75))
+        linked = {(b[0], a[0]): len(a[6] & b[6]) * 100 >= 75 * len(a[6] | b[6]) for a in rows for b in rows if a[0] < b[0] and (len(sides) == 1 or a[3] != b[3])}
+        true = [p for p, yes in linked.items() if yes]
+        assert all(linked[(a, b)] for a, b, sure in found if sure)
+
+        def classes(pairs):
+            up = list(range(120))
+            for a, b in sorted(pairs):
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+            return up
+
+        assert true and classes([(a, b) for a, b, sure in found if sure or linked[(a, b)]]) == classes(true)
+
+
 def test_near_hard_cases(docs):
     frame = docs([(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "")])
     out = near_dedup.drop_near(frame)
