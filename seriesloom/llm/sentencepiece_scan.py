@@ -41,6 +41,9 @@ MARK = "▁"
 CHUNK = 32_768
 FAN = 64
 CACHE = 200_000
+UNIT = 64
+ROWS = 2048
+TOGETHER = 1_000_000
 NEVER = float("-inf")
 PENALTY = 10.0
 
@@ -75,6 +78,7 @@ class Vocabulary:
         own_bytes = frozenset(self.byte_ids.values())
         self.plain = [raw if i in own_bytes else raw.replace(MARK.encode(), b" ") for i, raw in enumerate(self.raw)]
         self.units = self._cut_rule()
+        self._build_steps()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.worth = np.zeros(n)
@@ -140,7 +144,7 @@ class Vocabulary:
         if found is None:
             _, back = self.forward(text)
             found = self.trace(text, back, 0, len(text), literal)
-        if len(text) < 64 and not (literal and literal in text):
+        if len(text) < UNIT and not (literal and literal in text):
             if len(self.cache) >= CACHE:  # what is still in use moves on, the rest goes with the next turn
                 self.cache, self.older = {}, self.cache
             self.cache[text] = found
@@ -150,8 +154,113 @@ class Vocabulary:
         """The same for any text that starts and ends at cuts."""
         if self.units is None:
             return self.unit(text, literal)
-        known, unit = self.cache.get, self.unit
-        return b"".join([known(u) or unit(u, literal) for u in self.units.findall(text)])
+        if literal:
+            return b"".join([self.unit(u, literal) for u in self.units.findall(text)])
+        return self.stretches([text])[0]
+
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        """Several texts without literal marks: what the cache lacks is solved for all of them at once."""
+        cut = [self.units.findall(text) for text in texts]
+        if len(self.cache) >= CACHE:  # what is still in use moves on, the rest goes with the next turn
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        fresh = set().union(*cut).difference(cache)
+        cache.update((u, older[u]) for u in fresh if u in older)
+        fresh.difference_update(older)
+        short = [u for u in fresh if len(u) < UNIT]
+        cache.update(zip(short, self.solve(short), strict=True))
+        once = [u for u in fresh if len(u) >= UNIT]
+        for u in once:
+            cache[u] = self.unit(u, "")
+        out = [b"".join(map(cache.__getitem__, units)) for units in cut]
+        for u in once:
+            del cache[u]
+        return out
+
+    def solve(self, units: list[str]) -> list[bytes]:
+        """Ids of many short stretches, a block of similar lengths at a time."""
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        out = [b""] * len(units)
+        for i in range(0, len(order), ROWS):
+            part = order[i : i + ROWS]
+            for k, ids in zip(part, self._solve_block([units[k] for k in part]), strict=True):
+                out[k] = self.unit(units[k], "") if ids is None else ids
+        return out
+
+    def _solve_block(self, units: list[str]) -> list[bytes | None]:
+        """``forward`` and ``trace`` over rows of characters; None where a character has no piece."""
+        rows, width = len(units), len(units[-1])
+        size = np.array([len(u) for u in units])
+        chars = np.zeros((rows, width), np.int64)
+        chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        best = np.full((width + 1, rows), NEVER)
+        best[0] = 0.0
+        back, last = np.zeros((width + 1, rows), np.int64), np.full((width + 1, rows), -1, np.int32)
+        known = np.ones(rows, bool)
+        for i in range(width):
+            at = np.flatnonzero(size > i)
+            node = np.zeros(len(at), np.int64)
+            for j in range(i + 1, min(i + self.longest, width) + 1):
+                node = self._step(node, chars[at, j - 1])
+                going = node >= 0
+                if j == i + 1:
+                    first = np.full(len(at), -1, np.int32)
+                    first[going] = self.node_ids[node[going]]
+                    known[at[first < 0]] = False
+                at, node = at[going], node[going]
+                if not len(at):
+                    break
+                ids = self.node_ids[node]
+                value = np.where(ids >= 0, best[i, at] + self.node_scores[node], NEVER)
+                better = value > best[j, at]
+                won = at[better]
+                best[j, won], back[j, won], last[j, won] = value[better], i, ids[better]
+        ids = np.full((rows, width), -1, np.int32)
+        end, row = size.copy(), np.flatnonzero(known & (size > 0))
+        while len(row):
+            begin = back[end[row], row]
+            ids[row, begin] = last[end[row], row]
+            end[row] = begin
+            row = row[begin > 0]
+        filled = ids >= 0
+        raw, stops = ids[filled].tobytes(), (4 * np.cumsum(filled.sum(axis=1))).tolist()
+        return [raw[a:b] if ok else None for a, b, ok in zip([0, *stops], stops, known.tolist(), strict=False)]
+
+    def _build_steps(self) -> None:
+        """Beginnings of pieces as nodes; (node, character) leads to the next node through a hash table."""
+        texts = ["", *sorted(self.starts)]
+        number = {t: k for k, t in enumerate(texts)}
+        self.node_ids = np.array([self.ids.get(t, -1) for t in texts], np.int32)
+        self.node_scores = np.array([self.scores.get(t, 0.0) for t in texts])
+        key = np.array([number[t[:-1]] << 21 | ord(t[-1]) for t in texts[1:]], np.int64)
+        self.slots = 1 << max(4, (4 * len(key)).bit_length())
+        self.slot_key, self.slot_node = np.full(self.slots, -1, np.int64), np.full(self.slots, -1, np.int64)
+        todo, node, slot = key, np.arange(1, len(texts)), self._slot(key)
+        while len(todo):
+            free = self.slot_key[slot] < 0
+            self.slot_key[slot[free]] = todo[free]  # of several on one slot the last stays
+            mine = self.slot_key[slot] == todo
+            self.slot_node[slot[mine]] = node[mine]
+            todo, node, slot = todo[~mine], node[~mine], (slot[~mine] + 1) % self.slots
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(40)) % np.uint64(self.slots)).astype(np.int64)
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Node after one more character, -1 if no piece begins that way."""
+        key = node << 21 | char
+        slot = self._slot(key)
+        out, found = self.slot_node[slot], self.slot_key[slot]
+        again = np.flatnonzero((found != key) & (found >= 0))
+        out[found != key] = -1
+        while len(again):
+            slot[again] = (slot[again] + 1) % self.slots
+            found = self.slot_key[slot[again]]
+            hit = found == key[again]
+            out[again[hit]] = self.slot_node[slot[again[hit]]]
+            again = again[~hit & (found >= 0)]
+        return out
 
     def cuts(self, text: str, low: int, high: int) -> tuple[int, int] | None:
         """First cut at or after ``low`` and last one at or before ``high``."""
@@ -249,6 +358,25 @@ def encode_text(vocabulary: Vocabulary, text: str) -> np.ndarray:
     return np.frombuffer(vocabulary.stretch(whole, literal), np.int32)
 
 
+def encode_texts(vocabulary: Vocabulary, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+    """Ids of every text; about ``TOGETHER`` characters are segmented at once."""
+    i = 0
+    while i < len(texts):
+        j, held = i, 0
+        while j < len(texts) and (j == i or held < TOGETHER):
+            held += len(texts[j] or "")
+            j += 1
+        whole = {k: prepared(texts[k]) for k in range(i, j) if texts[k]}
+        plain = [k for k, (_, literal) in whole.items() if not literal and vocabulary.units]
+        found = dict(zip(plain, vocabulary.stretches([whole[k][0] for k in plain]) if plain else [], strict=True))
+        for k in range(i, j):
+            if texts[k]:
+                yield np.frombuffer(found[k] if k in found else vocabulary.stretch(*whole[k]), np.int32)
+            else:
+                yield None if texts[k] is None else np.zeros(0, np.int32)
+        i = j
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
@@ -351,7 +479,7 @@ def encode(docs: DataFrame, *, text: str = "text", model: str | None = None, chu
     def short(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = loaded(path)
         for column in texts:
-            yield _lists([None if t is None else encode_text(vocabulary, t) for t in column.to_pylist()])
+            yield _lists(list(encode_texts(vocabulary, column.to_pylist())))
 
     is_long = F.coalesce(F.char_length(docs[text]) > chunk, F.lit(False))
     near = docs.filter(~is_long).select(*others, short.asNondeterministic()(docs[text]).alias("ids"))

@@ -49,6 +49,21 @@ def test_chunked_scan_equals_direct(spark, docs):
     assert sp.encode(docs(rows).limit(0)).count() == 0
 
 
+def test_many_at_once_equal_one_by_one(vocabulary):
+    rng = random.Random(9)
+    letters = "abcdefghinorstuy ´ñéß²▁\n.,漢😀" + "etaoin " * 3
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 9, 80, 900]))) for _ in range(200)] + [None, "", "x" * 3000, "ee " * 2000]
+    got = list(sp.encode_texts(vocabulary, texts))
+    for text, ids in zip(texts, got, strict=True):
+        if text is None:
+            assert ids is None
+        else:
+            whole, literal = sp.prepared(text)
+            _, back = vocabulary.forward(whole)
+            want = vocabulary.trace(whole, back, 0, len(whole), literal) if text else b""
+            assert ids.tobytes() == want
+
+
 def test_max_plus_is_associative():
     rng = np.random.default_rng(2)
     a, b, c = rng.integers(-50, 0, (3, 6, 6)).astype(float)
