@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 256
+HASHES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,13 @@ def keep_rows(docs: DataFrame, kept: DataFrame, *keys: tuple[Column, str]) -> Da
         same = left.eqNullSafe(kept[right])
         on = same if on is None else on & same
     return docs.join(kept, on, "left_semi")
+
+
+def thinned(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose long ``column`` is not in the only column of ``wanted``, before they are shuffled.
+
+    The hashes of the wanted values take at most ``HASHES`` values, whatever the input, so they are broadcast.  Values
+    that share a hash with a wanted one pass: an exact join has to follow.  Where the hashes are used up, all rows pass.
+    """
+    hashed = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(HASHES)).alias("__hash")).distinct()
+    return rows.join(F.broadcast(hashed), F.pmod(F.xxhash64(rows[column]), F.lit(HASHES)) == hashed["__hash"], "left_semi")

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed, keep_rows, small_batches, utf8
+from seriesloom.llm.common import checkpointed, keep_rows, small_batches, thinned, utf8
 from seriesloom.llm.lexing import SPACED, mix, shingle_sets, words
 
 WORDS = 5
@@ -187,6 +187,12 @@ def _confirmer(percent: int):
     return run
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the cleaner remove the shuffle files and checkpoints of rounds that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b); root is the smallest reachable id.
 
@@ -206,6 +212,7 @@ def connected(links: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         state = now
+        tidy(edges.sparkSession)
 
 
 def _sized(a: str, b: str, percent: int) -> str:
@@ -344,19 +351,16 @@ def _pairs_of_large(groups: DataFrame, sketches: DataFrame, sets: DataFrame, per
 class _Search:
     def __init__(self, docs: DataFrame, length: int, percent: int):
         self.docs, self.length, self.percent = docs, length, percent
-        self.spark = docs.sparkSession
-
-    def tidy(self) -> None:
-        """Let the cleaner remove the shuffle files and checkpoints of rounds that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, members): the full sets of the documents named by ``__wanted``."""
-        return keep_rows(self.docs, ids, (self.docs["id"], "__wanted")).mapInArrow(_set_maker(self.length), "id long, members binary")
+        docs = thinned(self.docs, "id", ids)
+        return keep_rows(docs, ids, (docs["id"], "__wanted")).mapInArrow(_set_maker(self.length), "id long, members binary")
 
     def tested(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Links among candidate ``pairs`` (a, b)."""
+        pairs = checkpointed(pairs)
+        sketches = thinned(sketches, "id", pairs.select(F.explode(F.array("a", "b"))))
         left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
         right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
         near = checkpointed(
@@ -364,6 +368,7 @@ class _Search:
         )
         ids = near.select(F.explode(F.array("a", "b")).alias("__wanted")).distinct()
         sets = checkpointed(self.sets(ids))
+        tidy(sketches.sparkSession)
         full = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
         return checkpointed(full.select("a", "b", "m_a", "m_b").mapInArrow(_confirmer(self.percent), "a long, b long"))
@@ -383,7 +388,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bands = sketches.mapInArrow(_bander, "id long, n long, band long")
     first = (F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.max("id").alias("last"))
     shared = checkpointed(bands.groupBy("band").agg(*first).filter("lead <> last").select("band", "lead", "lead_n"))
-    members = checkpointed(bands.join(shared, "band").select("band", "id", "n", "lead", "lead_n"))
+    tidy(spark)
+    members = checkpointed(thinned(bands, "band", shared.select("band")).join(shared, "band").select("band", "id", "n", "lead", "lead_n"))
     pairs = members.filter("id <> lead").filter(_sized("n", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = checkpointed(pairs)
     links = search.tested(pairs.groupBy("a").agg(F.min("b").alias("b")), sketches)
@@ -393,7 +399,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = links.unionByName(search.tested(apart, sketches))
     roots = connected(links)
     members = checkpointed(_open_bands(members, roots))
-    search.tidy()
+    tidy(spark)
     small = _pairs_of_small(members.filter(F.col("size") <= SMALL), percent)
     wide = members.filter(F.col("size") > SMALL)
     sets = checkpointed(search.sets(wide.filter(F.col("n") <= WHOLE).select(F.col("id").alias("__wanted")).distinct()))
