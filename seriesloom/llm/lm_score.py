@@ -3,7 +3,15 @@
 Symbols are the most frequent words of the whole corpus and, for all others, hash
 buckets.  The network predicts every symbol from the two before and the two after
 it: one embedding table per place, a tanh layer, a softmax.  A document's score
-is the sum of the log-probabilities of its symbols, each given both sides.
+is the sum of the log-probabilities of its words, each given both sides: that of
+the symbol and, for a word of a bucket, that of the word inside the bucket.
+
+Inside a bucket a word has its share of the bucket's occurrences in the corpus, less
+``DISCOUNT``.  What the discounts and the words of over ``SPELLED`` bytes leave goes to
+spelling, byte after byte given the byte before, as counted over all words; so a word
+never seen and a text without spaces have a price too.  Probabilities of the words of
+a bucket add up to one at most.  All words are counted and looked up by 64 hash bits:
+the commonest, up to ``NEAR``, in the workers, all others by a join.
 
 Training is distributed: in every round each partition starts from the shared
 weights, learns from its own documents (every ``stride``-th place of each text, from
@@ -11,25 +19,28 @@ the first on) in numpy, and the weights are averaged, each by the number of plac
 learned from.  Word counts and training take in every document.
 
 Null and empty texts have no symbols and score 0.  Places beyond the ends of a text
-hold a symbol of their own.  An empty table gives an empty result.
+hold a symbol of their own.  An empty table gives an empty result.  A network given
+without ``shares`` scores symbols alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import fold, small_batches, utf8
-from seriesloom.llm.lexing import SPACED, words
+from seriesloom.llm.common import checkpointed, fold, small_batches, utf8
+from seriesloom.llm.lexing import SPACED, Words, words
 
 FREQUENT, BUCKETS, WIDTH, SIDE = 192, 64, 16, 2
 STRIDE, ROUNDS, BATCH, RATE = 16, 2, 128, 0.3
 SCORE_BATCH = 4096
+DISCOUNT, SPELLED, NEAR = 0.5, 32, 1 << 18
+_EDGE = 256  # stands before and after the bytes of a word
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -54,7 +65,9 @@ class Network:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of a batch, each text fenced by SIDE end symbols, and the place of each text's first symbol."""
-        w = words(*utf8(column), SPACED)
+        return self.fenced(words(*utf8(column), SPACED))
+
+    def fenced(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         slot = np.searchsorted(self.frequent, w.value)
         common = np.zeros(len(slot), bool)
         if len(self.frequent):
@@ -78,6 +91,56 @@ class Network:
         return hidden, p
 
 
+@dataclass
+class Shares:
+    """What a word costs inside its hash bucket."""
+
+    counts: DataFrame | None  # (h, n) of every word of at most SPELLED bytes, by hash
+    total: np.ndarray  # occurrences by bucket
+    escape: np.ndarray  # those of them that are left to spelling
+    follow: np.ndarray  # log-probability of a byte after another
+    near: np.ndarray  # sorted hashes of the commonest words
+    near_n: np.ndarray
+
+    def left(self) -> np.ndarray:
+        """Log-share of spelling by bucket; all of it where no word is known."""
+        return np.log(np.where(self.total > 0, self.escape / np.maximum(self.total, 1), 1.0))
+
+    def price(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct words among the words ``at``: log-probability inside the bucket where it is known here (else
+        that of spelling), whether a look-up is still needed, and which of them each word is."""
+        value, first, which = np.unique(w.value[at], return_index=True, return_inverse=True)
+        start, end = w.start[at[first]], w.end[at[first]]
+        bucket = (value % np.uint64(BUCKETS)).astype(np.int64)
+        logs = self.left()[bucket] + spelled(w.data, start, end, self.follow)
+        short = end - start <= SPELLED
+        n = np.zeros(len(value))
+        if len(self.near):
+            slot = np.minimum(np.searchsorted(self.near, value), len(self.near) - 1)
+            n = np.where(short & (self.near[slot] == value), self.near_n[slot], 0)
+        here = n > 0
+        logs[here] = np.log((n[here] - DISCOUNT) / self.total[bucket[here]] + np.exp(logs[here]))
+        return logs, short & ~here, which
+
+
+def _pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of the words and an edge after each, the byte or edge before it, and where each word begins."""
+    size = end - start + 1
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    last = place == np.repeat(size, size) - 1
+    own = np.r_[data, 0].astype(np.int64)[np.minimum(np.repeat(start, size) + place, len(data))]
+    own[last] = _EDGE
+    before = np.where(place == 0, _EDGE, np.r_[_EDGE, own[:-1]])
+    return own, before, begin
+
+
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Log-probability of each word byte by byte."""
+    own, before, begin = _pairs(data, start, end)
+    return np.add.reduceat(follow[before, own], begin) if len(begin) else np.zeros(0)
+
+
 class _Trainer:
     """Adagrad on one copy of the network."""
 
@@ -117,18 +180,73 @@ def _learner(shared, stride: int):
     return run
 
 
-def frequent_words(docs: DataFrame, *, text="text", limit: int = FREQUENT) -> list[tuple[str, int]]:
-    """The most frequent words over all texts (ties in word order) with their counts."""
+def word_counts(docs: DataFrame, *, text="text") -> DataFrame:
+    """(word, n) of every word of all texts."""
     each = docs.select(F.explode(F.split(fold(docs[text]), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [(r[0], r[1]) for r in top.collect()]
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_words(counts: DataFrame, *, limit: int = FREQUENT) -> list[tuple[str, int]]:
+    """The most frequent words (ties in word order) with their counts."""
+    return [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+
+
+def _hasher(frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words(*utf8(batch.column(0)), SPACED)
+            rare = ~np.isin(w.value, frequent)
+            short = (w.end - w.start <= SPELLED)[rare]
+            yield pa.RecordBatch.from_arrays([pa.array(w.value[rare].view(np.int64)), batch.column(1).filter(pa.array(rare)), pa.array(short)], ["h", "n", "short"])
+
+    return run
+
+
+def _speller(frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_EDGE + 1) ** 2, np.int64)
+        for batch in batches:
+            w = words(*utf8(batch.column(0)), SPACED)
+            rare = ~np.isin(w.value, frequent)
+            own, before, _ = _pairs(w.data, w.start[rare], w.end[rare])
+            total += np.bincount(before * (_EDGE + 1) + own, minlength=len(total))
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["k", "n"])
+
+    return run
+
+
+def fit_shares(counts: DataFrame, net: Network, *, near: int = NEAR) -> Shares:
+    """Shares of all words that the network takes for a bucket, from (word, n) of the corpus."""
+    hashed = checkpointed(counts.mapInArrow(_hasher(net.frequent), "h long, n long, short boolean"))
+    total, escape = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rest = F.when(F.col("short"), F.lit(DISCOUNT)).otherwise(F.col("n"))
+    for r in hashed.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("c")).agg(F.sum("n").alias("n"), F.sum(rest).alias("e")).collect():
+        total[r["c"]], escape[r["c"]] = r["n"], r["e"]
+    follow = np.full((_EDGE + 1) ** 2, 0.5)
+    seen = counts.select("word").mapInArrow(_speller(net.frequent), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    follow[seen["k"].to_numpy(np.int64)] += seen["n"].to_numpy(float)
+    follow = follow.reshape(_EDGE + 1, _EDGE + 1)
+    known = hashed.filter("short").groupBy("h").agg(F.sum("n").alias("n"))
+    # the least count whose words fit: by powers of two, so that few rows tell
+    sizes = sorted(((r["p"], r["w"]) for r in known.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("w")).collect()), reverse=True)
+    least, room = None, near
+    for power, size in sizes:
+        if size > room:
+            break
+        least, room = 2**power, room - size
+    top = known.filter(F.col("n") >= least).toPandas() if least else None
+    hashes = top["h"].to_numpy(np.int64).view(np.uint64) if least else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    n = top["n"].to_numpy(float)[order] if least else np.zeros(0)
+    return Shares(known, total, escape, np.log(follow / follow.sum(axis=1, keepdims=True)), hashes[order], n)
 
 
-def fit(docs: DataFrame, *, text="text", stride: int = STRIDE, rounds: int = ROUNDS, limit: int = FREQUENT) -> Network:
+def fit(docs: DataFrame, *, text="text", stride: int = STRIDE, rounds: int = ROUNDS, limit: int = FREQUENT, counts: DataFrame | None = None) -> Network:
     """Count words, then ``rounds`` rounds of local training and averaging."""
     spark = docs.sparkSession
     small_batches(spark)
-    top = frequent_words(docs, text=text, limit=limit)
+    top = frequent_words(counts or word_counts(docs, text=text), limit=limit)
     hashes = np.sort(words(*utf8(pa.array([" ".join(w for w, _ in top)])), SPACED).value)
     n = len(hashes) + BUCKETS
     rng = np.random.default_rng(7)
@@ -145,17 +263,22 @@ def fit(docs: DataFrame, *, text="text", stride: int = STRIDE, rounds: int = ROU
     return net
 
 
-def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None = None, **options) -> DataFrame:
+def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None = None, shares: Shares | None = None, **options) -> DataFrame:
     """(doc_id, n_tokens, log_prob) of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(net or fit(docs, text=text, **options))
+    if net is None:
+        counts = checkpointed(word_counts(docs, text=text))
+        net = fit(docs, text=text, counts=counts, **options)
+        shares = fit_shares(counts, net)
+    shared = spark.sparkContext.broadcast((net, shares and replace(shares, counts=None)))
 
-    @F.arrow_udf("n_tokens long, log_prob double")
+    @F.arrow_udf("n_tokens long, log_prob double, h array<long>, spelled array<double>")
     def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        net = shared.value
+        net, shares = shared.value
         for column in texts:
-            symbols, first = net.encode(column)
+            w = words(*utf8(column), SPACED)
+            symbols, first = net.fenced(w)
             inside = symbols < net.symbols
             logs = np.zeros(len(symbols))
             at = np.flatnonzero(inside)
@@ -163,9 +286,27 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None
                 part = at[a : a + SCORE_BATCH]
                 _, p = net.predict(symbols, part)
                 logs[part] = np.log(p[np.arange(len(part)), symbols[part]])
+            asked, spelling = np.zeros(0, np.int64), np.zeros(0)
+            if shares:
+                rare = np.flatnonzero(symbols[at] >= len(net.frequent))
+                price, ask, which = shares.price(w, rare)
+                logs[at[rare]] += np.where(ask, 0, price)[which]
+                asked, spelling = rare[ask[which]], price[which][ask[which]]
             total, count = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(inside)]
             ends = np.minimum(first, len(symbols))
-            yield pa.StructArray.from_arrays([pa.array(np.diff(count[ends])), pa.array(np.diff(total[ends]))], ["n_tokens", "log_prob"])
+            cuts = pa.array(np.searchsorted(asked, w.first), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(w.value[asked].view(np.int64)), pa.array(spelling))]
+            yield pa.StructArray.from_arrays([pa.array(np.diff(count[ends])), pa.array(np.diff(total[ends])), *lists], ["n_tokens", "log_prob", "h", "spelled"])
 
-    found = docs.select(docs[doc_id].alias("doc_id"), measure.asNondeterministic()(F.coalesce(docs[text], F.lit(""))).alias("m"))
-    return found.select("doc_id", "m.*")
+    found = docs.select(docs[doc_id].alias("doc_id"), F.monotonically_increasing_id().alias("row"), measure.asNondeterministic()(F.coalesce(docs[text], F.lit(""))).alias("m"))
+    found = found.select("doc_id", "row", "m.*")
+    if not shares:
+        return found.select("doc_id", "n_tokens", "log_prob")
+    found = checkpointed(found)
+    each = found.select("row", "spelled", F.posexplode("h").alias("i", "h")).select("row", "h", F.col("spelled")[F.col("i")].alias("spelled"))
+    known = shares.counts.select(F.col("h").alias("__h"), "n")
+    bucket = F.array(*[F.lit(float(x)) for x in shares.total])[F.pmod("h", F.lit(BUCKETS)).cast("int")]
+    own = F.when(F.col("n").isNull(), F.col("spelled")).otherwise(F.log((F.col("n") - DISCOUNT) / bucket + F.exp("spelled")))
+    inner = each.join(known, each["h"] == known["__h"], "left").groupBy(F.col("row").alias("__row")).agg(F.sum(own).alias("__inner"))
+    joined = found.join(inner, found["row"] == inner["__row"], "left")
+    return joined.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("__inner", F.lit(0.0))).alias("log_prob"))

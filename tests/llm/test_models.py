@@ -101,3 +101,33 @@ def test_score_hard_cases(spark):
     out = {r.doc_id: r for r in lm_score.score(docs).collect()}
     assert out[1].log_prob == out[2].log_prob == 0 and out[None].n_tokens == 1 and out[3].n_tokens == 120_000 and out[3].log_prob < 0
     assert lm_score.score(docs.limit(0)).count() == 0
+
+
+def test_words_of_a_bucket_have_their_own_price(spark):
+    """Counts, spelling and look-up against the plain formula; garbled words and texts without spaces cost more."""
+    many = [f"word{i % 300:03d}" for i in range(3000)] + ["zwilling"] * 4 + ["qxjzkw"]
+    docs = spark.createDataFrame([(1, " ".join(many)), (2, "zwilling"), (3, "qxjzkw"), (4, "nospace" * 40)], "doc_id long, text string")
+    counts = lm_score.word_counts(docs)
+    net = lm_score.fit(docs, counts=counts)
+    n = {r.word: r.n for r in counts.collect()}
+    assert n["zwilling"] == 5
+    symbols = {r.doc_id: r.log_prob for r in lm_score.score(docs, net=net).collect()}
+    for near in (0, 1 << 18):
+        shares = lm_score.fit_shares(counts, net, near=near)
+        assert len(shares.near) == (near and sum(len(w) <= lm_score.SPELLED for w in n) - len(net.frequent))
+        got = {r.doc_id: r.log_prob for r in lm_score.score(docs, net=net, shares=shares).collect()}
+
+        def inner(word):
+            w = lm_score.words(*utf8(pa.array([word])), lm_score.SPACED)
+            if w.value[0] in net.frequent:
+                return 0.0
+            c = int(w.value[0] % np.uint64(lm_score.BUCKETS))
+            codes = [256, *word.encode(), 256]
+            spell = shares.escape[c] / shares.total[c] * np.exp(sum(shares.follow[a, b] for a, b in zip(codes, codes[1:])))
+            return np.log((n[word] - 0.5 if len(word) <= lm_score.SPELLED else 0) / shares.total[c] + spell)
+
+        for r in docs.collect():
+            assert abs(got[r.doc_id] - symbols[r.doc_id] - sum(map(inner, r.text.split()))) < 1e-6 * abs(got[r.doc_id])
+        unseen = spark.createDataFrame([(1, "zwillinge"), (2, "zwilling"), (3, "#~^%")], "doc_id long, text string")
+        out = {r.doc_id: r.log_prob - s.log_prob for r, s in zip(*(sorted(lm_score.score(unseen, net=net, **o).collect()) for o in ({"shares": shares}, {})))}
+        assert max(out[1], out[3]) < out[2] < 0 and got[4] < got[3] < got[2] and np.isfinite(list(out.values())).all()
