@@ -14,9 +14,10 @@ a bucket add up to one at most.  All words are counted and looked up by 64 hash
 the commonest, up to ``NEAR``, in the workers, all others by a join.
 
 Training is distributed: in every round each partition starts from the shared
-weights, learns from its own documents (every ``stride``-th place of each text, from
-the first on) in numpy, and the weights are averaged, each by the number of places
-learned from.  Word counts and training take in every document.
+weights, learns from its own documents in numpy, and the weights are averaged, each
+by the number of places learned from.  A round takes every ``rounds``-th place of each
+text, from one on that moves with the round and differs by document, so that together
+the rounds learn from every place of every document once.
 
 Null and empty texts have no symbols and score 0.  Places beyond the ends of a text
 hold a symbol of their own.  An empty table gives an empty result.  A network given
@@ -37,8 +38,8 @@ from seriesloom.llm.common import checkpointed, fold, small_batches, utf8
 from seriesloom.llm.lexing import SPACED, Words, words
 
 FREQUENT, BUCKETS, WIDTH, SIDE = 192, 64, 16, 2
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 128, 0.3
-SCORE_BATCH = 4096
+ROUNDS, BATCH, RATE = 2, 512, 0.3
+SCORE_BATCH = 512
 DISCOUNT, SPELLED, NEAR = 0.5, 32, 1 << 18
 _EDGE = 256  # stands before and after the bytes of a word
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -153,23 +154,29 @@ class _Trainer:
         hidden, p = net.predict(symbols, at)
         p[np.arange(len(at)), symbols[at]] -= 1
         back = (p @ net.outer.T) * (1 - hidden**2)
-        inner = np.zeros_like(net.inner)
-        for table, k in zip(inner, PLACES, strict=True):
-            np.add.at(table, symbols[at + k], back)
+        rows = np.stack([symbols[at + k] + j * len(net.inner[0]) for j, k in enumerate(PLACES)])
+        cells = (rows[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        inner = np.bincount(cells, np.broadcast_to(back, (len(PLACES), *back.shape)).ravel(), net.inner.size).astype(np.float32).reshape(net.inner.shape)
         for value, gradient, total in zip((net.inner, net.outer, net.bias), (inner, hidden.T @ p, p.sum(axis=0)), self.sums, strict=True):
             gradient /= len(at)
             total += gradient**2
             value -= RATE * gradient / np.sqrt(total)
 
 
-def _learner(shared, stride: int):
+def places(symbols: np.ndarray, first: np.ndarray, shift: np.ndarray, turn: int, rounds: int, end: int) -> np.ndarray:
+    """Places of a batch that round ``turn`` learns from; all rounds together have each symbol below ``end`` once."""
+    size = np.diff(np.r_[0, first, len(symbols)])
+    at = np.arange(len(symbols)) - np.repeat(np.r_[0, first], size) + np.repeat(np.r_[0, shift, 0], size)
+    return np.flatnonzero((symbols < end) & ((at + turn) % rounds == 0))
+
+
+def _learner(shared, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value.filled(shared.value.flat())
         trainer, seen = _Trainer(net), 0
         for batch in batches:
             symbols, first = net.encode(batch.column(0))
-            places = np.arange(len(symbols)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(symbols)]))
-            at = np.flatnonzero((symbols < net.symbols) & (places % stride == 0))
+            at = places(symbols, first, batch.column(1).to_numpy(), turn, rounds, net.symbols)
             for a in range(0, len(at), BATCH):
                 trainer.learn(symbols, at[a : a + BATCH])
             seen += len(at)
@@ -242,7 +249,7 @@ def fit_shares(counts: DataFrame, net: Network, *, near: int = NEAR) -> Shares:
     return Shares(known, total, escape, np.log(follow / follow.sum(axis=1, keepdims=True)), hashes[order], n)
 
 
-def fit(docs: DataFrame, *, text="text", stride: int = STRIDE, rounds: int = ROUNDS, limit: int = FREQUENT, counts: DataFrame | None = None) -> Network:
+def fit(docs: DataFrame, *, text="text", rounds: int = ROUNDS, limit: int = FREQUENT, counts: DataFrame | None = None) -> Network:
     """Count words, then ``rounds`` rounds of local training and averaging."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -252,10 +259,10 @@ def fit(docs: DataFrame, *, text="text", stride: int = STRIDE, rounds: int = ROU
     rng = np.random.default_rng(7)
     start = rng.normal(0, 0.1, len(PLACES) * (n + 1) * WIDTH + WIDTH * n).astype(np.float32)
     net = Network(hashes, np.zeros((len(PLACES), n + 1, WIDTH)), np.zeros((WIDTH, n)), np.zeros(n)).filled(np.r_[start, np.zeros(n, np.float32)])
-    texts = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"))
-    for _ in range(rounds):
+    texts = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("shift", F.pmod(F.xxhash64("text"), F.lit(rounds)))
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast(net)
-        rows = texts.mapInArrow(_learner(shared, stride), "k long, v double, n double")
+        rows = texts.mapInArrow(_learner(shared, turn, rounds), "k long, v double, n double")
         mean = rows.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if not len(mean):
             break

@@ -131,3 +131,18 @@ def test_words_of_a_bucket_have_their_own_price(spark):
         unseen = spark.createDataFrame([(1, "zwillinge"), (2, "zwilling"), (3, "#~^%")], "doc_id long, text string")
         out = {r.doc_id: r.log_prob - s.log_prob for r, s in zip(*(sorted(lm_score.score(unseen, net=net, **o).collect()) for o in ({"shares": shares}, {})))}
         assert max(out[1], out[3]) < out[2] < 0 and got[4] < got[3] < got[2] and np.isfinite(list(out.values())).all()
+
+
+def test_rounds_learn_from_every_place_once(spark):
+    net = lm_score.fit(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    texts = pa.array(["a b c d e f g", "", "a", "b c"])
+    symbols, first = net.encode(texts)
+    for rounds in (1, 2, 3):
+        shift = np.arange(len(texts)) % rounds
+        at = [lm_score.places(symbols, first, shift, k, rounds, net.symbols) for k in range(rounds)]
+        assert sorted(np.concatenate(at)) == list(np.flatnonzero(symbols < net.symbols))
+    # short texts teach words on the left: the second word of a text moves the table of the place before it
+    start = lm_score.fit(spark.createDataFrame([(k, "a b") for k in range(40)], "doc_id long, text string"), rounds=0)
+    taught = lm_score.fit(spark.createDataFrame([(k, "a b") for k in range(40)], "doc_id long, text string"))
+    a = int(taught.encode(pa.array(["a"]))[0][lm_score.SIDE])
+    assert not np.allclose(start.inner[1][a], taught.inner[1][a])
