@@ -5,9 +5,9 @@ its text; lines of menus, headers, footers, sidebars, notices, adverts, forms an
 reader comments, and, where a page marks its article, lines outside of it, weigh
 nothing and are never kept.  Weights are summed over a sliding window of three
 lines.  Where the sum rises above the threshold lies a surge, where it falls to
-nothing for a whole window a dive; the text between is kept.  With a marked
-article every surge counts; without one the stretch with most text does, links
-weighing nothing.
+nothing for a whole window a dive; the text between is kept.  Without a marked
+article, lines that are mostly links weigh nothing; they are kept between others of a
+stretch.  Lines outside do not count towards a dive, and every stretch is kept.
 
 Null and empty pages, and pages without text, give an empty text.  Broken markup
 is read as it stands: an end tag closes the nearest open element of its name,
@@ -143,16 +143,16 @@ def between(weights: list[int], threshold: int, window: int = WINDOW) -> list[tu
 
 def main_text(page: str | None, surge: int = SURGE, window: int = WINDOW) -> str:
     """The article of one page, its blocks joined by an empty line."""
-    rows = lines(page or "")
-    marked = any(inside for _, away, inside, _ in rows if not away)
-    if marked:
-        weights = [0 if away or not inside else len(text) for text, away, inside, _ in rows]
-        spans = between(weights, 0, window)
+    rows = [row for row in lines(page or "") if not row[1]]
+    if any(inside for _, _, inside, _ in rows):
+        kept = [text for text, _, inside, _ in rows if inside]
     else:
-        weights = [0 if away or 2 * links > len(text) else len(text) for text, away, _, links in rows]
-        spans = between(weights, surge, window) or between(weights, 0, window)
-        spans = [max(spans, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))] if spans else []
-    return "\n\n".join(rows[i][0] for a, b in spans for i in range(a, b) if weights[i])
+        weights = [0 if 2 * links > len(text) else len(text) for text, _, _, links in rows]
+        kept = []
+        for a, b in between(weights, surge, window) or between(weights, 0, window):
+            first = next(i for i in range(a, b) if weights[i])
+            kept += [row[0] for row in rows[first:b]]
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, *, page_id="page_id", url="url", html_col="html", surge: int = SURGE, window: int = WINDOW) -> DataFrame:

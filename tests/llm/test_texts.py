@@ -88,6 +88,16 @@ def test_pages(spark):
     assert [r.n_chars for r in out] == [len(html_text.main_text(PAGE))] * 2 + [0] and html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_unmarked_pages_with_an_interruption():
+    first, second = "early words " * 20, "late words " * 9
+    boxes = {"advert": "<div class=ad><p>Buy</p><p>more</p><p>now</p><p>!</p></div>", "links": "<ul>" + "<li><a href=x>one other page</a></li>" * 4 + "</ul>"}
+    for box in boxes.values():
+        page = f"<div><a href=1>menu</a></div><div><p>{first}</p>{box}<p>{second}</p></div>"
+        assert html_text.main_text(page).split("\n\n") == [first.strip(), second.strip()]
+    cited = f"<p>{first}</p><p>See <a href=x>the whole report of the year</a></p><p>{second}</p><p><a href=y>imprint</a></p>"
+    assert html_text.main_text(cited).split("\n\n") == [first.strip(), "See the whole report of the year", second.strip()]
+
+
 def test_pages_of_the_data(spark):
     for p, r in zip(table(spark, SF, "pages").orderBy("page_id").collect(), html_text.extract(table(spark, SF, "pages")).orderBy("page_id").collect()):
         body = re.search("<article>(.*)</article>", p.html, re.S)[1]
