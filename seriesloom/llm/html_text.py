@@ -9,6 +9,12 @@ nothing for a whole window a dive; the text between is kept.  Without a marked
 article, lines that are mostly links weigh nothing; they are kept between others of a
 stretch.  Lines outside do not count towards a dive, and every stretch is kept.
 
+Attributes are parsed: an element is hidden by its ``hidden`` attribute, by
+``aria-hidden=true`` or by its style, and outside by a class, id or role that is an
+outside word or a compound of outside and neutral words.  Class, id and role never
+exclude an article or main element, nor do those of the elements around a main element
+or around the page's first article that is not outside by its elements.
+
 Null and empty pages, and pages without text, give an empty text.  Broken markup
 is read as it stands: an end tag closes the nearest open element of its name,
 unclosed comments, scripts and styles run to the end of the page.
@@ -36,9 +42,9 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_PARTS = re.compile(r"[^a-z0-9]+")
 # Elements that stand for a block, that hold others, and that never hold the article's text.
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,22 +59,44 @@ _OUT_WORDS = frozenset(
 )
 
 
-def _outside(name: str, rest: str) -> bool:
-    if name in _OUT or _HIDDEN.search(rest):
+# Words that a compound with an outside word may hold beside it.
+_NEUTRAL = frozenset(
+    "site page main global top bottom left right center primary secondary inner outer box bar block area section container wrapper wrap list item items link links "
+    "icon icons button buttons form field slot unit panel text content title heading row column col group post posts article articles story stories entry entries "
+    "image js id google the and of for our".split()
+)
+_BY_NAME, _BY_ELEMENT = 1, 2
+
+
+def _outside_word(word: str) -> bool:
+    if word in _OUT_WORDS:
         return True
-    for m in _NAMES.finditer(rest):
-        if not _OUT_WORDS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    parts = [x for x in _PARTS.split(word) if x and not x.isdigit()]
+    return not _OUT_WORDS.isdisjoint(parts) and all(x in _OUT_WORDS or x in _NEUTRAL for x in parts)
+
+
+def _outside(name: str, rest: str) -> int:
+    """What puts an element outside: 0 nothing, _BY_NAME its class, id or role, _BY_ELEMENT what it is or that it is hidden."""
+    if name in _OUT:
+        return _BY_ELEMENT
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(found.get("style", "")):
+        return _BY_ELEMENT
+    if name not in ("article", "main") and any(_outside_word(w) for k in ("class", "id", "role") for w in found.get(k, "").lower().split()):
+        return _BY_NAME
+    return 0
 
 
 def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     """Blocks in page order: text, whether it is outside the article by its element, inside a marked article, characters in links."""
     out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     out_depth = main_depth = link_depth = links = 0
     state = (False, False)
+    marked = False
 
     def flush() -> None:
         nonlocal parts, links
@@ -77,9 +105,9 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             out.append((text, *state, links))
         parts, links = [], 0
 
-    def leave(name: str, away: bool) -> None:
+    def leave(name: str, away: int) -> None:
         nonlocal out_depth, main_depth, link_depth
-        out_depth -= away
+        out_depth -= away > 0
         main_depth -= name in ("article", "main")
         link_depth -= name == "a"
 
@@ -115,8 +143,12 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             away = _outside(name, m[4] or "")
             if away:
                 flush()
+            elif (name == "main" or name == "article" and not marked) and not any(x[1] == _BY_ELEMENT for x in stack):
+                marked |= name == "article"
+                out_depth = 0
+                stack = [(x[0], 0) for x in stack]
             stack.append((name, away))
-            out_depth += away
+            out_depth += away > 0
             main_depth += name in ("article", "main")
             link_depth += name == "a"
         state = (out_depth > 0, main_depth > 0)

@@ -98,6 +98,20 @@ def test_unmarked_pages_with_an_interruption():
     assert html_text.main_text(cited).split("\n\n") == [first.strip(), "See the whole report of the year", second.strip()]
 
 
+def test_attributes_that_hide_nothing():
+    body = "<p>some words of the text</p>"
+    for box in ('div style="overflow:hidden"', 'div aria-hidden="false"', 'div class="overflow-hidden"', 'div class="content share-enabled"', 'div data-x="hidden"', 'div class="menu"', 'div id=login'):
+        for inner in ("main class=\"with-sidebar\"", 'article class="post no-comments"', "article class='comment'"):
+            end = inner.split()[0]
+            assert html_text.main_text(f"<{box}><{inner}>{body}</{end}></div>") == "some words of the text", (box, inner)
+        if "menu" not in box and "login" not in box:
+            assert html_text.main_text(f"<{box}>{body}</div>") == "some words of the text", box
+    for box in ("hidden", 'aria-hidden="true"', "style='color:red; display: none'", "style=visibility:hidden", "class='x ad'", "id=comments", "class=cookie-notice", "class=related-posts", "role=navigation"):
+        assert html_text.main_text(f"<article><p>in</p><div {box}><p>out</p></div></article>") == "in", box
+    assert html_text.main_text(f"<main>{body}<section id=comments><article class=comment><p>Nice</p></article></section></main>") == "some words of the text\n\nNice"
+    assert html_text.main_text(f"<main><article>{body}</article><section id=comments><article class=comment><p>Nice</p></article></section></main>") == "some words of the text"
+
+
 def test_pages_of_the_data(spark):
     for p, r in zip(table(spark, SF, "pages").orderBy("page_id").collect(), html_text.extract(table(spark, SF, "pages")).orderBy("page_id").collect()):
         body = re.search("<article>(.*)</article>", p.html, re.S)[1]
