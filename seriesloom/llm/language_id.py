@@ -7,8 +7,10 @@ seen), then the next shorter context is asked with the bytes already ruled out
 excluded, down to a uniform choice.  The language with the shortest code wins.
 
 Texts are lower-cased and runs of ASCII characters that are no letters count as
-one space.  Trees learn from a share of the documents of each language, chosen by
-a hash of the id so that about ``train_bytes`` are read per language.
+one space.  Trees learn from a share of the text of each language, in blocks of at most
+``CUT`` characters with a letter, chosen by a hash of id, place and content so that
+about ``train_bytes`` are read per language; the block with the least hash is always
+one of them, so every language with a letter gets a tree.
 
 A null text or one without a letter is ``und`` with score 0.  Documents with no
 language are not learned from; with no languages at all everything is ``und``.
@@ -30,6 +32,8 @@ from seriesloom.llm.common import held_out, share_of, small_batches, utf8
 ORDER = 4
 TRAIN_BYTES = 1_500_000
 BLOCK = 1 << 21
+CUT = 4096
+_TOP = 2**63 - 1
 _SPACE = 32
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = _SPACE
@@ -125,13 +129,16 @@ def fit(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang", train_byt
     """Trees by language, from documents that have one and are not held out."""
     small_batches(docs.sparkSession)
     usable = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull() & ~held_out(docs[doc_id]))
-    sizes = {r[0]: r[1] for r in usable.groupBy(docs[lang]).agg(F.sum(F.octet_length(docs[text]))).collect()}
+    cut = F.when(F.char_length(docs[text]) <= CUT, F.array(docs[text])).otherwise(F.regexp_extract_all(docs[text], F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
+    blocks = usable.select(docs[lang].alias("lang"), docs[doc_id].alias("id"), F.posexplode(cut).alias("i", "text")).filter(F.col("text").rlike(r"\p{L}"))
+    blocks = blocks.select("lang", "text", F.xxhash64(F.lit("lang"), "id", "i", "text").bitwiseAND(F.lit(_TOP)).alias("h"))
+    sizes = {r[0]: (r[1], r[2]) for r in blocks.groupBy("lang").agg(F.sum(F.octet_length("text")), F.min("h")).collect()}
     if not sizes:
         return {}
-    shares = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, train_bytes / max(v, 1))))])
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit("lang"), docs[doc_id]), F.lit(1_000_000)) < F.element_at(shares, docs[lang]) * 1_000_000)
+    limits = F.create_map(*[x for k, (size, least) in sizes.items() for x in (F.lit(k), F.lit(max(least, int(train_bytes / size * _TOP) if size > train_bytes else _TOP)))])
+    chosen = blocks.filter(F.col("h") <= F.element_at(limits, F.col("lang")))
     counts = (
-        chosen.select(docs[lang].alias("lang"), F.lower(docs[text]).alias("text"))
+        chosen.select("lang", F.lower("text").alias("text"))
         .mapInArrow(_counter, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))

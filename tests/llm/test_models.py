@@ -146,3 +146,16 @@ def test_rounds_learn_from_every_place_once(spark):
     taught = lm_score.fit(spark.createDataFrame([(k, "a b") for k in range(40)], "doc_id long, text string"))
     a = int(taught.encode(pa.array(["a"]))[0][lm_score.SIDE])
     assert not np.allclose(start.inner[1][a], taught.inner[1][a])
+
+
+def test_few_long_texts_still_teach_their_language(spark):
+    rng = np.random.default_rng(0)
+    long = {lang: [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(12_000)) for _ in range(8)] for lang, letters in (("xx", "abcde"), ("yy", "vwxyz"))}
+    rows = [(100 * n + k, t, lang) for n, (lang, texts) in enumerate(long.items()) for k, t in enumerate(texts)] + [(999, "42 - 17", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for train_bytes, most in ((1, 4096), (60_000, 120_000)):
+        trees = language_id.fit(docs, train_bytes=train_bytes)
+        learned = {k: t.levels[-1][3].sum() for k, t in trees.items()}
+        assert sorted(trees) == ["xx", "yy"] and all(0 < n <= most for n in learned.values()), learned
+    out = language_id.identify(docs, train_bytes=60_000).collect()
+    assert all(r.lang_pred == ("xx" if r.doc_id < 100 else "yy") for r in out if r.doc_id < 999)
