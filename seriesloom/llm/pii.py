@@ -8,12 +8,14 @@ Codes and mail names pass through a keyed four-round Feistel network over their
 characters: every character stays in its class (digit, Latin or Cyrillic, vowel or
 consonant, upper or lower case), so format, script and length survive, and two
 entities never share a surrogate.  Phones keep their country code, cards their
-check digit rule, mails their top-level domain.  Given names move within the
-list of their gender and script.
+check digit rule, mails their top-level domain; national phones their leading 0.
+Given names move within the list of their gender and script; one that stands alone and
+is drawn again passes through the permutation instead, whose reserve no list bounds.
 
 Collision checks run over all documents: a surrogate that is itself an entity of
 the corpus, or that two entities share, is drawn again with the next tweak until
-none is left.  Entities that were drawn again are rare; up to ``max_broadcast`` of
+none is left.  Where so few surrogates exist that ``TURNS`` draws found no free one,
+only that no two entities share one is asked for.  Entities that were drawn again are rare; up to ``max_broadcast`` of
 them travel by broadcast, more by a join with the documents.
 
 Null texts stay null, texts without entities stay as they are.  Rows that share an
@@ -35,6 +37,7 @@ from seriesloom.llm.common import checkpointed, small_batches
 
 KEY = b"surrogates"
 MAX_BROADCAST = 50_000
+TURNS = 16
 
 # Given names by script and gender.
 NAMES = {
@@ -55,7 +58,8 @@ _FIND = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w+.,/-])(?:[2-9]\d{2}(?P<gap>[ .-])[2-9]\d{2}(?P=gap)\d{4}|[1-9]\d{2}-\d{3}-\d{4}|0\d{1,4}[ /-]\d{3,4} ?\d{3,5}|0\d(?:[ .-]\d{2}){4})(?![\w/-]|[.,]\d))"
     r"|(?P<card>(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w-]))"
     r"|(?P<name>(?<!\w)(?:" + "|".join(sorted(_GIVEN, key=len, reverse=True)) + r")(?: (?!(?:The|And|Der|Die|Das|Les?|El|La|Los|Las|Un|Une|Una)\b)[A-ZÀ-ÞА-Я][a-zß-ÿа-яё]{2,})?(?!\w))"
 )
@@ -120,6 +124,8 @@ def _ip(text: str, key: bytes, tweak: int) -> str:
 def _name(text: str, key: bytes, tweak: int) -> str:
     given, _, family = text.partition(" ")
     names = NAMES[_GIVEN[given]]
+    if not family and tweak:
+        return permuted(given, key, "given", tweak)
     if not family:
         order = sorted(names, key=lambda n: _word(key, "given", str(tweak), n))
         return order[(order.index(given) + 1) % len(order)]
@@ -138,7 +144,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY, tweak: int = 0) -> str:
         host, _, top = domain.rpartition(".")
         return permuted(f"{local}@{host}", key, "mail", tweak) + "." + top
     if kind == "phone":
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+        lead = re.match(r"\+\d{1,3}(?=[ .(-])|0(?=\d)", text)
         return (lead[0] if lead else "") + permuted(text[lead.end() if lead else 0 :], key, "phone" + (lead[0] if lead else ""), tweak)
     if kind == "iban":
         return text[:2] + permuted(text[2:], key, "iban" + text[:2], tweak)
@@ -202,7 +208,7 @@ def drawn(docs: DataFrame, *, text="text", key: bytes = KEY) -> DataFrame:
     table = checkpointed(known.withColumn("surrogate", draw("kind", "entity", "tweak")))
     while True:
         real = table.select(F.col("kind").alias("k"), F.col("entity").alias("surrogate"))
-        taken = table.join(real, (table["kind"] == real["k"]) & (table["surrogate"] == real["surrogate"]), "left_semi").select("kind", "entity")
+        taken = table.join(real, (table["kind"] == real["k"]) & (table["surrogate"] == real["surrogate"]), "left_semi").filter(table["tweak"] < TURNS).select("kind", "entity")
         twice = table.groupBy("kind", "surrogate").agg(F.min("entity").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = table.join(twice, ["kind", "surrogate"]).filter("entity <> stays").select("kind", "entity")
         clash = checkpointed(taken.unionByName(shared).distinct())

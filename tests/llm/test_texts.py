@@ -155,6 +155,23 @@ def test_collisions_are_drawn_again(spark, docs):
     assert len(out) == len(table_) == 2 and not out & real
 
 
+def test_whole_list_of_given_names_ends(spark, docs):
+    names = [n for v in pii.NAMES.values() for n in v]
+    table_ = pii.drawn(docs([(k, f"{n}.") for k, n in enumerate(names)])).collect()
+    out, real = {r.surrogate for r in table_}, {r.entity for r in table_}
+    assert real == set(names) and len(out) == len(names) and not out & real
+
+
+def test_national_phones():
+    for phone in ("555-123-4567", "030 1234567", "06 12 34 56 78", "212.555.0199", "030/123 4567"):
+        text = f"call {phone}, please"
+        assert [(text[a:b], k) for a, b, k in pii.entities(text)] == [(phone, "phone")], phone
+        fresh = pii.surrogate("phone", phone)
+        assert fresh != phone and re.sub(r"\d", "9", fresh) == re.sub(r"\d", "9", phone) and (fresh[0] == "0") >= (phone[0] == "0")
+    for other in ("0.123 4567", "1999-2004", "12-03-2024", "room 030", "3.14159 26535"):
+        assert not list(pii.entities(other)), other
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     seen = docs
