@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, sentencepiece_scan
+from seriesloom.llm import decontaminate, exact_dedup, fingerprint, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, sentencepiece_scan
 from seriesloom.llm.common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,6 +126,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _digests_sql(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({text}, '[^.!?\\n]{{0,199}}[.!?\\n]|[^.!?\\n]{{1,200}}'), lambda x: ('0x' || left(md5(x), 15))::BIGINT))"
+
+
+def _cells_sql(keys: str) -> str:
+    own = f"list_filter({keys}, lambda k: (k >> (3 * (i // 8))) & 7 = i % 8)"
+    check = f"list_transform({own}, lambda k: (k % 2147483629) * (k % 2147483587))"
+    cell = f"len({own}) || '.' || hex(coalesce(list_aggregate({own}, 'bit_xor'), 0)) || '.' || hex(coalesce(list_aggregate({check}, 'bit_xor'), 0))"
+    return f"len({keys}) || ':' || array_to_string(list_transform(range(24), lambda i: {cell}), ',')"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE {common}::DOUBLE / (len({a}) + len({b}) - {common})::DOUBLE END"
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(t) AS n, n // 4 AS cut FROM documents),
+f AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, t)),
+e AS (SELECT *, left(t, n - cut) || left(nt, cut) AS et FROM f),
+k AS (SELECT *, {_digests_sql("t")} AS a, {_digests_sql("et")} AS b, {_digests_sql("nt")} AS c FROM e)
+SELECT doc_id, n AS n_chars, sha256(et) AS edited_sha256, {_cells_sql("a")} AS fingerprint, {_cells_sql("b")} AS edited_fingerprint,
+       {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next
+FROM k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -139,6 +170,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_pii,
         op10_language_id,
+        op13_fingerprint,
     )
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {
+    "op1_exact_dedup": OP1_SQL,
+    "op4_near_dedup": OP4_SQL,
+    "op6_decontaminate": OP6_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op13_fingerprint": OP13_SQL,
+}
