@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import decontaminate, exact_dedup, fingerprint, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, sentencepiece_scan
+from seriesloom.llm import collocations, decontaminate, exact_dedup, fingerprint, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, sentencepiece_scan
 from seriesloom.llm.common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,6 +126,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+places AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS o(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT *, string_split(phrase, ' ') AS p, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+priced AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:], ' ')),
+best AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.lang = b.lang AND g.m > b.m AND 100 * g.a >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -170,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_pii,
         op10_language_id,
+        op11_collocations,
         op13_fingerprint,
     )
 }
@@ -178,5 +205,6 @@ SQL = {
     "op4_near_dedup": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_fingerprint": OP13_SQL,
 }
