@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import checkpointed, small_batches
+from seriesloom.llm.lexing import stretches
 
 LEAST = 100
 LONGEST = 5
@@ -49,18 +50,6 @@ _FOLD = bytes(46 if b in _SIGNS else b + 32 if 65 <= b <= 90 else b for b in ran
 _GAP = re.compile(rb"[ .\t]")
 
 
-def _stretches(text: bytes) -> Iterator[bytes]:
-    """A folded text in parts of about ``STRETCH`` bytes that end between words."""
-    at = 0
-    while len(text) - at > STRETCH:
-        gap = _GAP.search(text, at + STRETCH)
-        if gap is None:
-            break
-        yield text[at : gap.start()]
-        at = gap.start()
-    yield text[at:]
-
-
 class _Forms(dict):
     """Numbers of word forms in order of appearance; 0 is the end of a piece."""
 
@@ -108,7 +97,7 @@ class _Counter:
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         own = self.tokens.setdefault(lang, [])
-        for part in _stretches(text.translate(_FOLD)):
+        for part in stretches(text.translate(_FOLD), _GAP, STRETCH):
             words = part.replace(b".", b" . ").split()
             own.append(np.fromiter(map(self.forms.__getitem__, words), np.int64, len(words)))
             self.size += len(words)

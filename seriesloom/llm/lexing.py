@@ -6,6 +6,8 @@ sums; blocks of bytes bound the memory of the sums.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +43,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def stretches(text: bytes, gap: re.Pattern, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, each cut at the next ``gap`` so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        found = gap.search(text, at + size)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 @dataclass
 class Words:
     """Words of a batch in order: byte spans, hash, and per text the first word (one more at the end)."""

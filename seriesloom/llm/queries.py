@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import collocations, decontaminate, exact_dedup, fingerprint, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, sentencepiece_scan
+from seriesloom.llm import collocations, decontaminate, exact_dedup, fingerprint, html_text, language_id, line_dedup, lm_score, near_dedup, pii, quality, search, sentencepiece_scan
 from seriesloom.llm.common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,6 +152,25 @@ FROM kept QUALIFY rank <= 2000
 """
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, w, len(w) AS n FROM ({_words_sql("doc_id", "documents")})),
+s AS (SELECT count(*) FILTER (n > 0) AS total, sum(n)::BIGINT AS words FROM d),
+i AS (SELECT DISTINCT item_id, unnest(w) AS term FROM ({_words_sql("item_id", "benchmark")})),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s GROUP BY term, total),
+parts AS (
+  SELECT item_id, id, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * total) // words)))) AS part
+  FROM i JOIN tf USING (term) JOIN weights USING (term) JOIN d USING (id), s),
+scores AS (SELECT item_id, id, sum(part)::BIGINT AS score FROM parts GROUP BY item_id, id HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores JOIN d USING (id) QUALIFY rank <= 10
+"""
+
+
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -197,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pii,
         op10_language_id,
         op11_collocations,
+        op12_search,
         op13_fingerprint,
     )
 }
@@ -206,5 +226,6 @@ SQL = {
     "op6_decontaminate": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_search": OP12_SQL,
     "op13_fingerprint": OP13_SQL,
 }
