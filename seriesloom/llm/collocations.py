@@ -4,7 +4,9 @@ Texts are lower-cased (A-Z), cut at ``[.,;:!?]`` and line ends into pieces and t
 words between blanks and tabs.  Three passes count words, pairs, and phrases of three to
 five words; a pass leaves out phrases with a part that the pass before counted below
 ``least``, which a bitmap of hashes tells (a wrong pass only counts more; what is kept is
-exact).  Each task combines its own counts before they are shuffled.
+exact).  Each task combines its own counts and writes them as sorted, compressed streams, one a
+bucket of phrases; the streams of a bucket are put together by one task.  The number of
+buckets grows with the number of words, so that a bucket stays small.
 
 Every phrase of two words or more is then cut after each of its words.  The cuts form two
 streams, in prefix order by what stands before the cut and in suffix order by what
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import checkpointed, small_batches
-from seriesloom.llm.lexing import stretches
+from seriesloom.llm.lexing import mix, stretches
 
 LEAST = 100
 LONGEST = 5
@@ -44,6 +46,8 @@ SALTS = 32
 STRETCH = 1 << 20
 TOKENS = 1 << 22
 FORMS = 1 << 20
+BUCKET_ROWS = 1 << 12
+BUCKET_TOKENS = 1 << 21
 COUNTS = "lang string, words int, phrase string, n long"
 _SIGNS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(46 if b in _SIGNS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,10 +90,11 @@ def bitmap(counts: DataFrame) -> Bitmap:
 
 
 class _Counter:
-    """Phrase counts of the texts of one task, handed on whenever the buffers are full."""
+    """Phrase counts of the texts of one task, handed on as sorted streams whenever the buffers are full."""
 
-    def __init__(self, orders: tuple[int, ...], known: Bitmap | None):
-        self.orders, self.known = orders, known
+    def __init__(self, orders: tuple[int, ...], known: tuple[Bitmap, ...], buckets: int):
+        """``known`` are the words and, for phrases beyond pairs, the pairs that may be part of a phrase."""
+        self.orders, self.known, self.buckets = orders, known, buckets
         self.clear()
 
     def clear(self) -> None:
@@ -106,29 +111,33 @@ class _Counter:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        names = list(self.forms)
+        """Numbers of forms become their ranks in byte order, so that phrases come out sorted; 0 stays the end of a piece."""
+        names = sorted(form for form, number in self.forms.items() if number)
+        rank = np.zeros(len(self.forms), np.int64)
+        rank[[self.forms[name] for name in names]] = np.arange(1, len(names) + 1)
+        names = [b".", *names]
+        spread = np.fromiter(map(zlib.crc32, names), np.uint64, len(names))
         for lang, parts in self.tokens.items():
-            yield from self.counted(lang, np.concatenate(parts), names)
+            yield from self.counted(lang, rank[np.concatenate(parts)], names, spread)
         self.clear()
 
-    def counted(self, lang: str, ids: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if self.known is None:
+    def counted(self, lang: str, ids: np.ndarray, names: list[bytes], spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not self.known:
             numbers, n = np.unique(ids[ids > 0], return_counts=True)
-            yield _batch(lang, 1, [names[i] for i in numbers.tolist()], n)
-            yield _batch(lang, 0, [b""], n.sum(keepdims=True))
+            yield self.streams(lang, 1, [names[i] for i in numbers.tolist()], n, spread[numbers])
+            yield self.streams(lang, 0, [b""], n.sum(keepdims=True), np.zeros(1, np.uint64))
             return
-        whole = ids > 0
-        if 2 in self.orders:  # the known phrases are single words
-            seen = np.unique(ids)
-            good = np.zeros(len(names), bool)
-            good[seen] = self.known.has(lang.encode(), [names[i] for i in seen.tolist()])
-            whole &= good[ids]
+        seen = np.unique(ids)
+        good = np.zeros(len(names), bool)
+        good[seen] = self.known[0].has(lang.encode(), [names[i] for i in seen.tolist()])
+        good[0] = False
+        whole = good[ids]
         place = np.flatnonzero(whole[:-1] & whole[1:])
-        phrase, code = self.grown(ids[place], ids[place + 1], len(names), names, None)
+        phrase, code, own = self.grown(ids[place], ids[place + 1], names, spread, names, spread)
         if 2 in self.orders:
-            yield _batch(lang, 2, phrase, np.bincount(code, minlength=len(phrase)))
+            yield self.streams(lang, 2, phrase, np.bincount(code, minlength=len(phrase)), own)
             return
-        good = self.known.has(lang.encode(), phrase)[code]  # the known phrases are pairs
+        good = self.known[1].has(lang.encode(), phrase)[code]
         pairs = np.zeros(len(ids), bool)
         pairs[place[good]] = True
         at = np.zeros(len(ids), np.int64)
@@ -137,39 +146,69 @@ class _Counter:
         for order in self.orders:
             run = run[:-1] & pairs[order - 2 :]
             place = np.flatnonzero(run)
-            phrase, code = self.grown(at[place], ids[place + order - 1], len(names), names, phrase)
+            phrase, code, own = self.grown(at[place], ids[place + order - 1], phrase, own, names, spread)
             at[place] = code
-            yield _batch(lang, order, phrase, np.bincount(code, minlength=len(phrase)))
+            yield self.streams(lang, order, phrase, np.bincount(code, minlength=len(phrase)), own)
 
     @staticmethod
-    def grown(head: np.ndarray, last: np.ndarray, forms: int, names: list[bytes], heads: list[bytes] | None) -> tuple[list[bytes], np.ndarray]:
-        """Distinct phrases (head, last word) and which of them each place has."""
-        keys, code = np.unique(head * forms + last, return_inverse=True)
-        before, after = np.divmod(keys, forms)
-        heads = names if heads is None else heads
-        return [heads[h] + b" " + names[w] for h, w in zip(before.tolist(), after.tolist(), strict=True)], code
-
-
-def _batch(lang: str, order: int, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    rows = len(phrases)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * rows, pa.string()), pa.array(np.full(rows, order, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-        ["lang", "words", "phrase", "n"],
-    )
-
-
-def _counts(texts: DataFrame, orders: tuple[int, ...], known, least: int) -> DataFrame:
+    def grown(head, last, heads: list[bytes], head_spread, names: list[bytes], spread) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct phrases (head, last word) in order, which of them each place has, and their hashes."""
+        keys, code = np.unique(head * len(names) + last, return_inverse=True)
+        before, after = np.divmod(keys, len(names))
+        phrases = [heads[h] + b" " + names[w] for h, w in zip(before.tolist(), after.tolist(), strict=True)]
+        return phrases, code, mix(head_spread[before] * np.uint64(31) + spread[after])
+
+    def streams(self, lang: str, order: int, phrases: list[bytes], n: np.ndarray, spread: np.ndarray) -> pa.RecordBatch:
+        """A sorted and compressed stream of phrases and counts for each bucket."""
+        bucket = (mix(spread) % np.uint64(self.buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        filled, starts = np.unique(bucket[by_bucket], return_index=True)
+        n = n[by_bucket].astype(np.int64)
+        rows = []
+        for k, i in enumerate(np.split(by_bucket, starts[1:]) if len(filled) else []):
+            names = b"\n".join([phrases[j] for j in i.tolist()]) + b"\n"
+            counts = n[starts[k] : starts[k] + len(i)].tobytes()
+            rows.append((len(names), pa.compress(names, "zstd", asbytes=True), len(counts), pa.compress(counts, "zstd", asbytes=True)))
+        columns = [pa.array([lang] * len(rows), pa.string()), pa.array([order] * len(rows), pa.int32()), pa.array(filled, pa.int64())]
+        sizes, names, lengths, counts = zip(*rows, strict=True) if rows else ((),) * 4
+        columns += [pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(lengths, pa.int64()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "bucket", "size", "phrases", "length", "counts"])
+
+
+STREAMS = "lang string, words int, bucket long, size long, phrases binary, length long, counts binary"
+
+
+def _merged(least: int):
+    """Streams of one bucket put together: phrases that occur ``least`` times, and the number of words (order 0)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("size", "phrases", "length", "counts")]
+        names = b"".join(pa.decompress(p, s, "zstd", asbytes=True) for s, p in zip(*columns[:2], strict=True))
+        counts = np.frombuffer(b"".join(pa.decompress(c, s, "zstd", asbytes=True) for s, c in zip(*columns[2:], strict=True)), np.int64)
+        ends = np.flatnonzero(np.frombuffer(names, np.uint8) == 10)
+        edges = np.r_[0, ends + 1]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(names)]).dictionary_encode()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, coded.indices.to_numpy(), counts)
+        kept = np.flatnonzero(total >= (least if key[1].as_py() else 0))
+        phrases = [p[:-1].decode() for p in coded.dictionary.take(pa.array(kept)).to_pylist()]
+        rows = len(kept)
+        return pa.table({"lang": pa.array([key[0].as_py()] * rows, pa.string()), "words": pa.array([key[1].as_py()] * rows, pa.int32()), "phrase": pa.array(phrases, pa.string()), "n": total[kept]})
+
+    return run
+
+
+def _counts(texts: DataFrame, orders: tuple[int, ...], known: list, least: int, buckets: int) -> DataFrame:
     """Counts of phrases of ``orders`` words; rows of no words at all (order 0) carry the number of words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(orders, known and known.value)
+        counter = _Counter(orders, tuple(k.value for k in known), buckets)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from counter.add(lang, text.as_py())
         yield from counter.flush()
 
-    summed = texts.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return checkpointed(summed.filter((F.col("n") >= least) | (F.col("words") == 0)))
+    return checkpointed(texts.mapInArrow(run, STREAMS).groupBy("lang", "words", "bucket").applyInArrow(_merged(least), COUNTS))
 
 
 def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -177,12 +216,16 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", le
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"), F.encode(F.coalesce(docs[text], F.lit("")), "utf-8").alias("text")).filter("length(text) > 0")
-    passes = [_counts(texts, (1,), None, least)]
+    passes = [_counts(texts, (1,), [], least, 1 + texts.count() // BUCKET_ROWS)]
+    words = passes[0].filter("words = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = 1 + words // BUCKET_TOKENS
+    known: list = []
     for orders in ((2,), tuple(range(3, longest + 1))):
         if orders and longest >= orders[0]:
-            known = spark.sparkContext.broadcast(bitmap(passes[-1].filter("words > 0")))
-            passes.append(_counts(texts, orders, known, least))
-            known.destroy()
+            known.append(spark.sparkContext.broadcast(bitmap(passes[-1].filter("words > 0"))))
+            passes.append(_counts(texts, orders, known, least, buckets))
+    for own in known:
+        own.destroy()
     every = passes[0]
     for more in passes[1:]:
         every = every.unionByName(more)

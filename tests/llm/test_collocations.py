@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from seriesloom.llm import collocations
 
 
@@ -59,11 +61,13 @@ def test_stretches_and_full_buffers_lose_nothing(monkeypatch):
 
     def counts():
         total = Counter()
-        counter = collocations._Counter((3, 4, 5), _All())
+        counter = collocations._Counter((3, 4, 5), (_All(), _All()), 3)
         batches = [*counter.add("en", text.encode()), *counter.add("en", text.encode()), *counter.flush()]
         for batch in batches:
             for r in batch.to_pylist():
-                total[r["phrase"]] += r["n"]
+                part = pa.table({k: [r[k]] for k in r})
+                for p in collocations._merged(1)((pa.scalar(r["lang"]), pa.scalar(r["words"])), part).to_pylist():
+                    total[p["phrase"]] += p["n"]
         return total
 
     whole = counts()
