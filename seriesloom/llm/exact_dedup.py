@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import fold, keep_rows
+from seriesloom.llm.common import fold
 
 SALTS = 64
 
@@ -62,15 +62,13 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 def drop_exact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """Columns of ``docs``, of each group of equal texts the row with the largest id."""
+    def key(column: Column) -> Column:  # no null: the join and the removal of repeated rows share one partitioning
+        return F.coalesce(column.cast("long").cast("string"), F.lit(""))
+
     kept = (
         exact_duplicates(docs, doc_id=doc_id, text=text, salts=salts)
         .filter("kept")
-        .select(F.col("doc_id").alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest"))
-    )
-    out = keep_rows(
-        docs.withColumn("__digest", _digest(docs[text])),
-        kept,
-        (docs[doc_id].cast("long"), "__kept_id"),
-        (F.col("__digest"), "__kept_digest"),
+        .select(key(F.col("doc_id")).alias("__key"), F.unhex("text_sha256").alias("__digest"))
     )
-    return out.dropDuplicates([doc_id, "__digest"]).drop("__digest")
+    rows = docs.withColumns({"__key": key(docs[doc_id]), "__digest": _digest(docs[text])})
+    return rows.join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*docs.columns)
