@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
     sample = rows.toArrow()
     if not sample.num_rows:
         return grow(np.zeros((0, 1)), np.zeros(0))
-    x = np.array(sample["x"].to_pylist())
+    x = sample["x"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
     y = sample["y"].to_numpy()
     order = np.lexsort((y, *x.T, sample["id"].to_numpy()))
     return grow(x[order], y[order])
