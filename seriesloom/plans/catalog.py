@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from seriesloom.plans import (  # noqa: F401 - imported to register
+    queries_blocks,
     queries_columns,
     queries_forecast,
     queries_joins,
