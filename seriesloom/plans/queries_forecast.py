@@ -14,6 +14,7 @@ from seriesloom.functions.windows import rolling, series_window
 from seriesloom.operators import backtest as bt
 from seriesloom.operators import ensemble as en
 from seriesloom.operators import metrics as me
+from seriesloom.operators import refit
 from seriesloom.operators import scenario as sc
 from seriesloom.operators import stats as st
 from seriesloom.operators.features import lag_features
@@ -370,6 +371,56 @@ def _learning_curve_two_features(spark, sf):
     return round_columns(out, 1)
 
 
+# ------------------------------------------------- refits with a scaler a window
+
+_REFIT_SQL = f"""{_WIN_SQL}, {_TEST_SQL},
+    tr AS (SELECT win.n_name, win."window", d.month, d.revenue, d.revenue_lag_12 AS x FROM win JOIN d ON d.n_name = win.n_name AND d.pos < i),
+    st2 AS (SELECT n_name, "window", count(*) AS m, avg(x) AS mid, stddev_pop(x) AS sd, avg(revenue) AS level, covar_pop(x, revenue) AS cov
+      FROM tr WHERE x IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+    al AS (SELECT n_name, "window", 'train' AS split, month, revenue, x FROM tr
+      UNION ALL SELECT n_name, "window", 'test', month, revenue, revenue_lag_12 FROM te),
+    pr AS (SELECT n_name, "window", split, month, revenue AS true_value,
+        level + CASE WHEN sd > 0 THEN (x - mid) / sd * (m * cov / sd) / (m + 2.0) ELSE x * 0 END AS predicted_value
+      FROM al LEFT JOIN st2 USING (n_name, "window"))"""
+
+
+def _refits(spark, sf, **options):
+    return refit.backtest_refit(_lagged(spark, sf), WALK, **NATION, target="revenue", features=["revenue_lag_12"], **options)
+
+
+@query(
+    "backtest_refit_ridge",
+    f"""WITH {_REFIT_SQL} SELECT n_name, "window", split, month, true_value, {r('predicted_value', 1)} AS predicted_value FROM pr""",
+)
+def _backtest_refit_ridge(spark, sf):
+    return round_columns(_refits(spark, sf, alpha=2.0), 1, "predicted_value")
+
+
+def _side_sql(name: str) -> str:
+    error, y = "true_value - predicted_value", "true_value"
+    only = f"FILTER (WHERE split = '{name}')"
+    known = f"FILTER (WHERE split = '{name}' AND predicted_value IS NOT NULL)"
+    mse = f"avg(({error}) * ({error})) {only}"
+    r2 = f"1 - CASE WHEN var_pop({y}) {known} <> 0 THEN {mse} / (var_pop({y}) {known}) END"
+    return f"{r(f'avg(abs({error})) {only}', 1)} AS {name}_mae, {r(f'sqrt({mse})', 1)} AS {name}_rmse, {r(r2, 5)} AS {name}_r2"
+
+
+@query(
+    "refit_split_metrics",
+    f"""WITH {_REFIT_SQL} SELECT n_name, "window", {_side_sql('train')}, {_side_sql('test')} FROM pr GROUP BY ALL""",
+)
+def _refit_split_metrics(spark, sf):
+    out = refit.split_metrics(_refits(spark, sf, alpha=2.0), keys=["n_name"]).drop("rmse_rise_pct")
+    out = round_columns(out, 5, "train_r2", "test_r2")
+    return round_columns(out, 1, "train_mae", "train_rmse", "test_mae", "test_rmse")
+
+
+@query("backtest_refit_forest")
+def _backtest_refit_forest(spark, sf):
+    panel = lag_features(_revenue(spark, sf), **NATION, cols=["revenue"], lags=[1, 12])
+    return refit.backtest_refit(panel, WALK, **NATION, target="revenue", features=["revenue_lag_1", "revenue_lag_12"], model="forest")
+
+
 # ---------------------------------------------------------------- regression
 
 
