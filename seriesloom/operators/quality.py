@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.expressions import attach_row, finite, numeric_columns, ratio
@@ -109,15 +109,23 @@ def coverage_gaps(df: DataFrame, *, keys: Sequence[str], date: str, factor: floa
     ``factor`` times the median, per series."""
     days = df.select(*keys, F.col(date).cast("date").alias("_d"))
     steps = days.withColumn("_step", F.datediff("_d", F.lag("_d").over(series_window(keys, "_d"))))
-    table = steps.groupBy(*keys).agg(
-        F.min("_d").alias("start"),
-        F.max("_d").alias("end"),
-        F.datediff(F.max("_d"), F.min("_d")).alias("duration_days"),
-        F.median("_step").alias("median_step"),
-        F.collect_list("_step").alias("_steps"),
+    # one row for each step length of a series: no list of all steps
+    counts = steps.groupBy(*keys, "_step").agg(F.count("_step").alias("_n"), F.min("_d").alias("_first"), F.max("_d").alias("_last"))
+    up_to = series_window(keys, F.col("_step").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumns({"_upto": F.sum("_n").over(up_to), "_all": F.sum("_n").over(whole)})
+
+    def at(place: str) -> Column:
+        return F.min(F.when(F.col("_upto") > F.expr(place), F.col("_step"))).over(whole)
+
+    counts = counts.withColumn("median_step", (at("(_all - 1) div 2") + at("_all div 2")) / 2)
+    return counts.groupBy(*keys).agg(
+        F.min("_first").alias("start"),
+        F.max("_last").alias("end"),
+        F.datediff(F.max("_last"), F.min("_first")).alias("duration_days"),
+        F.max("median_step").alias("median_step"),
+        F.coalesce(F.sum(F.when(F.col("_step") > F.col("median_step") * factor, F.col("_n"))), F.lit(0)).alias("n_gaps"),
     )
-    gaps = F.size(F.filter("_steps", lambda s: s > F.col("median_step") * factor)).cast("long")
-    return table.withColumn("n_gaps", gaps).drop("_steps")
 
 
 def date_consistency(sources: Mapping[str, DataFrame], *, dates: Mapping[str, str], tolerance_days: int = 30) -> DataFrame:

@@ -368,3 +368,23 @@ def test_seasonal_forecast_keeps_its_months_over_gaps(spark):
     out = panel_arima(spark.createDataFrame(rows, "k string, d date, v double"), keys=["k"], date="d", value="v").collect()
     best = max(out, key=lambda r: r.forecast)
     assert best.d.month == 12 and all(r.forecast < 125 for r in out if r is not best)
+
+
+def test_coverage_gaps_against_plain_lists(spark):
+    import datetime as dt
+    import statistics
+
+    from seriesloom.operators.quality import coverage_gaps
+
+    rng = __import__("random").Random(9)
+    series = {k: sorted({dt.date(2020, 1, 1) + dt.timedelta(rng.randint(0, 400)) for _ in range(n)}) for k, n in (("a", 90), ("b", 7), ("c", 2), ("d", 1))}
+    rows = [(k, d) for k, days in series.items() for d in days] + [("b", series["b"][0])]
+    series["b"] = sorted([*series["b"], series["b"][0]])
+    got = {r.key: r for r in coverage_gaps(spark.createDataFrame(rows, "key string, day date"), keys=["key"], date="day").collect()}
+    for k, days in series.items():
+        steps = [(b - a).days for a, b in zip(days, days[1:])]  # noqa: B905
+        middle = statistics.median(steps) if steps else None
+        want = (days[0], days[-1], (days[-1] - days[0]).days, middle, sum(s > 2 * middle for s in steps))
+        assert (got[k].start, got[k].end, got[k].duration_days, got[k].median_step, got[k].n_gaps) == want
+    plan = coverage_gaps(spark.createDataFrame(rows, "key string, day date"), keys=["key"], date="day")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
