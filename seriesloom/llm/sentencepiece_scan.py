@@ -484,8 +484,8 @@ def encode(docs: DataFrame, *, text: str = "text", model: str | None = None, chu
     is_long = F.coalesce(F.char_length(docs[text]) > chunk, F.lit(False))
     near = docs.filter(~is_long).select(*others, short.asNondeterministic()(docs[text]).alias("ids"))
     far = checkpointed(docs.filter(is_long).select(*others).withColumn("__row", F.monotonically_increasing_id()))
-    found = _long_texts(far.select(F.col("__row").alias("row"), F.col(text).alias("text")), path, chunk)
-    return near.unionByName(far.join(found, far["__row"] == found["row"]).drop("__row", "row"))
+    found = _long_texts(far.select(F.col("__row").alias("row"), F.col(text).alias("text")), path, chunk).withColumnRenamed("row", "__place")
+    return near.unionByName(far.join(found, far["__row"] == found["__place"]).drop("__row", "__place"))
 
 
 def decode(rows: DataFrame, *, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
