@@ -20,14 +20,17 @@ from seriesloom.functions.expressions import as_col, numeric_columns, ratio
 from seriesloom.functions.windows import filled_forward, position, series_window, spread
 
 KNN_CELLS = 4_000_000  # cells of one distance block, about 32 MB
+PATTERN_CELLS = 2_000_000  # numbers in the maps of all patterns, about 16 MB
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
 def _fill_with(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) -> DataFrame:
-    table = df.groupBy(*keys).agg(*[s.alias(f"_fill_{c}") for c, s in stats.items()])
-    joined = df.join(table, list(keys), "left")
+    """A NULL key is a series of its own, so the statistics join back null-safely."""
+    table = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[s.alias(f"_fill_{c}") for c, s in stats.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = df.join(table, same, "left") if keys else df.crossJoin(table)
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in stats})
-    return filled.drop(*[f"_fill_{c}" for c in stats])
+    return filled.drop(*[f"_fill_{c}" for c in stats], *[f"_of_{k}" for k in keys])
 
 
 def fill_mean(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -142,50 +145,128 @@ def fill_knn(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[st
 def fill_iterative(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str], rounds: int = 10, alpha: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
     """Regress every incomplete column on the others, up to ``rounds`` times.
 
-    Starts from the key means (table means where a key has none).  One round
-    is one aggregate, which yields the moments of all fits at once (one row per
-    target, over the rows that hold it), and one projection that re-predicts the
-    missing cells.  A reliable checkpoint ends each round so that the plan
-    does not grow; the rounds stop when no cell moves by more than
-    ``tolerance`` of its column's deviation.
+    Starts from the key means (table means where a key has none).  Rows that
+    lack the same columns form a pattern, and inside a pattern every round's values are one
+    linear map of the start values.  So one aggregate of the start values' moments
+    by pattern stands for all rows: the rounds work on these matrices
+    alone, and one pass over the rows applies the last map.  They stop when the
+    cells of no column move by more than ``tolerance`` of its deviation (root mean
+    square).  A column without any value stays NULL and is no regressor.
+
+    The maps travel to the rows as a table of at most ``PATTERN_CELLS`` numbers; with
+    more patterns than that, each round is a pass over the rows instead.
+    """
+    from seriesloom.operators.stats import covariance
+
+    names = list(cols)
+    doubled = df.withColumns({c: F.col(c).cast("double") for c in names})
+    marks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in names])
+    begun = fill_mean(doubled.withColumn("_gaps", marks), keys=keys, cols=names)
+    start = begun.agg(*[F.avg(c).alias(c) for c in names]).first()
+    used = [c for c in names if start[c] is not None]
+    if not used:
+        return begun.select(*df.columns)
+    begun, k = begun.na.fill({c: start[c] for c in used}), len(used)
+    moments = begun.groupBy("_gaps").agg(
+        F.count("*").alias("n"),
+        F.array(*[F.avg(c) for c in used]).alias("means"),
+        F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(used, 2)]).alias("covs"),
+    )
+    most = PATTERN_CELLS // (k * (k + 1))
+    rows = moments.limit(most + 1).collect()
+    if len(rows) > most:
+        return _fill_by_passes(begun, names, used, rounds, alpha, tolerance).select(*df.columns)
+    at = [names.index(c) for c in used]
+    gaps = np.array([[row["_gaps"][i] == "1" for i in at] for row in rows])
+    centre = np.array([start[c] for c in used])
+    sums = np.zeros((len(rows), k + 1, k + 1))
+    for s, row in zip(sums, rows):
+        mean = np.append(1.0, np.array(row["means"]) - centre)
+        s[1:, 1:] = covariance(row["covs"], k)
+        s[:] = row["n"] * (s + np.outer(mean, mean))
+    maps = _pattern_maps(sums, gaps, rounds, alpha, tolerance)
+    maps[:, 1:, 0] += centre - maps[:, 1:, 1:] @ centre
+    table = [(row["_gaps"], m[1:].tolist()) for row, m in zip(rows, maps) if "1" in row["_gaps"]]
+    lookup = df.sparkSession.createDataFrame(table, "_gaps string, _map array<array<double>>")
+    joined = begun.join(F.broadcast(lookup), "_gaps", "left")
+
+    def mapped(i: int) -> Column:
+        row = F.col("_map")[i]
+        value = row[0]
+        for j, c in enumerate(used):
+            value = value + row[j + 1] * F.col(c)
+        return F.when(F.substring("_gaps", names.index(used[i]) + 1, 1) == "1", value).otherwise(F.col(used[i]))
+
+    return joined.withColumns({c: mapped(i) for i, c in enumerate(used)}).select(*df.columns)
+
+
+def _pattern_maps(sums: np.ndarray, gaps: np.ndarray, rounds: int, alpha: float, tolerance: float) -> np.ndarray:
+    """For every pattern the map of (1, start values) to the values after the rounds.
+
+    ``sums`` are the summed products of (1, start values), ``gaps`` the columns a
+    pattern lacks.
     """
+    from seriesloom.operators.stats import solve_centred
+
+    k = gaps.shape[1]
+    maps = np.repeat(np.eye(k + 1)[None], len(gaps), axis=0)
+    total = sums.sum(axis=0)
+    sd = np.sqrt(np.maximum(np.diag(total)[1:] / total[0, 0] - (total[0, 1:] / total[0, 0]) ** 2, 0.0))
+    targets = [t for t in range(k) if gaps[:, t].any() and not gaps[:, t].all()]
+    for _ in range(rounds if targets and k > 1 else 0):
+        now = maps @ sums @ maps.transpose(0, 2, 1)
+        after, still = maps.copy(), True
+        for t in targets:
+            m = now[~gaps[:, t]].sum(axis=0)
+            order = [*[o for o in range(k) if o != t], t]
+            mean = m[0, 1:] / m[0, 0]
+            cov = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+            slopes, intercept, _ = solve_centred(cov[np.ix_(order, order)], mean[order], alpha)
+            open_ = gaps[:, t]
+            after[open_, t + 1] = np.einsum("o,pox->px", slopes, maps[open_][:, [o + 1 for o in order[:-1]]])
+            after[open_, t + 1, 0] += intercept
+            step = after[open_, t + 1] - maps[open_, t + 1]
+            moved = np.einsum("px,pxy,py->", step, sums[open_], step) / sums[open_, 0, 0].sum()
+            still &= bool(np.sqrt(max(moved, 0.0)) <= tolerance * (sd[t] or 1.0))
+        maps = after
+        if still:
+            break
+    return maps
+
+
+def _fill_by_passes(begun: DataFrame, names: Sequence[str], used: Sequence[str], rounds: int, alpha: float, tolerance: float) -> DataFrame:
+    """The rounds of ``fill_iterative`` as passes over the rows, for any number of patterns."""
     from seriesloom.operators.stats import covariance, solve_centred
     from seriesloom.session import settled
 
-    names = list(cols)
-    work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in names})
-    work = settled(fill_mean(work.withColumns({c: F.col(c).cast("double") for c in names}), keys=keys, cols=names))
-    start = work.agg(
-        *[F.avg(c).alias(c) for c in names],
-        *[F.stddev_samp(c).alias(f"sd_{c}") for c in names],
-        *[F.count_if(f"_gap_{c}").alias(f"n_{c}") for c in names],
-    ).first()
-    work = work.na.fill({c: start[c] for c in names if start[c] is not None})
-    targets = [c for c in names if start[f"n_{c}"] and start[c] is not None]
-    for _ in range(rounds if targets else 0):
-        held = F.filter(F.array(*[F.when(~F.col(f"_gap_{c}"), F.lit(c)) for c in targets]), lambda t: t.isNotNull())
-        rows = work.withColumn("_target", F.explode(held)).groupBy("_target").agg(
-            F.array(*[F.avg(c) for c in names]).alias("means"),
-            F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(names, 2)]).alias("covs"),
+    def lacks(c: str) -> Column:
+        return F.substring("_gaps", names.index(c) + 1, 1) == "1"
+
+    work = settled(begun)
+    start = work.agg(*[F.stddev_pop(c).alias(f"sd_{c}") for c in used], *[F.count_if(lacks(c)).alias(f"n_{c}") for c in used], F.count("*").alias("n")).first()
+    targets = [c for c in used if 0 < start[f"n_{c}"] < start["n"]]
+    for _ in range(rounds if targets and len(used) > 1 else 0):
+        present = F.filter(F.array(*[F.when(~lacks(c), F.lit(c)) for c in targets]), lambda t: t.isNotNull())
+        rows = work.withColumn("_target", F.explode(present)).groupBy("_target").agg(
+            F.array(*[F.avg(c) for c in used]).alias("means"),
+            F.array(*[F.covar_pop(x, y) for x, y in combinations_with_replacement(used, 2)]).alias("covs"),
         )
-        moments = {row["_target"]: row for row in rows.collect()}
-        update = {}
+        moments, update = {row["_target"]: row for row in rows.collect()}, {}
         for c in targets:
-            others = [o for o in names if o != c]
-            at = [*(names.index(o) for o in others), names.index(c)]
-            cov = covariance(moments[c].covs, len(names))[np.ix_(at, at)]
-            slopes, intercept, _ = solve_centred(cov, np.array(moments[c].means)[at], alpha)
+            order = [*[used.index(o) for o in used if o != c], used.index(c)]
+            cov = covariance(moments[c].covs, len(used))[np.ix_(order, order)]
+            slopes, intercept, _ = solve_centred(cov, np.array(moments[c].means)[order], alpha)
             value = F.lit(intercept)
-            for o, b in zip(others, slopes.tolist()):
-                value = value + F.col(o) * b
-            update[c] = F.when(F.col(f"_gap_{c}"), value).otherwise(F.col(c))
-        moved = {f"_move_{c}": F.abs(update[c] - F.col(c)) for c in targets}
+            for o, slope in zip(order, slopes.tolist()):
+                value = value + F.col(used[o]) * slope
+            update[c] = F.when(lacks(c), value).otherwise(F.col(c))
+        moved = {f"_move_{c}": F.when(lacks(c), F.pow(update[c] - F.col(c), 2)) for c in targets}
         work = settled(work.withColumns({**update, **moved}))
-        largest = work.agg(*[F.max(f"_move_{c}").alias(c) for c in targets]).first()
+        steps = work.agg(*[F.sqrt(F.avg(f"_move_{c}")).alias(c) for c in targets]).first()
         work = work.drop(*moved)
-        if all(largest[c] <= tolerance * (start[f"sd_{c}"] or 1.0) for c in targets):
+        if all(steps[c] <= tolerance * (start[f"sd_{c}"] or 1.0) for c in targets):
             break
-    return work.select(*df.columns)
+    return work
 
 
 def clean(

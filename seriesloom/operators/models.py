@@ -6,6 +6,7 @@ import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -241,16 +242,18 @@ def arma_forecast(y: np.ndarray, fit: Mapping, h: int) -> tuple[np.ndarray, np.n
     return _integrate(ahead, y, fit["steps"]), np.sqrt(fit["sigma2"] * np.cumsum(psi**2))
 
 
-def monthly(pdf: pd.DataFrame, date: str, value: str) -> tuple[np.ndarray, object]:
-    """Values of one series on every month from its first to its last observed one,
-    gaps filled on a straight line, and the last date; so lag 12 is the same month."""
-    seen = pdf[pdf[value].notna()]
+def on_calendar(pdf: pd.DataFrame, date: str, value: str, every: int = 1) -> tuple[np.ndarray, object]:
+    """Values of one series on every period of ``every`` months from its first to its
+    last observed one, and the last date.  A period with several rows takes its
+    last one; gaps are filled on a straight line, so lag ``m`` is the same season."""
+    seen = pdf[pdf[value].notna()].sort_values([date, value])
     if not len(seen):
         return np.zeros(0), None
     when = pd.to_datetime(seen[date])
-    month = (when.dt.year * 12 + when.dt.month).to_numpy()
-    at = np.arange(month[0], month[-1] + 1)
-    return np.interp(at, month, seen[value].to_numpy(float)), seen[date].iloc[-1]
+    period = (when.dt.year * 12 + when.dt.month - 1).to_numpy() // every
+    last = np.append(period[1:] != period[:-1], True)
+    at = np.arange(period[0], period[-1] + 1)
+    return np.interp(at, period[last], seen[value].to_numpy(float)[last]), seen[date].iloc[-1]
 
 
 def panel_arima(
@@ -264,39 +267,98 @@ def panel_arima(
     m: int = 12,
     periods: int = 12,
     log: bool = True,
+    every: int = 1,
 ) -> DataFrame:
     """Seasonal ARIMA forecast with 95 % bounds, one model per series.
 
+    A period is ``every`` months (3 for quarters) and a season ``m`` periods.
     Each grouped-map call holds one series of the panel (its calendar's
     length); Spark spreads the series over the executors.  Estimates are
     two-stage least squares, so they differ from exact likelihood by design.
-    A series too short for the model gives no rows.
+    A series too short for the model gives one row without a forecast, whose
+    ``reason`` says so; it is NULL on all other rows.
     """
     fields = [f for f in df.schema.fields if f.name in keys]
     names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", step int, last date, forecast double, lower_95 double, upper_95 double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", step int, last date, forecast double, lower_95 double, upper_95 double, reason string"
+    columns = [*names, "step", "last", "forecast", "lower_95", "upper_95", "reason"]
 
     def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        y, last = monthly(pdf, date, value)
+        y, last = on_calendar(pdf, date, value, every)
         shift = max(-y.min(), 0.0) if log and len(y) else 0.0
         x = np.log1p(y + shift) if log else y
         fit = seasonal_arma(x, order, seasonal, m)
         if fit is None:
-            return pd.DataFrame(columns=[*names, "step", "last", "forecast", "lower_95", "upper_95"])
+            none = dict.fromkeys(columns) | {k: pdf[k].iloc[0] for k in names} | {"reason": f"{len(y)} periods are too few"}
+            return pd.DataFrame([none], columns=columns).astype({c: float for c in ("forecast", "lower_95", "upper_95")})
         mean, se = arma_forecast(x, fit, periods)
         bands = [mean, mean - 1.96 * se, mean + 1.96 * se]
         if log:
             bands = [np.expm1(b) - shift for b in bands]
         out = pd.DataFrame(dict(zip(("forecast", "lower_95", "upper_95"), bands)))
         out["step"], out["last"] = np.arange(1, periods + 1), last
+        out["reason"] = None
         for k in names:
             out[k] = pdf[k].iloc[0]
-        return out[[*names, "step", "last", "forecast", "lower_95", "upper_95"]]
+        return out[columns]
 
     narrow = df.select(*names, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))
     made = spread(narrow, names).groupBy(*names).applyInPandas(forecast, schema)
-    return made.select(*names, "step", month_end_after("last", "step").alias(date), "forecast", "lower_95", "upper_95")
+    ahead = month_end_after("last", F.col("step") * every)
+    return made.select(*names, "step", ahead.alias(date), "forecast", "lower_95", "upper_95", "reason")
+
+
+def order_fits(y: np.ndarray, orders: Sequence[tuple[int, int, int]], seasonal: tuple[int, int, int], m: int) -> dict[tuple, dict]:
+    """Two-stage fits of all orders over the same dates, so that their criteria compare.
+
+    One long autoregression per ``d`` gives the shocks of all its orders.  The
+    common sample starts where the order that looks back farthest can; orders are
+    taken by how far they look back, and those that would leave fewer rows
+    than parameters and three to any order taken before are not fitted.
+    """
+    sp, sd, sq = seasonal
+    plans = {}
+    for d in sorted({o[1] for o in orders}):
+        steps = [m] * sd + [1] * d
+        z = reduce(_difference, steps, y) if len(y) > sum(steps) else np.empty(0)
+        lags = {o: ([*range(1, o[0] + 1), *[m * i for i in range(1, sp + 1)]], [*range(1, o[2] + 1), *[m * i for i in range(1, sq + 1)]]) for o in orders if o[1] == d}
+        long = min(max([1, *[k for both in lags.values() for side in both for k in side]]), max(len(z) // 4, 1))
+        for o, (ar, ma) in lags.items():
+            start = max([*ar, long + max(ma) if ma else 0, 0])
+            plans[o] = (sum(steps) + start, len(ar) + len(ma) + 1, z, ar, ma, long, sum(steps))
+    taken, first, widest = [], 0, 0
+    for o in sorted(plans, key=lambda o: (*plans[o][:2], o)):
+        begin, k = max(first, plans[o][0]), max(widest, plans[o][1])
+        if len(y) - begin >= k + 3:
+            taken, first, widest = [*taken, o], begin, k
+    shocks, out = {}, {}
+    for o in taken:
+        _, k, z, ar, ma, long, lost = plans[o]
+        if ma and o[1] not in shocks:
+            design = np.column_stack([np.ones(len(z) - long), _lagged(z, range(1, long + 1), long)])
+            e = np.zeros(len(z))
+            e[long:] = z[long:] - design @ np.linalg.lstsq(design, z[long:], rcond=None)[0]
+            shocks[o[1]] = e
+        start = first - lost
+        design = np.column_stack([np.ones(len(z) - start), _lagged(z, ar, start), _lagged(shocks[o[1]] if ma else z, ma, start)])
+        beta = np.linalg.lstsq(design, z[start:], rcond=None)[0]
+        n, sigma2 = len(z) - start, max(float(np.mean((z[start:] - design @ beta) ** 2)), 1e-300)
+        out[o] = {
+            "n": n,
+            "aic": n * np.log(sigma2) + 2 * k,
+            "bic": n * np.log(sigma2) + np.log(n) * k,
+            "stationary": _radius(beta[1 : len(ar) + 1], ar) < 1,
+            "invertible": _radius(-beta[len(ar) + 1 :], ma) < 1,
+        }
+    return out
+
+
+# The largest p, d and q of the order search.
+LARGEST_ORDER = (3, 2, 3)
+
+
+def all_orders(largest: tuple[int, int, int] = LARGEST_ORDER) -> list[tuple[int, int, int]]:
+    return list(product(*[range(v + 1) for v in largest]))
 
 
 def arima_grid(
@@ -305,34 +367,40 @@ def arima_grid(
     keys: Sequence[str],
     date: str,
     value: str,
-    orders: Sequence[tuple[int, int, int]],
+    orders: Sequence[tuple[int, int, int]] | None = None,
     seasonal: tuple[int, int, int] = (0, 0, 0),
     m: int = 12,
+    every: int = 1,
     criterion: str = "aic",
 ) -> DataFrame:
-    """AIC and BIC of every order for every series, best one marked, and
-    whether the AR roots as estimated lie outside the unit circle.
+    """AIC and BIC of every order (``all_orders()`` by default) for every series.
+
+    ``n`` rows are common to all orders of a series.  ``stationary`` and
+    ``invertible`` tell whether the AR and MA roots as estimated lie outside the
+    unit circle; the best order is the one with the smallest criterion among
+    those where both do, the smallest (p, d, q) on a tie.  An order that a
+    series is too short for has NULL in all of these.
 
-    The grid is crossed in by exploding a literal array, so each (series,
-    order) pair is a task-sized group of its own.
+    One grouped-map call holds a series once and fits all its orders, so no row
+    is repeated.
     """
+    tried = list(dict.fromkeys(tuple(o) for o in (all_orders() if orders is None else orders)))
     fields = [f for f in df.schema.fields if f.name in keys]
     names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", p int, d int, q int, aic double, bic double, stationary boolean"
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        y, _ = monthly(pdf, date, value)
-        order = tuple(int(pdf[c].iloc[0]) for c in "pdq")
-        fit = seasonal_arma(y, order, seasonal, m) or {"aic": None, "bic": None, "stationary": None}
-        out = pdf[[*names, "p", "d", "q"]].head(1)
-        out = out.assign(aic=fit["aic"], bic=fit["bic"], stationary=fit["stationary"])
-        return out.astype({"aic": float, "bic": float})
-
-    grid = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("pdq", order)]) for order in orders])
+    measures = {"n": "long", "aic": "double", "bic": "double", "stationary": "boolean", "invertible": "boolean"}
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "p int, d int, q int", *[f"{c} {t}" for c, t in measures.items()]])
+
+    def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, _ = on_calendar(pdf, date, value, every)
+        fits = order_fits(y, tried, seasonal, m)
+        out = pd.DataFrame([{**dict(zip("pdq", o)), **dict.fromkeys(measures), **fits.get(o, {})} for o in tried])
+        for k in names:
+            out[k] = pdf[k].iloc[0]
+        kinds = {"n": "Int64", "aic": "Float64", "bic": "Float64", "stationary": "boolean", "invertible": "boolean"}
+        return out.astype(kinds)[[*names, *"pdq", *measures]]
+
     narrow = df.select(*names, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value))
-    crossed = narrow.select("*", F.explode(grid).alias("_o")).select(*names, date, value, "_o.*")
-    fits = spread(crossed, [*names, "p", "d", "q"]).groupBy(*names, "p", "d", "q").applyInPandas(fit_one, schema)
-    fits = fits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("aic", "bic")})
-    ranked = series_window(names, F.col(criterion).asc_nulls_last(), F.col("p"), F.col("d"), F.col("q"))
-    return fits.withColumn("is_best", F.row_number().over(ranked) == 1)
+    fits = spread(narrow, names).groupBy(*names).applyInPandas(fit_all, schema)
+    sound = F.coalesce(F.col("stationary") & F.col("invertible"), F.lit(False))
+    ranked = series_window(names, sound.desc(), F.col(criterion).asc_nulls_last(), F.col("p"), F.col("d"), F.col("q"))
+    return fits.withColumn("is_best", sound & (F.row_number().over(ranked) == 1))

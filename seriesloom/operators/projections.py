@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -86,33 +87,75 @@ def expm1_restored(df: DataFrame, col: str, *, name: str | None = None) -> DataF
     return df.withColumn(name or f"{col}_restored", F.expm1(f"log1p_{col}") - F.col(f"{col}_shift"))
 
 
-def boxcox_grid(df: DataFrame, col: str, *, lo: float = -2.0, hi: float = 2.0, steps: int = 40) -> DataFrame:
-    """Profile log-likelihood ``(lam, llf)`` on a grid, then on a ten times
-    finer grid around the best value; one aggregate pass for each grid.
+def _boxcox(x: Column, lam: Column) -> Column:
+    """``(x^lam - 1) / lam``, the logarithm at zero."""
+    tiny = F.abs(lam) < 1e-12
+    return F.when(tiny, F.ln(x)).otherwise((F.pow(x, lam) - 1) / F.when(tiny, F.lit(1.0)).otherwise(lam))
+
+
+def boxcox_likelihood(df: DataFrame, col: str, lams: Sequence[float]) -> list[tuple[float, float]]:
+    """``(lam, llf)`` of the given powers: one aggregate with one variance per power.
 
     Values are divided by their geometric mean first, which leaves the
-    likelihood unchanged and keeps the powers close to one.
+    likelihood unchanged and keeps the powers close to one.  Missing values and
+    values that are not positive stay out; without any value the list is empty.
     """
     positive = df.select(F.col(col).cast("double").alias("x")).filter("x > 0")
-    base = positive.agg(F.avg(F.ln("x")).alias("mean_ln"), F.count("*").alias("n"))
-    scaled = attach_row(positive, base, "_b").select(
-        F.exp(F.ln("x") - F.col("_b.mean_ln")).alias("z"), F.col("_b.mean_ln").alias("g"), F.col("_b.n").alias("n")
-    )
-    step = (hi - lo) / steps
+    base = positive.agg(F.avg(F.ln("x")).alias("g"))
+    scaled = attach_row(positive, base, "_b").select(F.exp(F.ln("x") - F.col("_b.g")).alias("z"), F.col("_b.g").alias("g"))
+    spreads = [F.var_pop(_boxcox(F.col("z"), F.lit(lam))) for lam in lams]
+    row = scaled.agg(F.count("*").alias("n"), F.max("g").alias("g"), F.array(*spreads).alias("v")).first()
+    if not row.n:
+        return []
+    return [(lam, -row.n * row.g - row.n / 2 * math.log(v) if v > 0 else math.inf) for lam, v in zip(lams, row.v)]
+
+
+def _grid(middle: float, reach: float, step: float) -> list[float]:
+    return [round(middle + i * step, 10) for i in range(-round(reach / step), round(reach / step) + 1)]
 
-    def grid(frame: DataFrame, lams: Sequence[Column]) -> DataFrame:
-        lam = F.col("lam")
-        tiny = F.abs(lam) < 1e-12
-        y = F.when(tiny, F.ln("z")).otherwise((F.pow("z", "lam") - 1) / F.when(tiny, F.lit(1.0)).otherwise(lam))
-        spread = frame.withColumn("lam", F.explode(F.array(*lams))).groupBy("lam").agg(
-            F.var_pop(y).alias("v"), F.max("n").alias("n"), F.max("g").alias("g")
-        )
-        return spread.select("lam", (-F.col("n") * F.col("g") - F.col("n") / 2 * F.ln("v")).alias("llf"))
-
-    coarse = grid(scaled, [F.lit(round(lo + i * step, 10)) for i in range(steps + 1)])
-    near = attach_row(scaled, coarse.agg(F.max_by("lam", "llf").alias("lam")), "_best")
-    fine = grid(near, [F.round(F.col("_best.lam") + F.lit(i * step / 10), 10) for i in range(-9, 10) if i])
-    return coarse.withColumn("stage", F.lit("coarse")).unionByName(fine.withColumn("stage", F.lit("fine")))
+
+def _most_likely(rows: Sequence[tuple[float, float]]) -> float:
+    return max(rows, key=lambda r: (r[1], -abs(r[0]), r[0]))[0]
+
+
+def boxcox_grid(df: DataFrame, col: str, *, lo: float = -2.0, hi: float = 2.0, steps: int = 40) -> DataFrame:
+    """Profile log-likelihood ``(lam, llf, stage)`` on a grid, then on a ten times
+    finer grid around the best value; one aggregate each, no row is repeated."""
+    step = (hi - lo) / steps
+    coarse = boxcox_likelihood(df, col, [round(lo + i * step, 10) for i in range(steps + 1)])
+    near = _most_likely(coarse) if coarse else None
+    fine = boxcox_likelihood(df, col, [round(near + i * step / 10, 10) for i in range(-9, 10) if i]) if coarse else []
+    rows = [(*r, stage) for stage, part in (("coarse", coarse), ("fine", fine)) for r in part]
+    return df.sparkSession.createDataFrame(rows, "lam double, llf double, stage string")
+
+
+def boxcox_lambda(df: DataFrame, col: str, *, lo: float = -2.0, hi: float = 2.0, digits: int = 3) -> float | None:
+    """The power of largest likelihood, the one closest to zero on a tie, to
+    ``digits`` decimals with one aggregate for each; None without a positive value."""
+    best, reach = (lo + hi) / 2, (hi - lo) / 2
+    for digit in range(1, digits + 1):
+        step = 10.0**-digit
+        rows = boxcox_likelihood(df, col, _grid(best, reach, step))
+        if not rows:
+            return None
+        best, reach = _most_likely(rows), step
+    return best
+
+
+def boxcox_columns(df: DataFrame, cols: Sequence[str], *, digits: int = 3) -> DataFrame:
+    """Add ``boxcox_{c}`` and ``boxcox_lambda_{c}``.
+
+    A column with any value that is not positive, or with none at all, is
+    refused: it is carried over untransformed, its power NULL.
+    """
+    mins = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    added = {}
+    for c in cols:
+        refused = mins[c] is None or not mins[c] > 0
+        lam = None if refused else boxcox_lambda(df, c, digits=digits)
+        added[f"boxcox_{c}"] = F.col(c).cast("double") if lam is None else _boxcox(F.col(c).cast("double"), F.lit(lam))
+        added[f"boxcox_lambda_{c}"] = F.lit(lam).cast("double")
+    return df.withColumns(added)
 
 
 def derived_features(

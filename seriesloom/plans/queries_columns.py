@@ -177,6 +177,26 @@ def _boxcox(spark, sf):
     return grid.withColumn("llf", F.round("llf", 3))
 
 
+def _finer(step: str, reach: int, near: str) -> str:
+    return f"SELECT round({near}.top + i * {step}, 10)::DOUBLE AS lam FROM {near}, range({-reach}, {reach + 1}) t(i)"
+
+
+@query(
+    "boxcox_column",
+    f"""WITH b AS (SELECT avg(ln(o_totalprice)) AS g, count(*) AS n FROM orders WHERE o_totalprice > 0),
+        z AS (SELECT exp(ln(o_totalprice) - g) AS z, g, n FROM orders, b WHERE o_totalprice > 0),
+        l0 AS (SELECT 0.0 AS top), l1 AS ({_finer('0.1', 20, 'l0')}), t1 AS (SELECT arg_max(lam, llf) AS top FROM (SELECT lam, {_BOXCOX_LLF} AS llf FROM z, l1 GROUP BY lam)),
+        l2 AS ({_finer('0.01', 10, 't1')}), t2 AS (SELECT arg_max(lam, llf) AS top FROM (SELECT lam, {_BOXCOX_LLF} AS llf FROM z, l2 GROUP BY lam)),
+        l3 AS ({_finer('0.001', 10, 't2')}), t3 AS (SELECT arg_max(lam, llf) AS top FROM (SELECT lam, {_BOXCOX_LLF} AS llf FROM z, l3 GROUP BY lam))
+        SELECT o_orderkey, top AS boxcox_lambda_o_totalprice,
+               {r('CASE WHEN abs(top) < 1e-12 THEN ln(o_totalprice) ELSE (pow(o_totalprice, top) - 1) / NULLIF(top, 0) END', 4)} AS boxcox_o_totalprice
+        FROM orders, t3""",
+)
+def _boxcox_column(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return round_columns(pj.boxcox_columns(orders, ["o_totalprice"]).drop("o_totalprice"), 4, "boxcox_o_totalprice")
+
+
 @query(
     "derived_ratios",
     f"""SELECT l_orderkey, l_linenumber, {r('(l_discount + l_tax) / 2', 6)} AS avg_rate, {r('l_tax - l_discount', 6)} AS rate_spread,

@@ -320,6 +320,33 @@ def _impute_iterative(spark, sf):
     return round_columns(impute.fill_iterative(user_days_wide(spark, sf), keys=["user_id"], cols=EVENT_TYPES), 4)
 
 
+def _regressed(source: str) -> str:
+    """SQL of one round on the columns click and view of ``source``, with a ridge of 0.001."""
+    fits = ", ".join(
+        f"covar_pop({x}, {y}) FILTER (NOT gap_{y}) / (var_pop({x}) FILTER (NOT gap_{y}) + 0.001) AS slope_{y}, "
+        f"avg({x}) FILTER (NOT gap_{y}) AS mx_{y}, avg({y}) FILTER (NOT gap_{y}) AS my_{y}"
+        for x, y in (("click", "view"), ("view", "click"))
+    )
+    cells = ", ".join(
+        f"CASE WHEN gap_{y} THEN my_{y} + slope_{y} * ({x} - mx_{y}) ELSE {y} END AS {y}"
+        for x, y in (("click", "view"), ("view", "click"))
+    )
+    return f"SELECT user_id, day, gap_click, gap_view, {cells} FROM {source}, (SELECT {fits} FROM {source})"
+
+
+@query(
+    "impute_iterative_two",
+    f"""WITH {P2_WIDE_SQL}, k AS (SELECT user_id, avg(click) AS kc, avg(view) AS kv FROM p2w GROUP BY 1),
+        a AS (SELECT user_id, day, click IS NULL AS gap_click, view IS NULL AS gap_view, coalesce(click, kc) AS click, coalesce(view, kv) AS view FROM p2w JOIN k USING (user_id)),
+        r0 AS (SELECT user_id, day, gap_click, gap_view, coalesce(click, (SELECT avg(click) FROM a)) AS click, coalesce(view, (SELECT avg(view) FROM a)) AS view FROM a),
+        r1 AS ({_regressed('r0')}), r2 AS ({_regressed('r1')}), r3 AS ({_regressed('r2')})
+        SELECT user_id, day, {r('click', 4)} AS click, {r('view', 4)} AS view FROM r3""",
+)
+def _impute_iterative_two(spark, sf):
+    wide = user_days_wide(spark, sf).select("user_id", "day", "click", "view")
+    return round_columns(impute.fill_iterative(wide, keys=["user_id"], cols=["click", "view"], rounds=3, tolerance=0.0), 4)
+
+
 @query(
     "clean_dataset",
     f"""WITH {P2_DENSE_SQL}, {_TOP_TYPE_SQL}, w AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(CASE WHEN event_type = 'purchase' THEN value END), 2) AS purchase FROM events GROUP BY 1, 2),

@@ -13,8 +13,8 @@ from seriesloom.operators import models as ml
 from seriesloom.operators import selection as sel
 from seriesloom.operators import stats as st
 from seriesloom.operators.scenario import model_bounds
-from seriesloom.plans.registry import query
-from seriesloom.plans.tables import nation_panel
+from seriesloom.plans.registry import query, r
+from seriesloom.plans.tables import P1_SQL, nation_panel
 
 NATION = {"keys": ["n_name"], "date": "month"}
 KEEP = ["n_name", "month", "split"]
@@ -94,7 +94,61 @@ def _panel_arima(spark, sf):
 @query("arima_grid")
 def _arima_grid(spark, sf):
     panel = nation_panel(spark, sf).select("n_name", "month", F.log1p("revenue").alias("x"))
-    orders = [(p, d, q) for p in range(3) for d in range(2) for q in range(3)]
+    return round_columns(ml.arima_grid(panel, **NATION, value="x"), 4)
+
+
+def _det(rows: list[list[str]]) -> str:
+    """SQL of a small determinant, by its first row."""
+    if not rows:
+        return "1.0"
+    terms = [f"{'-' if j % 2 else '+'} {cell} * ({_det([r[:j] + r[j + 1 :] for r in rows[1:]])})" for j, cell in enumerate(rows[0])]
+    return " ".join(terms)
+
+
+def _cov(i: int, j: int) -> str:
+    return f"c{min(i, j)}{max(i, j)}"
+
+
+def _autoregression(p: int) -> str:
+    """SQL of an autoregression of ``p`` lags from covariances: residual variance and
+    whether all reflection coefficients lie inside the unit circle."""
+    lags = range(1, p + 1)
+    xx = [[_cov(i, j) for j in lags] for i in lags]
+    whole = [[_cov(i, j) for j in range(p + 1)] for i in range(p + 1)]
+    a = [f"(({_det([[_cov(0, i) if j == k else _cov(i, j) for j in lags] for i in lags])}) / ({_det(xx)}))" for k in lags]
+    inside = []
+    while a:
+        last = a[-1]
+        inside.append(f"abs({last}) < 1")
+        a = [f"(({a[i]} + {last} * {a[-2 - i]}) / (1 - {last} * {last}))" for i in range(len(a) - 1)]
+    return f"SELECT n_name, d, n, {p} AS p, ({_det(whole)}) / ({_det(xx)}) AS v, {' AND '.join(inside) or 'true'} AS stationary FROM m"
+
+
+_COVS = ", ".join(f"covar_pop({'z' if not i else f'l{i}'}, {'z' if not j else f'l{j}'}) AS c{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@query(
+    "arima_orders_ar",
+    f"""WITH {P1_SQL}, s AS (SELECT n_name, month, ln(1 + revenue) AS x FROM p1),
+        g AS (SELECT n_name, CAST(unnest(generate_series(CAST(min(month) AS TIMESTAMP), CAST(max(month) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM s GROUP BY 1),
+        i AS (SELECT n_name, x, row_number() OVER (PARTITION BY n_name ORDER BY month) AS i FROM g LEFT JOIN s USING (n_name, month)),
+        e AS (SELECT n_name, i, x, last_value(x IGNORE NULLS) OVER b AS px, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi,
+                     first_value(x IGNORE NULLS) OVER f AS nx, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni FROM i
+              WINDOW b AS (PARTITION BY n_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY n_name ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        d0 AS (SELECT n_name, i, coalesce(x, px + (nx - px) * (i - pi) / (ni - pi)) AS z FROM e),
+        d1 AS (SELECT n_name, i, z - lag(z) OVER (PARTITION BY n_name ORDER BY i) AS z FROM d0),
+        d2 AS (SELECT n_name, i, z - lag(z) OVER (PARTITION BY n_name ORDER BY i) AS z FROM d1),
+        u AS (SELECT 0 AS d, * FROM d0 UNION ALL SELECT 1, * FROM d1 UNION ALL SELECT 2, * FROM d2),
+        w AS (SELECT d, n_name, i, z, lag(z, 1) OVER o AS l1, lag(z, 2) OVER o AS l2, lag(z, 3) OVER o AS l3 FROM u WINDOW o AS (PARTITION BY d, n_name ORDER BY i)),
+        m AS (SELECT n_name, d, count(*) AS n, {_COVS} FROM w WHERE i > 5 GROUP BY 1, 2),
+        v AS ({' UNION ALL '.join(_autoregression(p) for p in range(4))}),
+        k AS (SELECT *, n * ln(v) + 2 * (p + 1) AS aic, n * ln(v) + ln(n) * (p + 1) AS bic FROM v)
+        SELECT n_name, p, d, 0 AS q, n, {r('aic', 4)} AS aic, {r('bic', 4)} AS bic, stationary, true AS invertible,
+               stationary AND row_number() OVER (PARTITION BY n_name ORDER BY stationary DESC, aic, p, d) = 1 AS is_best FROM k""",
+)
+def _arima_orders_ar(spark, sf):
+    panel = nation_panel(spark, sf).select("n_name", "month", F.log1p("revenue").alias("x"))
+    orders = [o for o in ml.all_orders() if o[2] == 0]
     return round_columns(ml.arima_grid(panel, **NATION, value="x", orders=orders), 4)
 
 

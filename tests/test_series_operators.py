@@ -116,6 +116,28 @@ def test_iterative_imputation_recovers_a_plane(spark):
     np.testing.assert_allclose(out["c"], c, atol=1e-3)
 
 
+def test_patterns_and_passes_fill_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 50
+    x[rng.random(x.shape) < 0.25] = np.nan
+    rows = [(i, None if i % 7 == 0 else f"k{i % 5}", *[None if np.isnan(v) else float(v) for v in row], None) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, key string, a double, b double, c double, d double, empty double")
+    args = {"keys": ["key"], "cols": ["a", "b", "c", "d", "empty"], "rounds": 4}
+    one = impute.fill_iterative(df, **args).orderBy("i").toPandas()
+    monkeypatch.setattr(impute, "PATTERN_CELLS", 40)
+    other = impute.fill_iterative(df, **args).orderBy("i").toPandas()
+    assert one["empty"].isna().all() and not one[list("abcd")].isna().any().any()
+    np.testing.assert_allclose(one[list("abcd")], other[list("abcd")], rtol=1e-9)
+    held = ~np.isnan(x)
+    np.testing.assert_allclose(one[list("abcd")].to_numpy()[held], x[held])
+    assert impute.fill_iterative(df.limit(0), **args).count() == 0
+
+
+def test_rows_without_a_key_are_a_series(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), ("a", 5.0), ("a", None)], "key string, x double")
+    assert sorted(r.x for r in impute.fill_mean(df, keys=["key"], cols=["x"]).collect()) == [1.0, 1.0, 5.0, 5.0]
+
+
 def test_clean_dispatch(spark):
     rows = [("a", dt.date(2020, 1, i + 1), v, t, z) for i, (v, t, z) in enumerate([(1.0, "x", None), (None, None, 2.0), (3.0, "x", None)])]
     df = spark.createDataFrame(rows, "key string, date date, v double, t string, z double")

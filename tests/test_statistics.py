@@ -303,8 +303,10 @@ def test_panel_arima_follows_a_season(series):
     x = [200 + 0.5 * i + season[i % 12] for i in range(84)]
     rng = np.random.default_rng(15)
     df = series({"a": [v + 0.01 * rng.normal() for v in x], "tiny": [1, 2, 3]})
-    out = ml.panel_arima(df, **K, value="value", periods=6, log=False).orderBy("step").collect()
+    rows = ml.panel_arima(df, **K, value="value", periods=6, log=False).orderBy("step").collect()
+    out = [r for r in rows if r.reason is None]
     assert {r.key for r in out} == {"a"}
+    assert [(r.key, r.step, r.date, r.forecast, r.reason) for r in rows if r.reason] == [("tiny", None, None, None, "3 periods are too few")]
     np.testing.assert_allclose([r.forecast for r in out], [200 + 0.5 * i + season[i % 12] for i in range(84, 90)], atol=0.3)
     width = [r.upper_95 - r.lower_95 for r in out]
     assert all(b >= a for a, b in zip(width, width[1:])) and out[0].date == dt.date(2027, 1, 31)
@@ -317,6 +319,56 @@ def test_arima_grid_prefers_the_difference(series):
     assert len(best) == 1 and best[0].d == 1
 
 
+def test_quarters_stay_quarters(spark):
+    rows = [("a", dt.date(2010 + i // 4, 3 * (i % 4) + 1, 1), 140.0 + i % 3 if i % 4 == 3 else 100.0 + i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, date date, value double")
+    out = ml.panel_arima(df, **K, value="value", m=4, every=3, periods=8).orderBy("step").collect()
+    assert [r.date.month for r in out] == [1, 4, 7, 10] * 2 and out[0].date.year == 2025
+    assert all((r.forecast > 130) == (r.date.month == 10) for r in out)
+
+
+def test_orders_share_one_sample_and_the_best_is_sound(series):
+    rng = np.random.default_rng(21)
+    e = rng.normal(size=301)
+    df = series({"ma": e[1:] + 0.6 * e[:-1], "short": list(rng.normal(size=14)), "one": [1.0], "none": [None, None]})
+    rows = ml.arima_grid(df, **K, value="value").collect()
+    assert len(rows) == 4 * 48
+    for key in ("ma", "short"):
+        fitted = [r for r in rows if r.key == key and r.n is not None]
+        assert len({r.n for r in fitted}) == 1 and fitted
+        best = [r for r in fitted if r.is_best]
+        sound = [r for r in fitted if r.stationary and r.invertible]
+        assert len(best) == 1 and best[0].aic == min(r.aic for r in sound)
+    assert all(r.n is not None for r in rows if r.key == "ma")
+    (best,) = [r for r in rows if r.key == "ma" and r.is_best]
+    assert best.d == 0 and best.q >= 1
+    assert any(r.invertible is False for r in rows if r.key == "ma" and r.d == 2) or any(r.stationary is False for r in rows)
+    assert not any(r.is_best or r.aic is not None for r in rows if r.key in ("one", "none"))
+
+
+def test_autoregressions_equal_direct_fits(series):
+    y = np.cumsum(np.random.default_rng(22).normal(size=80))
+    fits = ml.order_fits(y, [(p, d, 0) for p in range(4) for d in range(3)], (0, 0, 0), 12)
+    for (p, d, _), fit in fits.items():
+        z = np.diff(y, d)
+        x = np.column_stack([np.ones(75), *[z[5 - d - k : len(z) - k] for k in range(1, p + 1)]])
+        e = z[5 - d :] - x @ np.linalg.lstsq(x, z[5 - d :], rcond=None)[0]
+        assert fit["n"] == 75 and fit["aic"] == pytest.approx(75 * np.log(np.mean(e**2)) + 2 * (p + 1))
+
+
+def test_boxcox_column(spark):
+    x = np.exp(np.random.default_rng(23).normal(2, 0.4, 4000))
+    out = pj.boxcox_columns(frame(spark, x=x, cube=x**3, bad=x - 5.0, same=np.full(4000, 2.0)), ["x", "cube", "bad", "same"]).toPandas()
+    lam, cube = out["boxcox_lambda_x"].iloc[0], out["boxcox_lambda_cube"].iloc[0]
+    assert abs(lam) < 0.1 and abs(cube - lam / 3) < 0.001
+    np.testing.assert_allclose(out["boxcox_x"], (out["x"] ** lam - 1) / lam if lam else np.log(out["x"]))
+    assert out["boxcox_lambda_bad"].isna().all() and (out["boxcox_bad"] == out["bad"]).all()
+    assert out["boxcox_same"].nunique() == 1
+    empty = pj.boxcox_columns(spark.createDataFrame([(None,)], "x double"), ["x"]).first()
+    assert empty.boxcox_x is None and empty.boxcox_lambda_x is None
+    assert pj.boxcox_grid(spark.createDataFrame([], "x double"), "x").count() == 0
+
+
 def test_search_folds_are_ordered_in_time(series):
     df = series({"a": range(24), "b": range(24)})
     cuts = ml.time_folds(df, date="date", folds=3)
