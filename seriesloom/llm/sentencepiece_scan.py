@@ -19,7 +19,8 @@ a bounded cache.
 
 A space is written as the mark, one mark goes before the text; a literal mark
 becomes byte pieces, so decoding gives the text back exactly.  Null texts give null,
-empty ones no ids.  Ties go to the longer last piece.
+empty ones no ids.  Ties go to the longer last piece, in chunks as well: sums are exact
+where the file's scores are whole numbers, as in the default file.
 """
 
 from __future__ import annotations
@@ -97,11 +98,18 @@ class Vocabulary:
         rest = f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+"
         return re.compile("|".join(x for x in (alone, word, rest) if x))
 
-    def forward(self, text: str, start: int = 0) -> tuple[list[float], list[int]]:
-        """Best score of reaching every position from ``start``, and where its last piece began."""
+    def forward(self, text: str, start: int = 0, entering: list[float] | None = None) -> tuple[list[float], list[int]]:
+        """Best score of reaching every position from ``start``, and where its last piece began.
+
+        ``entering`` has the scores of reaching the first positions by pieces that began
+        before the text, which are marked by -1 and win ties.
+        """
         n = len(text)
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[start] = 0.0
+        if entering is not None:
+            begun = min(len(entering), n + 1)
+            best[:begun], back[:begun] = entering[:begun], [-1] * begun
         get, unknown, longest = self.starts.get, self.unknown, self.longest
         for i in range(start, n):
             here = best[i]
@@ -292,9 +300,9 @@ class Vocabulary:
             out = head[:, None] + middle + tail[None, :]
         return out
 
-    def _forward_to(self, text: str, n: int, start: int = 0) -> tuple[list[float], list[int]]:
+    def _forward_to(self, text: str, n: int, start: int = 0, entering: list[float] | None = None) -> tuple[list[float], list[int]]:
         """``forward`` in which no piece begins at or after ``n``: that is the next chunk's work."""
-        best, back = self.forward(text[:n], start)
+        best, back = self.forward(text[:n], start, entering)
         best, back = best + [NEVER] * (len(text) - n), back + [0] * (len(text) - n)
         for i in range(max(0, n - self.longest + 1), n):
             for j in range(n + 1, min(i + self.longest, len(text)) + 1):
@@ -303,6 +311,27 @@ class Vocabulary:
                     best[j], back[j] = best[i] + s, i
         return best, back
 
+    def head(self, text: str, n: int) -> tuple[str, int]:
+        """What ``origins`` needs of the chunk text[:n]: all of it, or the part before a cut that all paths pass, with -1."""
+        cut = self.cuts(text, self.longest, n)
+        return (text[: cut[0]], -1) if cut else (text, n)
+
+    def origins(self, head: str, n: int, entering: np.ndarray) -> np.ndarray:
+        """For every reach beyond the chunk how many of its first characters the chunk before
+        covers on the best path there; -1 where no path leads.  ``entering`` has the best
+        scores of the whole text up to each of these characters."""
+        whole = len(head) if n < 0 else n
+        best, back = self._forward_to(head, whole, 0, entering.tolist())
+        origin: list[int] = []
+        for j, (score, begin) in enumerate(zip(best, back, strict=True)):
+            origin.append(-1 if score == NEVER else j if begin < 0 else origin[begin])
+        if n < 0:
+            return np.full(self.longest, origin[-1], np.int32)
+        out = np.full(self.longest, -1, np.int32)
+        ends = origin[whole : whole + self.longest]
+        out[: len(ends)] = ends
+        return out
+
     @staticmethod
     def _into(row: np.ndarray, best: list[float], n: int, reach: range) -> None:
         for o in reach:
@@ -405,8 +434,13 @@ def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path)
         for batch in batches:
-            found = [vocabulary.transfer(*x).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["row", "i", "m"])
+            part, n, literal = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            found = [vocabulary.transfer(*x).tobytes() for x in zip(part, n, literal, strict=True)]
+            heads = [vocabulary.head(*x) for x in zip(part, n, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array([h for h, _ in heads], pa.string()), pa.array([k for _, k in heads], pa.int32())],
+                ["row", "i", "m", "head", "n"],
+            )
 
     return run
 
@@ -424,19 +458,44 @@ def _product(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": [group["row"].iloc[0]], "i": [group["i"].iloc[0] // FAN], "m": [whole.tobytes()]})
 
 
-def _states(group: pd.DataFrame) -> pd.DataFrame:
-    """Boundary states of up to FAN matrices between the known states of their product."""
+def _entering(group: pd.DataFrame) -> pd.DataFrame:
+    """Best scores before each of up to FAN matrices, from those before their product."""
+    group = group.sort_values("i")
+    scores, found = np.frombuffer(group["v"].iloc[0]), []
+    for raw in group["m"]:
+        found.append(scores.tobytes())
+        scores = (scores[:, None] + _square(raw)).max(axis=0)
+    return pd.DataFrame({"row": group["row"], "i": group["i"], "v": found})
+
+
+def _origins(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = loaded(path)
+        for batch in batches:
+            head, n, v = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            found = [vocabulary.origins(h, k, np.frombuffer(raw)).tobytes() for h, k, raw in zip(head, n, v, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["row", "i", "e"])
+
+    return run
+
+
+def _composed(group: pd.DataFrame) -> pd.DataFrame:
+    """Up to FAN maps from reach to origin as one."""
     group = group.sort_values("i")
-    enter, leave = int(group["enter"].iloc[0]), int(group["leave"].iloc[0])
-    matrices = [_square(raw) for raw in group["m"]]
-    best = [np.where(np.arange(len(matrices[0])) == enter, 0.0, NEVER)]
-    for m in matrices:
-        best.append((best[-1][:, None] + m).max(axis=0))
-    ends = [leave]
-    for v, m in zip(best[-2::-1], matrices[::-1], strict=True):
-        ends.append(int(np.argmax(v + m[:, ends[-1]])))
-    ends.reverse()
-    return pd.DataFrame({"row": group["row"], "i": group["i"], "enter": ends[:-1], "leave": ends[1:]})
+    whole = None
+    for raw in group["e"].iloc[::-1]:
+        e = np.frombuffer(raw, np.int32)
+        whole = e if whole is None else np.where(whole < 0, -1, e[whole]).astype(np.int32)
+    return pd.DataFrame({"row": [group["row"].iloc[0]], "i": [group["i"].iloc[0] // FAN], "e": [whole.tobytes()]})
+
+
+def _states(group: pd.DataFrame) -> pd.DataFrame:
+    """Boundary states of up to FAN chunks or blocks whose last reach is known."""
+    group = group.sort_values("i", ascending=False)
+    states = [int(group["leave"].iloc[0])]
+    for raw in group["e"]:
+        states.append(int(np.frombuffer(raw, np.int32)[states[-1]]))
+    return pd.DataFrame({"row": group["row"], "i": group["i"], "enter": states[1:], "leave": states[:-1]})
 
 
 def _backtrace(path: str):
@@ -450,20 +509,40 @@ def _backtrace(path: str):
     return run
 
 
+def _climbed(lowest: DataFrame, most: int, combine, column: str) -> list[DataFrame]:
+    """The rows and the levels above them, FAN rows to one, up to one row a text."""
+    levels = [lowest]
+    while most:
+        most //= FAN
+        above = levels[-1].groupBy("row", F.expr(f"i div {FAN}")).applyInPandas(combine, f"row long, i long, {column}")
+        levels.append(checkpointed(above))
+    return levels
+
+
+def _below(level: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of a level with what is known of the row above each, and that row's number ``up``."""
+    above = known.withColumnsRenamed({"row": "r", "i": "up"})
+    return level.join(above, (F.col("row") == F.col("r")) & (F.expr(f"i div {FAN}") == F.col("up"))).drop("r")
+
+
 def _long_texts(long: DataFrame, path: str, chunk: int) -> DataFrame:
     """(row, ids) of texts longer than a chunk: ``long`` has row and text."""
     chunks = checkpointed(long.mapInArrow(_chunker(path, chunk), "row long, i long, part string, n int, literal string").repartition("row", "i"))
-    levels = [checkpointed(chunks.mapInArrow(_matrices(path), "row long, i long, m binary"))]
+    first = checkpointed(chunks.mapInArrow(_matrices(path), "row long, i long, m binary, head string, n int"))
     most = chunks.agg(F.max("i")).first()[0] or 0
-    while most:
-        most //= FAN
-        above = levels[-1].groupBy("row", F.expr(f"i div {FAN}")).applyInPandas(_product, "row long, i long, m binary")
-        levels.append(checkpointed(above))
-    states = levels[-1].select("row", "i", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+    levels = _climbed(first.select("row", "i", "m"), most, _product, "m binary")
+    start = np.full(loaded(path).longest, NEVER)
+    start[0] = 0.0
+    before = levels[-1].select("row", "i", F.lit(bytearray(start.tobytes())).alias("v"))
+    for below in levels[-2::-1]:
+        before = checkpointed(_below(below, before).groupBy("row", "up").applyInPandas(lambda g: _entering(g.drop(columns="up")), "row long, i long, v binary"))
+    maps = first.join(before, ["row", "i"]).select("row", "i", "head", "n", "v").mapInArrow(_origins(path), "row long, i long, e binary")
+    levels = _climbed(checkpointed(maps), most, _composed, "e binary")
+    top = levels[-1].select("row", "i", F.lit(0).alias("leave"), "e")
+    states = top.groupBy("row").applyInPandas(_states, "row long, i long, enter int, leave int")
     for below in levels[-2::-1]:
-        known = states.select(F.col("row").alias("r"), F.col("i").alias("up"), "enter", "leave")
-        joined = below.join(known, (F.col("row") == F.col("r")) & (F.expr(f"i div {FAN}") == F.col("up"))).select("row", "i", "m", "enter", "leave", "up")
-        states = checkpointed(joined.groupBy("row", "up").applyInPandas(lambda g: _states(g.drop(columns="up")), "row long, i long, enter int, leave int"))
+        known = states.select("row", "i", "leave")
+        states = checkpointed(_below(below, known).groupBy("row", "up").applyInPandas(lambda g: _states(g.drop(columns="up")), "row long, i long, enter int, leave int"))
     ready = chunks.join(states, ["row", "i"]).select("row", "i", "part", "n", "literal", "enter", "leave")
     ids = ready.mapInArrow(_backtrace(path), "row long, i long, ids array<int>")
     return ids.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
