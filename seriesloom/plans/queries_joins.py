@@ -8,6 +8,7 @@ from seriesloom.functions.expressions import round_columns
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import impute, panel
 from seriesloom.operators.asof import asof_join, last_known_at_period_end
+from seriesloom.operators.neighbours import fill_knn_blocks
 from seriesloom.plans.registry import query, r
 from seriesloom.plans.tables import (
     EVENT_TYPES,
@@ -320,6 +321,12 @@ def _impute_iterative(spark, sf):
     return round_columns(impute.fill_iterative(user_days_wide(spark, sf), keys=["user_id"], cols=EVENT_TYPES), 4)
 
 
+@query("impute_knn_blocks")
+def _impute_knn_blocks(spark, sf):
+    """All users as one series: far above the panel grain."""
+    return round_columns(fill_knn_blocks(user_days_wide(spark, sf), date="day", cols=EVENT_TYPES), 6)
+
+
 def _regressed(source: str) -> str:
     """SQL of one round on the columns click and view of ``source``, with a ridge of 0.001."""
     fits = ", ".join(
