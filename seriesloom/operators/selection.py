@@ -12,7 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from seriesloom.operators.models import fit_forest
 from seriesloom.operators.stats import column_moments, raw_gram_matrix, solve_centred, vif_values
@@ -109,6 +110,39 @@ def pca(df: DataFrame, features: Sequence[str], *, variance: float = 0.95) -> tu
     return model, df.sparkSession.createDataFrame(rows, schema)
 
 
+def pca_reduced(df: DataFrame, features: Sequence[str], *, variance: float = 0.95) -> DataFrame:
+    """``df`` with ``PC1`` .. ``PCk`` in place of the features, as column expressions.
+
+    The fewest components that explain ``variance`` of the standardised features
+    stay.  Their weights come from one aggregate of moments over rows that have all
+    features; in a component the first of the largest weights is positive.  A row
+    with gaps has NULL components, and ``gaps`` counts its missing features.
+    A constant feature has no weight.  Without complete rows there is PC1 alone, NULL.
+    """
+    names = list(features)
+    others = [c for c in df.columns if c not in names]
+    gaps = F.size(F.filter(F.array(*[F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in names]), lambda g: g)).alias("gaps")
+    if df.select(*names).na.drop("any").isEmpty():
+        return df.select(*others, F.lit(None).cast("double").alias("PC1"), gaps)
+    _, means, cov = column_moments(df, names)
+    sd = np.sqrt(np.diag(cov))
+    scale = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+    values, vectors = np.linalg.eigh(cov * np.outer(scale, scale))
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    total = np.cumsum(values) / (values.sum() or 1.0)
+    needed = min(int(np.searchsorted(total, variance - 1e-12)) + 1, len(names))
+
+    def component(weights: np.ndarray) -> Column:
+        first = np.flatnonzero(np.abs(weights) >= np.abs(weights).max() - 1e-9)[0]
+        weights = weights * np.sign(weights[first])
+        value = F.lit(0.0)
+        for c, w, m, s in zip(names, weights.tolist(), means.tolist(), scale.tolist()):
+            value = value + (F.col(c).cast("double") - m) * (w * s)
+        return F.when(~F.isnan(value), value)
+
+    return df.select(*others, *[component(vectors[:, i]).alias(f"PC{i + 1}") for i in range(needed)], gaps)
+
+
 def select_by_importance(df: DataFrame, features: Sequence[str], target: str, *, threshold: float = 0.01, **params) -> list[str]:
     scores = forest_importance(df, features, target, **params)
     return [f for f in features if scores[f] > threshold]

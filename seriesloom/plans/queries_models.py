@@ -14,7 +14,7 @@ from seriesloom.operators import selection as sel
 from seriesloom.operators import stats as st
 from seriesloom.operators.scenario import model_bounds
 from seriesloom.plans.registry import query, r
-from seriesloom.plans.tables import P1_SQL, nation_panel
+from seriesloom.plans.tables import P1_SQL, nation_panel, table
 
 NATION = {"keys": ["n_name"], "date": "month"}
 KEEP = ["n_name", "month", "split"]
@@ -184,6 +184,24 @@ def _pca_reduce(spark, sf):
     return round_columns(sel.pca(frame, names)[1], 6)
 
 
+@query(
+    "pca_reduced_two",
+    f"""WITH m AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(l_extendedprice) AS my, stddev_pop(l_extendedprice) AS sy,
+                      corr(l_quantity, l_extendedprice) AS c FROM lineitem),
+        z AS (SELECT l_orderkey, l_linenumber, (l_quantity - mx) / sx AS x, sign(c) * (l_extendedprice - my) / sy AS y FROM lineitem, m)
+        SELECT l_orderkey, l_linenumber, {r('(x + y) / sqrt(2)', 5)} AS PC1, {r('(x - y) / sqrt(2)', 5)} AS PC2, 0 AS gaps FROM z""",
+)
+def _pca_reduced_two(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return round_columns(sel.pca_reduced(lines, ["l_quantity", "l_extendedprice"], variance=1.0), 5)
+
+
+@query("pca_reduced")
+def _pca_reduced(spark, sf):
+    frame, names = _design(spark, sf)
+    return round_columns(sel.pca_reduced(frame.select("n_name", "month", *names), names), 4)
+
+
 @query("importance_selection")
 def _importance_selection(spark, sf):
     frame, names = _design(spark, sf)

@@ -171,6 +171,28 @@ def test_pca_matches_eigenvalues(spark):
     assert kept == int(np.searchsorted(np.cumsum(eig / eig.sum()), 0.95)) + 1
 
 
+def test_reduced_columns_match_the_projection(spark):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 8)) + 0.01 * rng.normal(size=(200, 8))
+    x[:, 7] = 5.0
+    names = [f"x{i}" for i in range(8)]
+    df = frame(spark, id=range(200), **{c: x[:, i] for i, c in enumerate(names)})
+    df = df.withColumn("x2", F.when(F.col("id") != 7, F.col("x2")))
+    got = sel.pca_reduced(df, names).orderBy("id").toPandas()
+    held = np.delete(np.arange(200), 7)
+    z = (x[held, :7] - x[held, :7].mean(axis=0)) / x[held, :7].std(axis=0)
+    values, vectors = np.linalg.eigh(z.T @ z / len(held))
+    share = np.cumsum(values[::-1]) / values.sum()
+    k = int(np.searchsorted(share, 0.95)) + 1
+    assert list(got.columns) == ["id", *[f"PC{i + 1}" for i in range(k)], "gaps"]
+    for i in range(k):
+        v = vectors[:, -1 - i]
+        np.testing.assert_allclose(got[f"PC{i + 1}"].to_numpy()[held], z @ v * np.sign(v[np.argmax(np.abs(v))]), atol=1e-6)
+    assert got["gaps"].tolist() == [int(i == 7) for i in range(200)] and np.isnan(got["PC1"][7])
+    none = sel.pca_reduced(spark.createDataFrame([(1, None, 2.0)], "id int, a double, b double"), ["a", "b"]).first()
+    assert none.PC1 is None and none.gaps == 1
+
+
 def test_selection_keeps_the_signal(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(400, 5))
