@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.windows import filled_forward, series_window, spread
@@ -56,7 +56,8 @@ def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 def outer_merge_many(sources: Mapping[str, DataFrame], *, on: Sequence[str], value: Mapping[str, str]) -> DataFrame:
     """Full outer merge of N sources with one shuffle: stack them in long form
-    and aggregate; ``value`` names the value column of every source."""
+    and aggregate; ``value`` names the value column of every source, which has at
+    most one row per key (``outer_merge_rows`` takes several rows and columns)."""
     stacked = [
         df.select(*on, F.lit(name).alias("_source"), F.col(value[name]).cast("double").alias("_value"))
         for name, df in sources.items()
@@ -67,6 +68,49 @@ def outer_merge_many(sources: Mapping[str, DataFrame], *, on: Sequence[str], val
     )
 
 
+def outer_merge_rows(sources: Mapping[str, DataFrame], *, on: Sequence[str]) -> DataFrame:
+    """Full outer merge of N sources with any columns and any number of rows per key.
+
+    Equals a chain of full joins: each combination of the rows that share a key is
+    one row, a source without the key is NULL in it, NULL keys meet each other.  A
+    column that several sources have is called ``{column}_{source}``.
+
+    The sources are stacked and shuffled once.  Each row gets its occurrence index
+    within key and source, is sent to every combination that holds this index, and
+    the parts of a combination are put together.  No list of a key's rows is built;
+    the rows in flight are those of the result, once per source.
+    """
+    names, on = list(sources), list(on)
+    own = {n: [c for c in sources[n].columns if c not in on] for n in names}
+    every = [c for n in names for c in own[n]]
+    parts = []
+    for i, n in enumerate(names):
+        cells = F.struct(F.lit(True).alias("_in"), *[F.col(c) for c in own[n]])
+        parts.append(sources[n].select(*on, F.lit(i).alias("_source"), cells.alias(f"_row{i}")))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    by_key = Window.partitionBy(*on)
+    cells = [F.col(f"_row{i}") for i in range(len(names))]
+    place = F.row_number().over(Window.partitionBy(*on, "_source").orderBy(*cells)) - 1
+    sizes = [F.greatest(F.count(c).over(by_key), F.lit(1)) for c in cells]
+    sized = stacked.select("*", place.cast("long").alias("_place"), *[s.alias(f"_size{i}") for i, s in enumerate(sizes)])
+    size = [F.col(f"_size{i}") for i in range(len(names))]
+
+    def pick(values: Sequence[Column]) -> Column:
+        return reduce(lambda rest, iv: F.when(F.col("_source") == iv[0], iv[1]).otherwise(rest), enumerate(values), F.lit(1).cast("long"))
+
+    def product(cols: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a * b, cols, F.lit(1).cast("long"))
+
+    low = pick([product(size[i + 1 :]) for i in range(len(names))])
+    high = pick([product(size[:i]) for i in range(len(names))])
+    spread_out = sized.withColumns({"_low": low, "_own": pick(size), "_other": F.explode(F.sequence(F.lit(0).cast("long"), low * high - 1))})
+    beside = F.expr("_other div _low") * F.col("_own") * F.col("_low")
+    numbered = spread_out.withColumn("_combination", beside + F.col("_place") * F.col("_low") + F.col("_other") % F.col("_low"))
+    merged = numbered.groupBy(*on, "_combination").agg(*[F.first(c, ignorenulls=True).alias(f"_row{i}") for i, c in enumerate(cells)])
+    out = [F.col(f"_row{i}")[c].alias(c if every.count(c) == 1 else f"{c}_{n}") for i, n in enumerate(names) for c in own[n]]
+    return merged.select(*on, *out)
+
+
 def inner_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "inner")
 

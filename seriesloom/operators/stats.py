@@ -7,8 +7,8 @@ from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ from seriesloom.operators.projections import replace_infinite
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.session import held
 
-# Up to this many columns a covariance matrix is planned as one expression each.
-FEW_COLUMNS = 6
+# Rows from which the pivots of the moments are taken; results do not depend on them.
+PIVOT_ROWS = 101
 
 # ------------------------------------------------------------ profiles
 
@@ -152,21 +152,23 @@ def solve_centred(cov: np.ndarray, means: np.ndarray, penalty: float = 0.0) -> t
 def column_moments(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and population covariances over complete rows.
 
-    A few columns are one aggregate of expressions; many go through Spark
-    ML's vector statistics, whose cost in plan size does not grow with their
-    number.  Only the k x k result reaches the driver.
+    Each row becomes one vector: its distances from a pivot and their products.
+    A single aggregate takes the mean of these vectors, for any number of
+    columns.  The result is the same for every pivot; one out of the column's
+    middle keeps the digits.  Only the k + k (k + 1) / 2 means reach the driver.
+    Without complete rows all moments are NaN.
     """
-    complete = _complete(df.select(*names), names)
-    k = len(names)
-    if k <= FEW_COLUMNS:
-        m = complete.agg(*_moments(names)).first()
-        return m.n, np.array(m.means, dtype=float), covariance(m.covs, k)
-    vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(complete).select("v")
-    with held(vectors) as frame:
-        stats = frame.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first().s
-        corr = np.nan_to_num(Correlation.corr(frame, "v").first()[0].toArray())
-    n, sd = stats["count"], np.sqrt(stats["variance"].toArray() * (stats["count"] - 1) / stats["count"])
-    return n, stats["mean"].toArray(), corr * np.outer(sd, sd)
+    complete, k = _complete(df.select(*names), names), len(names)
+    near = np.array([tuple(r) for r in complete.take(PIVOT_ROWS)], dtype=float).reshape(-1, k)
+    if not len(near):
+        return 0, np.full(k, np.nan), np.full((k, k), np.nan)
+    pivot = np.sort(near, axis=0)[len(near) // 2]
+    away = complete.select(F.array(*[F.col(c) - F.lit(float(p)) for c, p in zip(names, pivot)]).alias("x"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(F.slice("x", i + 1, F.lit(k)), lambda v: v * F.get("x", i)))
+    vectors = away.select(array_to_vector(F.concat("x", F.flatten(rows))).alias("v"))
+    found = vectors.select(Summarizer.metrics("count", "mean").summary(F.col("v")).alias("s")).first().s
+    mean = found["mean"].toArray()
+    return found["count"], pivot + mean[:k], covariance(mean[k:], k) - np.outer(mean[:k], mean[:k])
 
 
 def ols(df: DataFrame, xs: Sequence[str], y: str, *, alpha: float = 0.0) -> dict:
@@ -236,9 +238,6 @@ def two_factor_impact(df: DataFrame, *, keys: Sequence[str], target: str, factor
 def raw_gram_matrix(df: DataFrame, xs: Sequence[str]) -> np.ndarray:
     """Mean uncentred products of the features (bad cells take the mean)."""
     clean = replace_infinite(df.select(*[F.col(c).cast("double").alias(c) for c in xs]), xs)
-    if len(xs) <= FEW_COLUMNS:
-        means = [F.avg(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(xs, 2)]
-        return covariance(clean.agg(F.array(*means).alias("g")).first().g, len(xs))
     _, means, cov = column_moments(clean, xs)
     return cov + np.outer(means, means)
 

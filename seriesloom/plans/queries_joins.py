@@ -48,6 +48,28 @@ def _outer_merge_pivot(spark, sf):
     )
 
 
+def _orders_of(priority: str, name: str) -> str:
+    return f"{name} AS (SELECT o_custkey, o_orderkey AS {name}_order, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority = '{priority}')"
+
+
+@query(
+    "outer_merge_rows",
+    f"""WITH {_orders_of('1-URGENT', 'urgent')}, {_orders_of('5-LOW', 'low')}, n AS (SELECT c_custkey AS o_custkey, c_name, c_mktsegment FROM customer)
+        SELECT o_custkey, urgent_order, urgent.o_orderstatus AS o_orderstatus_urgent, urgent.o_totalprice AS o_totalprice_urgent,
+          low_order, low.o_orderstatus AS o_orderstatus_low, low.o_totalprice AS o_totalprice_low, c_name, c_mktsegment
+        FROM urgent FULL JOIN low USING (o_custkey) FULL JOIN n USING (o_custkey)""",
+)
+def _outer_merge_rows(spark, sf):
+    orders = table(spark, sf, "orders")
+
+    def of(priority: str, name: str):
+        rows = orders.filter(F.col("o_orderpriority") == priority)
+        return rows.select("o_custkey", F.col("o_orderkey").alias(f"{name}_order"), "o_orderstatus", "o_totalprice")
+
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return panel.outer_merge_rows({"urgent": of("1-URGENT", "urgent"), "low": of("5-LOW", "low"), "customer": customers}, on=["o_custkey"])
+
+
 @query("inner_merge", f"WITH {P1_SQL}, {P1_SHIP_SQL} SELECT n_name, month, revenue, ship_qty FROM p1 JOIN ship USING (n_name, month)")
 def _inner_merge(spark, sf):
     revenue = nation_panel(spark, sf).select("n_name", "month", "revenue")

@@ -258,3 +258,26 @@ def test_only_flagged_sources_are_cleaned(series):
     out = clean_flagged({"good": good, "bad": bad}, keys=["key"], dates={"good": "date", "bad": "date"})
     assert out["good"] is good
     assert [r.value for r in out["bad"].orderBy("date").collect()] == [1, 2, 3]
+
+
+def test_outer_merge_rows_equals_a_chain_of_joins(spark):
+    a = spark.createDataFrame([("k", 1, "p"), ("k", 2, "p"), ("k", 2, "p"), (None, 3, "q"), ("a", 4, None)], "key string, n int, v string")
+    b = spark.createDataFrame([("k", 1.0), ("k", None), (None, 2.0), ("b", 3.0)], "key string, v double")
+    c = spark.createDataFrame([("k", True), ("c", False), ("c", False)], "key string, w boolean")
+    out = [tuple(r) for r in panel.outer_merge_rows({"x": a, "y": b, "z": c}, on=["key"]).collect()]
+
+    def join(left, right, width):
+        keys = {r[0] for r in left} | {r[0] for r in right}
+        rows = []
+        for k in keys:
+            mine = [r for r in left if r[0] == k] or [(k, *[None] * (len(left[0]) - 1))]
+            rows += [(*m, *t[1:]) for m in mine for t in ([r for r in right if r[0] == k] or [(k, *[None] * width)])]
+        return rows
+
+    want = join(join([tuple(r) for r in a.collect()], [tuple(r) for r in b.collect()], 1), [tuple(r) for r in c.collect()], 1)
+    assert sorted(out, key=str) == sorted(want, key=str) and len(out) == 11
+    assert panel.outer_merge_rows({"x": a, "y": b, "z": c}, on=["key"]).columns == ["key", "n", "v_x", "v_y", "w"]
+    empty = panel.outer_merge_rows({"x": a.limit(0), "z": c.filter("w")}, on=["key"]).collect()
+    assert [tuple(r) for r in empty] == [("k", None, None, True)]
+    plan = panel.outer_merge_rows({"x": a, "y": b}, on=["key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -462,3 +462,19 @@ def test_coverage_gaps_against_plain_lists(spark):
         assert (got[k].start, got[k].end, got[k].duration_days, got[k].median_step, got[k].n_gaps) == want
     plan = coverage_gaps(spark.createDataFrame(rows, "key string, day date"), keys=["key"], date="day")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_moments_of_any_width(spark, k):
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(500, k)) @ rng.normal(size=(k, k)) + 1e6 * np.arange(1, k + 1)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(k)]))
+    holes = df.withColumn("c0", F.when(F.col("c0") > 0, F.col("c0"))).unionByName(df.limit(3).withColumn("c0", F.lit(None).cast("double")))
+    n, means, cov = st.column_moments(holes, df.columns)
+    assert n == 500
+    np.testing.assert_allclose(means, x.mean(axis=0), rtol=1e-12)
+    np.testing.assert_allclose(cov, np.cov(x.T, bias=True).reshape(k, k), rtol=1e-8, atol=1e-8)
+    n, means, cov = st.column_moments(df.limit(0), df.columns)
+    assert n == 0 and np.isnan(means).all() and np.isnan(cov).all()
+    _, _, flat = st.column_moments(df.withColumn("c0", F.lit(0.1)), df.columns)
+    assert flat[0, 0] == 0
