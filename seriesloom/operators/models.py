@@ -141,6 +141,15 @@ def hyperparameter_search(
     return df.sparkSession.createDataFrame(ranked, "rank int, setting int, params string, mean_mse double, std_mse double")
 
 
+def best_model(
+    df: DataFrame, features: Sequence[str], target: str, *, date: str, family: str, space: Mapping[str, Sequence], n_iter: int = 50, **search
+) -> tuple[PipelineModel, dict, DataFrame]:
+    """The best setting of ``hyperparameter_search`` fitted on all rows, that setting, and the ranked table."""
+    table = hyperparameter_search(df, features, target, date=date, family=family, space=space, n_iter=n_iter, **search)
+    params = sample_parameters(space, n_iter)[table.filter("rank = 1").first().setting]
+    return {"forest": fit_forest, "boosted": fit_boosted}[family](df, features, target, **params), params, table
+
+
 def frozen_forecast(model: PipelineModel, df: DataFrame, features: Sequence[str], *, keys: Sequence[str], date: str, periods: int = 12) -> DataFrame:
     """Model forecast with every feature held at its last row."""
     packed = F.max_by(F.struct(*features), F.col(date)).alias("_f")

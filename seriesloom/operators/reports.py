@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from seriesloom.functions.expressions import ratio
 from seriesloom.functions.windows import rolling, series_window
 from seriesloom.operators.features import lag_exprs
-from seriesloom.operators.impute import clean
+from seriesloom.operators.impute import clean, fill_knn
 from seriesloom.operators.outliers import clip_flagged_series
 from seriesloom.operators.panel import align_sources, outer_merge_many
 from seriesloom.operators.quality import flagged_sources, quality_report
+from seriesloom.session import settled
+
+
+def treat_source(df: DataFrame, *, keys: Sequence[str], date: str, cols: Sequence[str]) -> DataFrame:
+    """``keys``, ``date`` and ``cols`` of one source, clipped where flagged and without gaps."""
+    clipped = clip_flagged_series(df.select(*keys, date, *cols), cols, keys=keys)
+    return fill_knn(clipped, keys=keys, date=date, cols=cols)
 
 
 def prepare_panel(
@@ -26,13 +33,18 @@ def prepare_panel(
     lags: Sequence[int] = (1, 2, 3),
     windows: Sequence[int] = (3, 12),
 ) -> DataFrame:
-    """Align the sources on their common months, fill gaps by elapsed time,
-    clip flagged series, take logs of the target and add its lags and rolling
-    means.  One plan; everything after the alignment shares one partitioning."""
-    aligned = align_sources(sources, keys=keys, date=date, value=value)
-    clipped = clip_flagged_series(aligned, list(value), keys=keys)
+    """Clip flagged series of every source, fill its gaps from the nearest rows,
+    align the sources on their common months, take logs of the target and add its
+    lags and rolling means.
+
+    Treated sources are settled, as aligning reads them for the range and for the
+    values; everything after the alignment shares one partitioning.
+    """
+    aligned = align_sources(
+        {n: settled(treat_source(df, keys=keys, date=date, cols=[value[n]])) for n, df in sources.items()}, keys=keys, date=date, value=value
+    )
     log_name = f"log_{target}"
-    logged = clipped.withColumn(log_name, F.when(F.col(target) > 0, F.ln(target)))
+    logged = aligned.withColumn(log_name, F.when(F.col(target) > 0, F.ln(target)))
     w = series_window(keys, date)
     features = lag_exprs([log_name], lags, w) | {f"{log_name}_mean_{n}": rolling(log_name, n, F.avg, w) for n in windows}
     return logged.withColumns(features)

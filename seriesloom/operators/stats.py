@@ -322,8 +322,19 @@ def pacf(df: DataFrame, *, keys: Sequence[str], date: str, col: str, lags: int)
     return solved.select(*keys, F.posexplode("pacf").alias("lag", "pacf"))
 
 
-def ljung_box(df: DataFrame, *, keys: Sequence[str], date: str, col: str, lags: Sequence[int] = (1, 10)) -> DataFrame:
-    """``Q = n (n+2) sum r_k^2 / (n-k)`` for each horizon in ``lags``."""
+def chi2_tail(value: str | Column, df: str | Column) -> Column:
+    """Upper tail of the chi-square distribution; NULL for a missing value."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else chi2_sf(float(v), int(d)) for v, d in zip(x, k)], dtype="float64")
+
+    return tail(value, df)
+
+
+def ljung_box(df: DataFrame, *, keys: Sequence[str], date: str, col: str, lags: Sequence[int] = (1, 10), level: float = 0.05) -> DataFrame:
+    """``Q = n (n+2) sum r_k^2 / (n-k)`` for each horizon in ``lags``, its chi-square
+    tail (one row per key and horizon passes through Python) and the decision."""
     table = acf(df, keys=keys, date=date, col=col, lags=max(lags)).filter("lag > 0 AND n > lag")
     term = F.pow("acf", F.lit(2)) / (F.col("n") - F.col("lag"))
     q = [
@@ -333,7 +344,8 @@ def ljung_box(df: DataFrame, *, keys: Sequence[str], date: str, col: str, lags:
         )
         for h in lags
     ]
-    return table.groupBy(*keys).agg(F.array(*q).alias("rows")).select(*keys, F.inline("rows"))
+    rows = table.groupBy(*keys).agg(F.array(*q).alias("rows")).select(*keys, F.inline("rows"))
+    return rows.withColumn("p_value", chi2_tail("q", "horizon")).withColumn("correlated", F.col("p_value") < level)
 
 
 def jarque_bera(df: DataFrame, *, keys: Sequence[str], col: str) -> DataFrame:

@@ -15,6 +15,7 @@ from seriesloom.operators import stats as st
 from seriesloom.operators.scenario import model_bounds
 from seriesloom.plans.registry import query, r
 from seriesloom.plans.tables import P1_SQL, nation_panel, table
+from seriesloom.session import settled
 
 NATION = {"keys": ["n_name"], "date": "month"}
 KEEP = ["n_name", "month", "split"]
@@ -67,11 +68,22 @@ def _gbt(spark, sf):
     return _scored(spark, sf, ml.fit_boosted)
 
 
+FOREST_SPACE = {"numTrees": [20, 40], "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 5, 10]}
+
+
 @query("hyperparam_search")
 def _hyperparam_search(spark, sf):
     frame, names = _design(spark, sf)
-    space = {"numTrees": [20, 40], "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 5, 10]}
-    return ml.hyperparameter_search(_train(frame), names, "revenue", date="month", family="forest", space=space, n_iter=4, folds=3)
+    return ml.hyperparameter_search(_train(frame), names, "revenue", date="month", family="forest", space=FOREST_SPACE, parallelism=8)
+
+
+@query("hyperparam_best")
+def _hyperparam_best(spark, sf):
+    """Forecasts of the best setting, found and fitted on the train rows."""
+    frame, names = _design(spark, sf)
+    frame = settled(frame)
+    model, _, _ = ml.best_model(_train(frame), names, "revenue", date="month", family="forest", space=FOREST_SPACE, parallelism=8)
+    return round_columns(ml.score(model, frame, keep=KEEP, target="revenue"), 4)
 
 
 @query("forecast_frozen")

@@ -7,7 +7,6 @@ from seriesloom.operators import reports
 from seriesloom.plans.queries_joins import _DAYS, _POS, _interp_sql
 from seriesloom.plans.registry import query, r
 from seriesloom.plans.tables import P1_SHIP_SQL, P1_SQL, nation_panel, nation_ship_qty
-from seriesloom.session import settled
 
 NATION = {"keys": ["n_name"], "date": "month"}
 VALUE = {"revenue": "revenue", "ship_qty": "ship_qty"}
@@ -17,12 +16,6 @@ def _sources(spark, sf):
     return {"revenue": nation_panel(spark, sf), "ship_qty": nation_ship_qty(spark, sf)}
 
 
-def _settled_sources(spark, sf):
-    """The panels are small and their joins are not, and aligning reads them
-    for the range and for the values."""
-    return {n: settled(df.select("n_name", "month", VALUE[n])) for n, df in _sources(spark, sf).items()}
-
-
 def _clip_sql(c: str) -> str:
     s = {k: f"{k} OVER k" for k in (f"avg({c})", f"stddev_pop({c})", f"min({c})", f"max({c})")}
     q = {p: f"quantile_cont({c}, {p}) OVER k" for p in (0.01, 0.25, 0.75, 0.99)}
@@ -32,11 +25,17 @@ def _clip_sql(c: str) -> str:
     return f"CASE WHEN {flagged} THEN least(greatest({c}, {q[0.01]}), {q[0.99]}) ELSE {c} END AS {c}"
 
 
-_ALIGNED = f"""{P1_SQL}, {P1_SHIP_SQL},
-    b AS (SELECT greatest((SELECT min(month) FROM p1), (SELECT min(month) FROM ship)) AS lo, least((SELECT max(month) FROM p1), (SELECT max(month) FROM ship)) AS hi),
-    names AS (SELECT n_name FROM p1 UNION SELECT n_name FROM ship),
+def _treated_sql(name: str, source: str, c: str) -> str:
+    """Clip, then the mean: a gap of the only column has no neighbours."""
+    return f"""{name}c AS (SELECT n_name, month, {_clip_sql(c)} FROM {source} WINDOW k AS (PARTITION BY n_name)),
+    {name} AS (SELECT n_name, month, coalesce({c}, avg({c}) OVER (PARTITION BY n_name)) AS {c} FROM {name}c)"""
+
+
+_ALIGNED = f"""{P1_SQL}, {P1_SHIP_SQL}, {_treated_sql('t1', 'p1', 'revenue')}, {_treated_sql('t2', 'ship', 'ship_qty')},
+    b AS (SELECT greatest((SELECT min(month) FROM t1), (SELECT min(month) FROM t2)) AS lo, least((SELECT max(month) FROM t1), (SELECT max(month) FROM t2)) AS hi),
+    names AS (SELECT n_name FROM p1 UNION SELECT n_name FROM t2),
     spine AS (SELECT n_name, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM names, b),
-    g AS (SELECT s.n_name, s.month, p1.revenue, ship.ship_qty FROM spine s LEFT JOIN p1 USING (n_name, month) LEFT JOIN ship USING (n_name, month)),
+    g AS (SELECT s.n_name, s.month, t1.revenue, t2.ship_qty FROM spine s LEFT JOIN t1 USING (n_name, month) LEFT JOIN t2 USING (n_name, month)),
     {_interp_sql('i1', 'g', 'n_name', 'month', 'revenue', _DAYS.format('month'))}, i1c AS (SELECT n_name, month, revenue, ship_qty FROM i1),
     {_interp_sql('i2', 'i1c', 'n_name', 'month', 'ship_qty', _DAYS.format('month'))},
     al AS (SELECT n_name, month, coalesce(revenue, first_value(revenue IGNORE NULLS) OVER w) AS revenue, coalesce(ship_qty, first_value(ship_qty IGNORE NULLS) OVER w) AS ship_qty
@@ -50,13 +49,12 @@ def _mean(n: int) -> str:
 
 @query(
     "prepare_panel",
-    f"""WITH {_ALIGNED}, cl AS (SELECT n_name, month, {_clip_sql('revenue')}, {_clip_sql('ship_qty')} FROM al WINDOW k AS (PARTITION BY n_name)),
-        lg AS (SELECT *, CASE WHEN revenue > 0 THEN ln(revenue) END AS log_revenue FROM cl)
+    f"""WITH {_ALIGNED}, lg AS (SELECT *, CASE WHEN revenue > 0 THEN ln(revenue) END AS log_revenue FROM al)
         SELECT n_name, month, {r('revenue', 3)} AS revenue, {r('ship_qty', 3)} AS ship_qty, {r('log_revenue', 6)} AS log_revenue,
           {', '.join(f"{r(f'lag(log_revenue, {k}) OVER (PARTITION BY n_name ORDER BY month)', 6)} AS log_revenue_lag_{k}" for k in (1, 2, 3))}, {_mean(3)}, {_mean(12)} FROM lg""",
 )
 def _prepare_panel(spark, sf):
-    out = reports.prepare_panel(_settled_sources(spark, sf), **NATION, value=VALUE, target="revenue")
+    out = reports.prepare_panel(_sources(spark, sf), **NATION, value=VALUE, target="revenue")
     out = round_columns(out, 6, *[c for c in out.columns if c.startswith("log_")])
     return round_columns(out, 3, "revenue", "ship_qty")
 

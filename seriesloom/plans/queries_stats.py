@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from seriesloom.functions.expressions import round_columns
@@ -272,6 +274,18 @@ def _residuals(spark, sf):
 
 
 
+def _tail_one(q: str) -> str:
+    """SQL of the chi-square tail at one degree of freedom: the error function by its series."""
+    half = f"least({q} / 2, 40.0)"
+    term = f"exp((2 * n + 1) * ln({half}) / 2 + 2 * n * ln(2.0) + lgamma(n + 1.0) - lgamma(2.0 * n + 2) - {half})"
+    return f"CASE WHEN {q} > 0 THEN greatest(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda n: {term})), 0.0) ELSE 1.0 END"
+
+
+def _tail_even(q: str, df: int) -> str:
+    terms = " + ".join(f"pow({q} / 2, {j}) / {math.factorial(j)}.0" for j in range(df // 2))
+    return f"exp(-{q} / 2) * ({terms})"
+
+
 def _vif_sql() -> str:
     x, y, z = "l_quantity", "l_discount", "l_tax"
     names = {x: "a", y: "b", z: "c"}
@@ -293,11 +307,11 @@ def _vif(spark, sf):
     f"""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
         e AS (SELECT l_quantity AS x, pow(l_extendedprice - a - b * l_quantity, 2) AS e2 FROM lineitem, f),
         l AS (SELECT count(*) AS n, count(*) * pow(corr(e2, x), 2) AS lm FROM e)
-        SELECT n, {r('lm', 3)} AS lm, lm > 3.841458820694124 AS heteroskedastic FROM l""",
+        SELECT n, {r('lm', 3)} AS lm, {r(_tail_one('lm'), 6)} AS p_value, lm > 3.841458820694124 AS heteroskedastic FROM l""",
 )
 def _breusch_pagan(spark, sf):
     out = st.breusch_pagan(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return round_columns(out.drop("p_value"), 3)
+    return round_columns(round_columns(out, 3, "lm"), 6, "p_value")
 
 
 @query(
@@ -314,10 +328,12 @@ def _durbin_watson(spark, sf):
     "ljung_box",
     f"""WITH {_RESIDUAL_SQL}, {_acf_sql('e', 'e', 10)}, q AS (SELECT n_name, h, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q
           FROM acf JOIN (VALUES (1), (10)) v(h) ON lag BETWEEN 1 AND h AND n > lag GROUP BY 1, 2)
-        SELECT n_name, CAST(h AS INT) AS horizon, {r('q', 5)} AS q FROM q""",
+        , t AS (SELECT *, CASE h WHEN 1 THEN {_tail_one('q')} ELSE {_tail_even('q', 10)} END AS p FROM q)
+        SELECT n_name, CAST(h AS INT) AS horizon, {r('q', 5)} AS q, {r('p', 6)} AS p_value, p < 0.05 AS correlated FROM t""",
 )
 def _ljung_box(spark, sf):
-    return round_columns(st.ljung_box(_residuals(spark, sf), **NATION, col="e", lags=(1, 10)), 5)
+    out = st.ljung_box(_residuals(spark, sf), **NATION, col="e", lags=(1, 10))
+    return round_columns(round_columns(out, 5, "q"), 6, "p_value")
 
 
 @query(

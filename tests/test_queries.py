@@ -28,7 +28,7 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    if name in ("gbt", "hyperparam_search", "feature_selection", "rfe_forest"):
+    if name in ("gbt", "hyperparam_search", "hyperparam_best", "feature_selection", "rfe_forest"):
         pytest.skip("long fits: covered by the bench and by unit tests")
     rows = QUERIES[name](spark, SF).collect()
     assert rows

@@ -478,3 +478,24 @@ def test_moments_of_any_width(spark, k):
     assert n == 0 and np.isnan(means).all() and np.isnan(cov).all()
     _, _, flat = st.column_moments(df.withColumn("c0", F.lit(0.1)), df.columns)
     assert flat[0, 0] == 0
+
+
+def test_best_model_is_refitted_on_all_rows(spark):
+    n = 80
+    df = frame(spark, date=[dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], x=[float(i % 8) for i in range(n)], y=[float((i % 8) ** 2) for i in range(n)])
+    model, params, table = ml.best_model(df, ["x"], "y", date="date", family="forest", space={"numTrees": [5], "maxDepth": [1, 4]}, n_iter=2, folds=2)
+    assert params == {"numTrees": 5, "maxDepth": 4} and table.count() == 2
+    assert ml.score(model, df, keep=["date"], target="y").filter("abs(y - yhat) > 8").count() == 0
+
+
+def test_ljung_box_decides(spark):
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=300)
+    walk = [e[0]]
+    for v in e[1:]:
+        walk.append(0.6 * walk[-1] + v)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(300)]
+    df = frame(spark, key=["noise"] * 300 + ["walk"] * 300, date=days * 2, value=[*e, *walk])
+    out = {(r.key, r.horizon): r for r in st.ljung_box(df, **K, col="value").collect()}
+    assert out["walk", 1].correlated and out["walk", 10].correlated and not out["noise", 1].correlated
+    assert out["noise", 10].p_value == pytest.approx(chi2_sf(out["noise", 10].q, 10))
