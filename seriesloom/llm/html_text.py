@@ -1,23 +1,25 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one per block element.  A line weighs as much as
-its text; lines of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, and, where a page marks its article, lines outside of it, weigh
-nothing and are never kept.  Weights are summed over a sliding window of three
-lines.  Where the sum rises above the threshold lies a surge, where it falls to
-nothing for a whole window a dive; the text between is kept.  Without a marked
-article, lines that are mostly links weigh nothing; they are kept between others of a
-stretch.  Lines outside do not count towards a dive, and every stretch is kept.
+its text; a line that is mostly links or a copyright notice weighs nothing.  Lines of
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments leave
+before the windows are formed and are never kept.  Weights are summed over a sliding
+window of three lines.  Where the sum rises above the threshold lies a surge, where it
+falls to nothing for a whole window a dive; the text of every stretch between is kept.
+
+Where a page marks its article, the mark is a weight too: a line inside weighs a surge
+more, so that short headings count, one outside weighs nothing and is never kept.
 
 Attributes are parsed: an element is hidden by its ``hidden`` attribute, by
 ``aria-hidden=true`` or by its style, and outside by a class, id or role that is an
 outside word or a compound of outside and neutral words.  Class, id and role never
-exclude an article or main element, nor do those of the elements around a main element
-or around the page's first article that is not outside by its elements.
+exclude a main element or the page's first article, nor do those of the elements around
+them; later articles, and articles inside main, are tested like other elements.
 
 Null and empty pages, and pages without text, give an empty text.  Broken markup
 is read as it stands: an end tag closes the nearest open element of its name,
-unclosed comments, scripts and styles run to the end of the page.
+unclosed comments, scripts and styles run to the end of the page.  Pages of any length
+are read whole, in time linear in their length; repeated rows each give their row.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_NOTICE = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 # Elements that stand for a block, that hold others, and that never hold the article's text.
 _BLOCKS = frozenset(
@@ -55,7 +58,7 @@ _OUT = frozenset("nav header footer aside form menu dialog button head".split())
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies discussion disqus "
-    "related recommended share sharing social widget toolbar pagination pager login search contentinfo complementary".split()
+    "related recommended more teaser teasers share sharing social widget toolbar pagination pager login search contentinfo complementary".split()
 )
 
 
@@ -63,7 +66,7 @@ _OUT_WORDS = frozenset(
 _NEUTRAL = frozenset(
     "site page main global top bottom left right center primary secondary inner outer box bar block area section container wrapper wrap list item items link links "
     "icon icons button buttons form field slot unit panel text content title heading row column col group post posts article articles story stories entry entries "
-    "image js id google the and of for our".split()
+    "image js id google user users reader readers visitor visitors the and of for our".split()
 )
 _BY_NAME, _BY_ELEMENT = 1, 2
 
@@ -75,8 +78,8 @@ def _outside_word(word: str) -> bool:
     return not _OUT_WORDS.isdisjoint(parts) and all(x in _OUT_WORDS or x in _NEUTRAL for x in parts)
 
 
-def _outside(name: str, rest: str) -> int:
-    """What puts an element outside: 0 nothing, _BY_NAME its class, id or role, _BY_ELEMENT what it is or that it is hidden."""
+def _outside(name: str, rest: str, exempt: bool) -> int:
+    """What puts an element outside: 0 nothing, _BY_NAME its class, id or role (unless ``exempt``), _BY_ELEMENT what it is or that it is hidden."""
     if name in _OUT:
         return _BY_ELEMENT
     found: dict[str, str] = {}
@@ -84,7 +87,7 @@ def _outside(name: str, rest: str) -> int:
         found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(found.get("style", "")):
         return _BY_ELEMENT
-    if name not in ("article", "main") and any(_outside_word(w) for k in ("class", "id", "role") for w in found.get(k, "").lower().split()):
+    if not exempt and any(_outside_word(w) for k in ("class", "id", "role") for w in found.get(k, "").lower().split()):
         return _BY_NAME
     return 0
 
@@ -140,11 +143,12 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         elif not m[0].endswith("/>"):
             if name == "p" and stack and stack[-1][0] == "p":
                 leave(*stack.pop())
-            away = _outside(name, m[4] or "")
+            exempt = name == "main" or name == "article" and not marked
+            away = _outside(name, m[4] or "", exempt)
             if away:
                 flush()
-            elif (name == "main" or name == "article" and not marked) and not any(x[1] == _BY_ELEMENT for x in stack):
-                marked |= name == "article"
+            elif exempt and not any(x[1] == _BY_ELEMENT for x in stack):
+                marked = True
                 out_depth = 0
                 stack = [(x[0], 0) for x in stack]
             stack.append((name, away))
@@ -176,14 +180,18 @@ def between(weights: list[int], threshold: int, window: int = WINDOW) -> list[tu
 def main_text(page: str | None, surge: int = SURGE, window: int = WINDOW) -> str:
     """The article of one page, its blocks joined by an empty line."""
     rows = [row for row in lines(page or "") if not row[1]]
-    if any(inside for _, _, inside, _ in rows):
-        kept = [text for text, _, inside, _ in rows if inside]
-    else:
-        weights = [0 if 2 * links > len(text) else len(text) for text, _, _, links in rows]
-        kept = []
-        for a, b in between(weights, surge, window) or between(weights, 0, window):
-            first = next(i for i in range(a, b) if weights[i])
-            kept += [row[0] for row in rows[first:b]]
+    marked = any(inside for _, _, inside, _ in rows)
+
+    def weight(text: str, inside: bool, links: int) -> int:
+        if marked:
+            return len(text) + surge if inside else 0
+        return 0 if 2 * links > len(text) or _NOTICE.match(text) else len(text)
+
+    weights = [weight(text, inside, links) for text, _, inside, links in rows]
+    kept = []
+    for a, b in between(weights, surge, window) or between(weights, 0, window):
+        first = next(i for i in range(a, b) if weights[i])
+        kept += [text for text, _, inside, _ in rows[first:b] if inside or not marked]
     return "\n\n".join(kept)
 
 

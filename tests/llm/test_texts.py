@@ -114,10 +114,65 @@ def test_attributes_that_hide_nothing():
             assert html_text.main_text(f"<{box}>{body}</div>") == "some words of the text", box
     for box in ("hidden", 'aria-hidden="true"', "style='color:red; display: none'", "style=visibility:hidden", "class='x ad'", "id=comments", "class=cookie-notice", "class=related-posts", "role=navigation"):
         assert html_text.main_text(f"<article><p>in</p><div {box}><p>out</p></div></article>") == "in", box
-    assert html_text.main_text(f"<main>{body}<section id=comments><article class=comment><p>Nice</p></article></section></main>") == "some words of the text\n\nNice"
+    assert html_text.main_text(f"<main>{body}<section id=comments><article class=comment><p>Nice</p></article></section></main>") == "some words of the text"
     assert html_text.main_text(f"<main><article>{body}</article><section id=comments><article class=comment><p>Nice</p></article></section></main>") == "some words of the text"
 
 
+def test_what_follows_the_article():
+    body = "<article><h1>T</h1><p>some words of the text</p></article>"
+    for after in (
+        "<article class='comment'><p>Nice, thanks a lot for these words</p></article>",
+        "<section class='user-comments'><article><p>Nice, thanks a lot for these words</p></article></section>",
+        "<div class=more><article><h2>Another story</h2><p>with a few words to lead on</p></article></div>",
+        "<p>Copyright 2020 by somebody</p>",
+    ):
+        assert html_text.main_text(body + after) == "T\n\nsome words of the text", after
+    for notice in ("© 2024 Some House", "&copy; 2024", "(c) 2020 x", "Copyright 2020 by somebody"):
+        assert html_text.main_text(f"<div><p>{'long text ' * 9}</p><p>x</p></div><p>{notice}</p>") == "long text " * 8 + "long text\n\nx", notice
+    both = "<article><p>the first part of it</p></article><article><p>the second part of it</p></article>"
+    assert html_text.main_text(both) == "the first part of it\n\nthe second part of it"
+
+
+def _kept(weights, surge):
+    """Line by line from the definition: after a surge, with no dive since."""
+    sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+    inside = [any(sums[s] > surge and all(sums[s : i + 1]) for s in range(i + 1)) for i in range(len(weights))]
+    heavy = [any(weights[j] and all(inside[j : i + 1]) for j in range(i + 1)) for i in range(len(weights))]
+    return [a and b for a, b in zip(inside, heavy)]
+
+
+def test_windows_against_the_definition():
+    rng = random.Random(3)
+    for _ in range(400):
+        marked = rng.random() < 0.4
+        blocks = [(rng.choice(["text", "text", "links"]), rng.choice([1, 4, 9, 30, 80]), rng.random() < 0.6) for _ in range(rng.randrange(14))]
+        texts, page, weights = [], "", []
+        for i, (kind, size, inside) in enumerate(blocks):
+            text = (chr(97 + i) * 5 + " ") * (size // 5) + chr(97 + i)
+            inner = f"<p>{text}</p>" if kind == "text" else f"<p><a href=x>{text}</a></p>"
+            page += f"<article>{inner}</article>" if marked and inside else inner
+            texts.append(text)
+        if marked and any(x[2] for x in blocks):
+            weights = [len(t) + html_text.SURGE if x[2] else 0 for t, x in zip(texts, blocks)]
+            allowed = [x[2] for x in blocks]
+        else:
+            weights, allowed = [len(t) if x[0] == "text" else 0 for t, x in zip(texts, blocks)], [True] * len(blocks)
+        keep = _kept(weights, html_text.SURGE)
+        if not any(keep):
+            keep = _kept(weights, 0)
+        assert html_text.main_text(page) == "\n\n".join(t for t, k, ok in zip(texts, keep, allowed) if k and ok)
+
+
+def test_a_very_long_page():
+    page = "<nav>" + "<a href=x>menu</a>" * 1000 + "</nav><article>" + "<p>one line of the text</p>" * 50_000 + "</article>"
+    assert html_text.main_text(page).count("one line of the text") == 50_000
+
+
+def test_pages_without_their_marks(spark):
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        assert html_text.main_text(re.sub("(</?)article", r"\1div", r.html)) == html_text.main_text(r.html), r.page_id
+
+
 def test_pages_of_the_data(spark):
     for p, r in zip(table(spark, SF, "pages").orderBy("page_id").collect(), html_text.extract(table(spark, SF, "pages")).orderBy("page_id").collect()):
         body = re.search("<article>(.*)</article>", p.html, re.S)[1]
