@@ -5,7 +5,8 @@ its text; a line that is mostly links or a copyright notice weighs nothing.  Lin
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments leave
 before the windows are formed and are never kept.  Weights are summed over a sliding
 window of three lines.  Where the sum rises above the threshold lies a surge, where it
-falls to nothing for a whole window a dive; the text of every stretch between is kept.
+falls to nothing for a whole window a dive; the text of every stretch between is kept,
+with the short lines directly before it, a window of them at most.
 
 Where a page marks its article, the mark is a weight too: a line inside weighs a surge
 more, so that short headings count, one outside weighs nothing and is never kept.
@@ -163,12 +164,14 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
 
 
 def between(weights: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Stretches from a surge of the windowed sums to the next dive."""
+    """Stretches from a surge of the windowed sums, or the weighty lines up to a window before it, to the next dive."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     found, start = [], None
     for i, s in enumerate(sums):
         if start is None and s > threshold:
             start = i
+            while start and i - start < window and weights[start - 1]:
+                start -= 1
         elif start is not None and s == 0:
             found.append((start, i))
             start = None

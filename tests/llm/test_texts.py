@@ -137,8 +137,9 @@ def _kept(weights, surge):
     """Line by line from the definition: after a surge, with no dive since."""
     sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
     inside = [any(sums[s] > surge and all(sums[s : i + 1]) for s in range(i + 1)) for i in range(len(weights))]
-    heavy = [any(weights[j] and all(inside[j : i + 1]) for j in range(i + 1)) for i in range(len(weights))]
-    return [a and b for a, b in zip(inside, heavy)]
+    begins = [i for i in range(len(inside)) if inside[i] and not (i and inside[i - 1])]
+    inside = [x or any(i < s <= i + 3 and all(weights[i:s]) for s in begins) for i, x in enumerate(inside)]
+    return [any(weights[j] and all(inside[j : i + 1]) for j in range(i + 1)) for i in range(len(weights))]
 
 
 def test_windows_against_the_definition():
