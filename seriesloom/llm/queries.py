@@ -105,16 +105,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-OP8_SQL = """
-WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
-places AS (SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS s
+OP8_SQL = r"""
+WITH c AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?:[^ \n]+ +){0,7}(?:[^ \n]*[^ \n.!?] +){0,8}[^ \n]* *\n?'), lambda x: x <> '') AS l FROM documents),
+l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] WHEN text = '' OR ends_with(text, chr(10)) THEN list_append(l, '') ELSE l END AS l FROM c),
+places AS (SELECT doc_id, i, array_to_string(list_transform(l[i:i + 2], lambda x: rtrim(x, ' ' || chr(10))), chr(10)) AS s
            FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM l WHERE len(l) >= 3)),
 later AS (SELECT doc_id, i FROM places QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id)
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id),
+rest AS (SELECT doc_id, p, coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(p, i)), lambda i: l[i]), ''), '') AS t FROM gone JOIN l USING (doc_id))
 SELECT l.doc_id, len(l)::INTEGER AS n_lines, coalesce(len(p), 0)::INTEGER AS n_removed,
-       CASE WHEN p IS NULL THEN text
-            ELSE coalesce(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_contains(p, i) THEN NULL ELSE l[i] END), lambda x: x IS NOT NULL), chr(10)), '') END AS text
-FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id
+       CASE WHEN p IS NULL THEN text WHEN list_contains(p, len(l)) THEN regexp_replace(t, '\n\z', '') ELSE t END AS text
+FROM l LEFT JOIN rest ON l.doc_id = rest.doc_id
 """
 
 

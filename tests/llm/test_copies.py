@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 
 from seriesloom.llm import decontaminate, exact_dedup, line_dedup, near_dedup
+from seriesloom.llm.common import table
 from seriesloom.llm.queries import op6_decontaminate  # noqa: F401 - imported by name elsewhere
 
 HARD = [(None, "a b c d e f"), (1, None), (2, ""), (3, "A b\nC"), (4, "a B\nc"), (4, "a B\nc"), (5, "É"), (6, "é"), (7, "long " * 40_000), (8, "long " * 40_000)]
@@ -155,3 +157,30 @@ def test_repeated_lines(docs):
     assert out[1] == (5, 0, "x\na\nb\nc\ny") and out[2] == (4, 3, "d") and out[3] == (4, 3, "p")
     assert out[4] == (2, 0, "a\nb") and out[5] == (0, 0, None) and out[6] == (1, 0, "")
     assert out[None] == (3, 0, "q\nr\ns") and out[7] == (3, 3, "")
+
+
+def test_long_lines_are_cut(docs):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage, prose = words(51), " ".join(words(rng.randrange(5, 20)) + "." for _ in range(9))
+    rows = [(1, f"{words(9)}\n{passage}\n{words(7)}"), (2, f"{words(30)}\n{passage}"), (3, passage), (4, words(60)), (5, f"{words(20)}. {prose}"), (6, f"{words(41)}. {prose} {words(3)}")]
+    texts = dict(rows)
+    for text in [*texts.values(), " a  b.\n\n c! d \n", "x" * 100_000, ". . .\n"]:
+        assert "".join(re.findall(line_dedup.LINE, text)) == text
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs(rows, "gone")).collect()}
+    assert out[1].text == texts[1] and out[4].text == texts[4] and out[5].text == texts[5]
+    assert out[2].text == texts[2].split("\n")[0] and out[3].text == ""
+    assert out[6].n_removed >= 3 and texts[6].startswith(out[6].text[:200])
+
+
+def test_no_long_line_stays_twice(spark):
+    rows = line_dedup.drop_repeated_lines(table(spark, "/root/testdata/sf0.01", "documents")).select("text").collect()
+    lines = [x for r in rows for x in (r.text or "").split("\n") if len(x.split()) > 50]
+    assert lines and len(lines) == len(set(lines))
+
+
+def test_many_lines_and_no_lines(docs):
+    many = "\n".join(["same"] * 40_000)
+    out = line_dedup.drop_repeated_lines(docs([(1, many), (2, many + "\nend")], "n_lines")).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out} == {1: (40_000, 39_999, "same"), 2: (40_001, 40_000, "end")}
+    assert line_dedup.drop_repeated_lines(docs([(1, "a")]).limit(0)).collect() == []
