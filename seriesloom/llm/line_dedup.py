@@ -64,13 +64,19 @@ def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """``docs`` with the cleaned text, and the number of lines before and of those removed (``n_lines``, ``n_removed``)."""
     gone = repeated_positions(docs, doc_id=doc_id, text=text, lines=lines).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]), "left")
-    every = cut_lines(docs[text])
-    last = F.size(every) - 1
-    left = F.array_except(F.sequence(F.lit(0), last), "__gone")
-    rest = F.array_join(F.transform(left, lambda i: F.get(every, i)), "")
-    clean = F.when(F.array_contains("__gone", last), F.regexp_replace(rest, "\\n\\z", "")).otherwise(rest)
-    n_lines = F.when(docs[text].isNull(), 0).otherwise(F.size(every))
-    n_removed = F.when(F.col("__gone").isNull() | docs[text].isNull(), 0).otherwise(n_lines - F.size(left))
     others = [docs[c] for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    kept = F.when(F.col("__gone").isNull(), docs[text]).otherwise(clean)
-    return joined.select(*others, kept.alias(text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+    def cleaned(every: Column) -> Column:
+        last = F.size(every) - 1
+        left = F.array_except(F.sequence(F.lit(0), last), "__gone")
+        rest = F.array_join(F.transform(left, lambda i: F.get(every, i)), "")
+        clean = F.when(F.array_contains("__gone", last), F.regexp_replace(rest, "\\n\\z", "")).otherwise(rest)
+        touched = F.col("__gone").isNotNull() & every.isNotNull()
+        return F.struct(
+            F.when(touched, clean).otherwise(docs[text]),
+            F.when(every.isNull(), 0).otherwise(F.size(every)),
+            F.when(touched, F.size(every) - F.size(left)).otherwise(0),
+        )
+
+    # A list of one: its element is cut once, however often the parts below read it.
+    return joined.select(*others, F.inline(F.transform(F.array(cut_lines(docs[text])), cleaned)).alias(text, "n_lines", "n_removed"))
