@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from seriesloom.functions.calendar import month_end_after, wave
 from seriesloom.functions.windows import position, rolling, series_window, spread
 from seriesloom.operators.features import lag_exprs
-from seriesloom.session import held
+from seriesloom.session import held, settled
 
 # The reduced-complexity presets.
 FOREST = {"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "seed": 42}
 BOOSTED = {"maxIter": 50, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt", "seed": 42}
+PARTS, PART_ROWS = 8, 10_000
 RIDGE_ALPHA, LASSO_ALPHA, ELASTIC_NET = 1.0, 0.1, (0.1, 0.5)
 
 
@@ -41,6 +42,18 @@ def design_frame(df: DataFrame, *, keys: Sequence[str], date: str, target: str,
     return out.na.drop("any", subset=names), names
 
 
+def packed(df: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """``df`` settled, with the rows of a key in one partition and no more partitions than its rows need.
+
+    A search runs a thousand jobs or more with a task for every partition of its frame, most of them empty where a
+    small panel comes from a wide shuffle.  Bootstrap draws follow the partitions, so their number only depends on
+    the rows, and on ``spark.sql.shuffle.partitions`` where that is smaller.
+    """
+    df = settled(df)
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(most, max(PARTS, df.count() // PART_ROWS)), *keys)
+
+
 def _fit(estimator, train: DataFrame, features: Sequence[str]) -> PipelineModel:
     """Fit on a persisted narrow frame; an iterative fit reads it many times."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), estimator]

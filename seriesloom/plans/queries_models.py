@@ -21,9 +21,12 @@ NATION = {"keys": ["n_name"], "date": "month"}
 KEEP = ["n_name", "month", "split"]
 
 
-def _design(spark, sf, scaled: bool = False):
-    """Split design frame of the panel; ``scaled`` standardises on train rows."""
-    frame, names = ml.design_frame(nation_panel(spark, sf), **NATION, target="revenue", indicators=["qty", "avg_disc"])
+def _design(spark, sf, scaled: bool = False, packed: bool = False):
+    """Split design frame of the panel; ``scaled`` standardises on train rows, ``packed`` is for fits of many jobs."""
+    panel = nation_panel(spark, sf)
+    if packed:
+        panel = ml.packed(panel, keys=["n_name"])
+    frame, names = ml.design_frame(panel, **NATION, target="revenue", indicators=["qty", "avg_disc"])
     frame = bt.chrono_split(frame, **NATION)
     if scaled:
         frame = bt.scale_on_train(frame, keys=["n_name"], cols=[*names, "revenue"])
@@ -73,14 +76,14 @@ FOREST_SPACE = {"numTrees": [20, 40], "maxDepth": [3, 5, 7], "minInstancesPerNod
 
 @query("hyperparam_search")
 def _hyperparam_search(spark, sf):
-    frame, names = _design(spark, sf)
+    frame, names = _design(spark, sf, packed=True)
     return ml.hyperparameter_search(_train(frame), names, "revenue", date="month", family="forest", space=FOREST_SPACE, parallelism=8)
 
 
 @query("hyperparam_best")
 def _hyperparam_best(spark, sf):
     """Forecasts of the best setting, found and fitted on the train rows."""
-    frame, names = _design(spark, sf)
+    frame, names = _design(spark, sf, packed=True)
     frame = settled(frame)
     model, _, _ = ml.best_model(_train(frame), names, "revenue", date="month", family="forest", space=FOREST_SPACE, parallelism=8)
     return round_columns(ml.score(model, frame, keep=KEEP, target="revenue"), 4)

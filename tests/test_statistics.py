@@ -499,3 +499,19 @@ def test_ljung_box_decides(spark):
     out = {(r.key, r.horizon): r for r in st.ljung_box(df, **K, col="value").collect()}
     assert out["walk", 1].correlated and out["walk", 10].correlated and not out["noise", 1].correlated
     assert out["noise", 10].p_value == pytest.approx(chi2_sf(out["noise", 10].q, 10))
+
+
+def test_frame_of_a_search_has_few_partitions(spark, monkeypatch):
+    rows = [(f"k{i % 25}", i) for i in range(400)] + [(None, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "key string, x int")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        small = ml.packed(df, keys=["key"])
+        monkeypatch.setattr(ml, "PART_ROWS", 10)
+        large = ml.packed(df, keys=["key"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert small.rdd.getNumPartitions() == 8 and large.rdd.getNumPartitions() == 40
+    for out in (small, large):
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+        assert out.select("key", F.spark_partition_id().alias("p")).distinct().count() == 26
