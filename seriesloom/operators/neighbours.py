@@ -14,12 +14,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.impute import _fill_with
 from seriesloom.session import settled
 
+ROWS = 64  # whose distances are worked on at once
+
 
 def _directions(columns: int, orders: int, seed: int) -> np.ndarray:
     """One row of weights an order: every column alone, then ``orders`` random
@@ -29,59 +32,108 @@ def _directions(columns: int, orders: int, seed: int) -> np.ndarray:
     return np.vstack([np.eye(columns), random / np.linalg.norm(random, axis=1, keepdims=True)])
 
 
-def _nearest(own: pd.DataFrame, around: pd.DataFrame, names: Sequence[str], k: int, weighs: np.ndarray) -> pd.DataFrame:
+def _first(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` smallest finite cells of every row, by size, then column."""
+    if dist.shape[1] > k:
+        last = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+        r, c = np.nonzero((dist <= last) & (dist < np.inf))
+    else:
+        r, c = np.nonzero(dist < np.inf)
+    order = np.lexsort((c, dist[r, c], r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[rank < k], c[rank < k]
+
+
+def _open(own: pd.DataFrame, names: Sequence[str], weighs: np.ndarray) -> np.ndarray:
+    """Places of the rows that have a missing cell and all columns their order ``weighs``."""
+    lacks = own[names].isna().to_numpy()
+    return np.flatnonzero(lacks.any(axis=1) & ~(lacks & weighs[own["_order"].to_numpy()]).any(axis=1))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of every row of ``x`` to every row of ``y``; infinite where they share no column."""
+    mine, theirs = ~np.isnan(x), ~np.isnan(y)
+    square = np.zeros((len(x), len(y)))
+    if np.isinf(x).any() or np.isinf(y).any():  # equal infinite values have no difference
+        shared = np.zeros(square.shape)
+        for j in range(x.shape[1]):
+            with np.errstate(invalid="ignore"):
+                step = x[:, j, None] - y[None, :, j]
+            both = ~np.isnan(step)
+            shared += both
+            square += np.where(both, step, 0.0) ** 2
+    else:
+        shared = mine.astype(float) @ theirs.T.astype(float)
+        filled, known = np.where(theirs, y, 0.0), theirs.astype(float)
+        for j in range(x.shape[1]):
+            has = np.flatnonzero(mine[:, j])
+            step = x[has, j, None] - filled[None, :, j]
+            step *= step
+            step *= known[None, :, j]
+            square[has] += step
+    square *= x.shape[1]
+    square /= np.maximum(shared, 1)
+    return np.where(shared > 0, np.round(square, 9), np.inf)
+
+
+def _nearest(own: pd.DataFrame, around: pd.DataFrame, names: Sequence[str], k: int, weighs: np.ndarray) -> pa.RecordBatch:
     """Up to ``k`` nearest rows of ``around`` for every missing cell of those rows of
-    ``own`` that have all columns their order ``weighs``."""
+    ``own`` that have all columns their order ``weighs``: a list a cell."""
     around = around.sort_values(["_at", "_id"], kind="stable")
-    x, y = own[names].to_numpy(float), around[names].to_numpy(float)
-    lacks = np.isnan(x)
-    open_ = np.flatnonzero(lacks.any(axis=1) & ~(lacks & weighs[own["_order"].to_numpy()]).any(axis=1))
-    x, groups = x[open_], own["_group"].to_numpy()[open_]
-    shared, square = np.zeros((len(x), len(y)), int), np.zeros((len(x), len(y)))
-    for j in range(len(names)):
-        step = x[:, j, None] - y[None, :, j]
-        both = ~np.isnan(step)
-        shared += both
-        square += np.where(both, step, 0.0) ** 2
-    usable = (shared > 0) & (groups[:, None] == around["_group"].to_numpy()[None, :])
-    dist = np.round(np.where(usable, square * len(names) / np.maximum(shared, 1), np.inf), 9)
-    parts = []
-    for j in range(len(names)):
-        rows, donors = np.flatnonzero(np.isnan(x[:, j])), np.flatnonzero(~np.isnan(y[:, j]))
-        d = dist[np.ix_(rows, donors)]
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        d = np.take_along_axis(d, near, axis=1)
-        r, c = np.nonzero(np.isfinite(d))
-        donor = donors[near[r, c]]
-        found = {"_id": own["_id"].to_numpy()[open_[rows[r]]], "_col": j, "dist": d[r, c], "at": around["_at"].to_numpy()[donor]}
-        parts.append(pd.DataFrame({**found, "donor": around["_id"].to_numpy()[donor], "value": y[donor, j]}))
-    return pd.concat(parts)
+    open_ = _open(own, names, weighs)
+    x, y, ids = own[names].to_numpy(float)[open_], around[names].to_numpy(float), own["_id"].to_numpy()[open_]
+    groups = pd.factorize(np.concatenate((own["_group"].to_numpy()[open_], around["_group"].to_numpy())))[0]
+    at, number = around["_at"].to_numpy(), around["_id"].to_numpy()
+    donors = [np.flatnonzero(~np.isnan(y[:, j])) for j in range(len(names))]
+    cells, counts, found = [], [], []
+    for a in range(0, len(x), ROWS):
+        some = x[a : a + ROWS]
+        dist = _distances(some, y)
+        if groups.any():
+            dist[groups[a : a + len(some), None] != groups[None, len(x) :]] = np.inf
+        for j, given in enumerate(donors):
+            rows = np.flatnonzero(np.isnan(some[:, j]))
+            d = dist[rows][:, given]
+            r, c = _first(d, k)
+            n = np.bincount(r, minlength=len(rows))
+            cells.append((ids[a + rows[n > 0]], np.full((n > 0).sum(), j, np.int32)))
+            counts.append(n[n > 0])
+            found.append((d[r, c], at[given[c]], number[given[c]], y[given[c], j]))
+    near = pa.StructArray.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found, strict=True)], ["dist", "at", "donor", "value"])
+    ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+    cell = [pa.array(np.concatenate(f)) for f in zip(*cells, strict=True)]
+    return pa.RecordBatch.from_arrays([*cell, pa.ListArray.from_arrays(ends, near)], ["_id", "_col", "near"])
 
 
 def _sweep(names: Sequence[str], k: int, block: int, weighs: np.ndarray):
     """Rows of a partition in order, a block at a time between its neighbours; at
     most three blocks and one batch are held."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(before: pd.DataFrame | None, own: pd.DataFrame, after: pd.DataFrame | None) -> Iterator[pa.RecordBatch]:
+        if len(_open(own, names, weighs)):  # most blocks only hold rows that look elsewhere
+            yield _nearest(own, pd.concat([b for b in (before, own, after) if b is not None]), names, k, weighs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, own, rest = None, None, []
         for batch in batches:
-            rest.append(batch)
+            rest.append(batch.to_pandas())
             if sum(map(len, rest)) < block:
                 continue
             waiting, at = pd.concat(rest), 0
             while len(waiting) - at >= block:
                 after, at = waiting.iloc[at : at + block], at + block
                 if own is not None:
-                    yield _nearest(own, pd.concat([b for b in (before, own, after) if b is not None]), names, k, weighs)
+                    yield from found(before, own, after)
                 before, own = own, after
             rest = [waiting.iloc[at:]]
         last = pd.concat(rest) if rest else None
         if last is not None and not len(last):
             last = None
         if own is not None:
-            yield _nearest(own, pd.concat([b for b in (before, own, last) if b is not None]), names, k, weighs)
+            yield from found(before, own, last)
         if last is not None:
-            yield _nearest(last, last if own is None else pd.concat([own, last]), names, k, weighs)
+            yield from found(own, last, None)
 
     return run
 
@@ -109,11 +161,12 @@ def block_neighbours(numbered: DataFrame, *, keys: Sequence[str], date: str, col
     placed = placed.select(group.alias("_group"), "_order", "_place", "_id", F.coalesce("_at", F.lit(-(2**62))).alias("_at"), *names)
     tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(tasks, "_group", "_place", "_id").sortWithinPartitions("_group", "_place", "_id")
-    found = ordered.mapInPandas(_sweep(names, k, block, directions != 0), "_id long, _col int, dist double, at long, donor long, value double")
+    cell = "array<struct<dist: double, at: long, donor: long, value: double>>"
+    found = ordered.mapInArrow(_sweep(names, k, block, directions != 0), f"_id long, _col int, near {cell}")
 
     def nearest(j: int) -> Column:
-        seen = F.collect_set(F.when(F.col("_col") == j, F.struct("dist", "at", "donor", "value")))
-        return F.slice(F.array_sort(seen), 1, k)
+        seen = F.flatten(F.collect_list(F.when(F.col("_col") == j, F.col("near"))))
+        return F.slice(F.array_sort(F.array_distinct(seen)), 1, k)
 
     return found.groupBy("_id").agg(F.array(*[nearest(j) for j in range(len(names))]).alias("near"))
 

@@ -3,11 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import impute
-from seriesloom.operators.neighbours import block_neighbours, fill_knn_blocks
+from seriesloom.operators.neighbours import _first, _nearest, block_neighbours, fill_knn_blocks
 
 COLS = ["u", "v", "w", "z"]
 
@@ -60,3 +61,24 @@ def test_hard_rows(spark):
     assert sorted(((r.key, r.u, r.v) for r in out), key=str) == sorted([(None, 1.0, None), (None, 1.0, None), ("a", None, 4.0), ("a", None, 4.0)], key=str)
     whole = fill_knn_blocks(df, date="date", cols=["u", "v"]).collect()
     assert {(r.u, r.v) for r in whole} == {(1.0, 4.0)}
+
+
+def test_first_cells_by_size_then_place():
+    dist = np.array([[3.0, 1.0, 1.0, np.inf, 0.5], [np.inf] * 5, [2.0, 2.0, 2.0, 2.0, 2.0]])
+    r, c = _first(dist, 3)
+    assert list(zip(r.tolist(), c.tolist())) == [(0, 4), (0, 1), (0, 2), (2, 0), (2, 1), (2, 2)]
+    assert [len(x) for x in _first(dist, 9)] == [9, 9] and [len(x) for x in _first(dist[:, :0], 3)] == [0, 0]
+
+
+def test_a_list_for_every_missing_cell():
+    n, names = 300, ["u", "v"]
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"u": rng.integers(0, 5, n).astype(float), "v": rng.normal(size=n), "_id": np.arange(n), "_at": np.arange(n) // 2, "_order": 0, "_group": "/0"})
+    rows.loc[::7, "v"], rows.loc[5::50, "u"] = np.nan, np.inf
+    out = _nearest(rows, rows, names, 5, np.eye(2) != 0).to_pandas()
+    missing = rows[rows.v.isna() & np.isfinite(rows.u)]
+    assert sorted(out["_id"]) == sorted(missing["_id"]) and set(out["_col"]) == {1}
+    for i, near in zip(out["_id"], out["near"]):
+        donors = rows[rows.v.notna() & np.isfinite(rows.u)].assign(dist=lambda d: np.round((d.u - rows.u[i]) ** 2 * 2, 9))
+        want = donors.sort_values(["dist", "_at", "_id"])[["dist", "_at", "_id", "v"]][:5]
+        assert [tuple(x.values()) for x in near] == list(want.itertuples(index=False, name=None))
