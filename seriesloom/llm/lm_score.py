@@ -79,18 +79,34 @@ class Network:
         out[np.arange(len(own)) + SIDE * (w.owner() + 1)] = own
         return out, w.first + SIDE * (np.arange(len(w.first)) + 1)
 
-    def predict(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and probabilities of all symbols at the places ``at``."""
-        hidden = self.inner[0][symbols[at + PLACES[0]]]
+    def room(self, rows: int) -> np.ndarray:
+        """Memory for ``exps`` of up to ``rows`` places, used again by every batch."""
+        return np.empty((rows, self.symbols), np.float32)
+
+    def exps(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and exponentials of the logits of all symbols at the places ``at``; the latter lie in ``room``."""
+        room = self.room(len(at)) if room is None else room
+        hidden = self.inner[0].take(symbols[at + PLACES[0]], axis=0)
         for table, k in zip(self.inner[1:], PLACES[1:], strict=True):
-            hidden = hidden + table[symbols[at + k]]
+            hidden += table.take(symbols[at + k], axis=0)
         np.tanh(hidden, out=hidden)
-        p = hidden @ self.outer
+        p = np.matmul(hidden, self.outer, out=room[: len(at)])
         p += self.bias
-        np.exp(np.minimum(p, 60, out=p), out=p)
+        if p.size and p.max() > 60:
+            np.minimum(p, 60, out=p)
+        return hidden, np.exp(p, out=p)
+
+    def predict(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and probabilities of all symbols at the places ``at``."""
+        hidden, p = self.exps(symbols, at, room)
         p /= p.sum(axis=1, keepdims=True)
         return hidden, p
 
+    def logs(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of the symbols at the places ``at``; the others are not divided out."""
+        _, p = self.exps(symbols, at, room)
+        return np.log(p[np.arange(len(at)), symbols[at]] / p.sum(axis=1))
+
 
 @dataclass
 class Shares:
@@ -148,10 +164,11 @@ class _Trainer:
     def __init__(self, net: Network):
         self.net = net
         self.sums = [np.full_like(x, 1e-2) for x in (net.inner, net.outer, net.bias)]
+        self.room = net.room(BATCH)
 
     def learn(self, symbols: np.ndarray, at: np.ndarray) -> None:
         net = self.net
-        hidden, p = net.predict(symbols, at)
+        hidden, p = net.predict(symbols, at, self.room)
         p[np.arange(len(at)), symbols[at]] -= 1
         back = (p @ net.outer.T) * (1 - hidden**2)
         rows = np.stack([symbols[at + k] + j * len(net.inner[0]) for j, k in enumerate(PLACES)])
@@ -283,6 +300,7 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None
     @F.arrow_udf("n_tokens long, log_prob double, h array<long>, spelled array<double>")
     def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net, shares = shared.value
+        room = net.room(SCORE_BATCH)
         for column in texts:
             w = words(*utf8(column), SPACED)
             symbols, first = net.fenced(w)
@@ -291,8 +309,7 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None
             at = np.flatnonzero(inside)
             for a in range(0, len(at), SCORE_BATCH):
                 part = at[a : a + SCORE_BATCH]
-                _, p = net.predict(symbols, part)
-                logs[part] = np.log(p[np.arange(len(part)), symbols[part]])
+                logs[part] = net.logs(symbols, part, room)
             asked, spelling = np.zeros(0, np.int64), np.zeros(0)
             if shares:
                 rare = np.flatnonzero(symbols[at] >= len(net.frequent))

@@ -159,3 +159,16 @@ def test_few_long_texts_still_teach_their_language(spark):
         assert sorted(trees) == ["xx", "yy"] and all(0 < n <= most for n in learned.values()), learned
     out = language_id.identify(docs, train_bytes=60_000).collect()
     assert all(r.lang_pred == ("xx" if r.doc_id < 100 else "yy") for r in out if r.doc_id < 999)
+
+
+def test_log_probabilities_without_dividing_all():
+    rng = np.random.default_rng(3)
+    n = 40
+    net = lm_score.Network(np.zeros(0, np.uint64), *(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((1, (4, n + 1, 16)), (30, (16, n)), (1, n))))
+    symbols = np.r_[n, n, rng.integers(0, n, 300), n, n]
+    room = net.room(128)
+    for at in (np.arange(2, 130), np.arange(130, 302 - 40), np.zeros(0, np.int64)):
+        _, p = net.predict(symbols, at)
+        np.testing.assert_array_equal(net.logs(symbols, at, room[: max(len(at), 1)] if len(at) <= 128 else None), np.log(p[np.arange(len(at)), symbols[at]]))
+        hidden, shared = net.exps(symbols, at[:128], room)
+        assert np.shares_memory(shared, room) or not len(at)
