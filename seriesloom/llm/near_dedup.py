@@ -193,26 +193,45 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether every ``a`` has a single ``b`` and no ``b`` is an ``a``: then ``b`` is the root of ``a``."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n")).filter("up > 1 or up = 1 and n > 1").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
-    """(id, root) of every id in ``links`` (a, b); root is the smallest reachable id.
+    """(id, root) of every id in ``links`` (a, b) that is not a root; root is the smallest reachable id.
 
     Alternates two steps that only need neighbours of one id: larger neighbours
     move to the smallest one, then smaller neighbours do.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = None
-    while True:
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = checkpointed(small.select("e.a", "e.b").filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        state = now
         tidy(edges.sparkSession)
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+
+
+def _rooted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` between different components of ``roots`` as links (a, b) of their roots."""
+    left, right = (roots.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
+    moved = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+    return moved.filter("a <> b").distinct()
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` of ``connected`` after more ``links``: only the roots that these join are connected again."""
+    more = checkpointed(_rooted(links, roots))
+    if more.isEmpty():
+        return roots
+    new = connected(more)
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return checkpointed(moved.unionByName(new))
 
 
 def _sized(a: str, b: str, percent: int) -> str:
@@ -360,6 +379,8 @@ class _Search:
     def tested(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Links among candidate ``pairs`` (a, b)."""
         pairs = checkpointed(pairs)
+        if pairs.isEmpty():
+            return pairs
         sketches = thinned(sketches, "id", pairs.select(F.explode(F.array("a", "b"))))
         left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
         right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -392,21 +413,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = checkpointed(thinned(bands, "band", shared.select("band")).join(shared, "band").select("band", "id", "n", "lead", "lead_n"))
     pairs = members.filter("id <> lead").filter(_sized("n", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = checkpointed(pairs)
-    links = search.tested(pairs.groupBy("a").agg(F.min("b").alias("b")), sketches)
-    roots = connected(links)
+    roots = connected(search.tested(pairs.groupBy("a").agg(F.min("b").alias("b")), sketches))
     apart = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("r")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("s")), "b", "left")
     apart = apart.filter("coalesce(r, a) <> coalesce(s, b)").select("a", "b")
-    links = links.unionByName(search.tested(apart, sketches))
-    roots = connected(links)
+    roots = extended(roots, search.tested(apart, sketches))
     members = checkpointed(_open_bands(members, roots))
     tidy(spark)
-    small = _pairs_of_small(members.filter(F.col("size") <= SMALL), percent)
+    left = _pairs_of_small(members.filter(F.col("size") <= SMALL), percent)
     wide = members.filter(F.col("size") > SMALL)
-    sets = checkpointed(search.sets(wide.filter(F.col("n") <= WHOLE).select(F.col("id").alias("__wanted")).distinct()))
-    large = checkpointed(_pairs_of_large(wide, sketches, sets, percent))
-    links = links.unionByName(large.filter("sure").select("a", "b"))
-    links = links.unionByName(search.tested(small.unionByName(large.filter("not sure").select("a", "b")).distinct(), sketches))
-    roots = connected(links)
+    if not wide.isEmpty():
+        sets = checkpointed(search.sets(wide.filter(F.col("n") <= WHOLE).select(F.col("id").alias("__wanted")).distinct()))
+        large = checkpointed(_pairs_of_large(wide, sketches, sets, percent))
+        roots = extended(roots, large.filter("sure").select("a", "b"))
+        left = left.unionByName(large.filter("not sure").select("a", "b")).distinct()
+    roots = extended(roots, search.tested(left, sketches))
     rep_roots = roots.select(F.col("id").alias("rep"), "root")
     reps = checkpointed(classes.join(rep_roots, "rep", "left").select(F.col("digest").alias("key"), "size", F.coalesce("root", "rep").alias("root")))
     out = sizes.join(reps, (F.col("digest") == F.col("key")) & (F.col("n") == F.col("size")), "left")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from seriesloom.llm import decontaminate, exact_dedup, line_dedup, near_dedup
-from seriesloom.llm.common import table
+from seriesloom.llm.common import checkpointed, table
 from seriesloom.llm.queries import op6_decontaminate  # noqa: F401 - imported by name elsewhere
 
 HARD = [(None, "a b c d e f"), (1, None), (2, ""), (3, "A b\nC"), (4, "a B\nc"), (4, "a B\nc"), (5, "É"), (6, "é"), (7, "long " * 40_000), (8, "long " * 40_000)]
@@ -184,3 +184,29 @@ def test_many_lines_and_no_lines(docs):
     out = line_dedup.drop_repeated_lines(docs([(1, many), (2, many + "\nend")], "n_lines")).collect()
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out} == {1: (40_000, 39_999, "same"), 2: (40_001, 40_000, "end")}
     assert line_dedup.drop_repeated_lines(docs([(1, "a")]).limit(0)).collect() == []
+
+
+def test_components_with_more_links(spark, monkeypatch):
+    rng = random.Random(2)
+    made = []
+    monkeypatch.setattr(near_dedup, "checkpointed", lambda df: made.append(1) or checkpointed(df))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = near_dedup.connected(frame([(5, 1), (1, 7), (9, 2), (9, 2), (4, 4)]))
+    assert sorted(map(tuple, roots.collect())) == [(5, 1), (7, 1), (9, 2)] and len(made) == 1  # stars need no round
+    first, second = ([(rng.randrange(200), rng.randrange(200)) for _ in range(n)] for n in (90, 60))
+    chain = [(i, i + 1) for i in range(300, 340)]
+    roots = near_dedup.connected(frame(first + chain))
+    assert near_dedup.extended(roots, frame(first[:20])) is roots
+    up = {k: k for pair in first + second + chain + [(20, 330)] for k in pair}
+
+    def top(k):
+        return k if up[k] == k else top(up[k])
+
+    def want(pairs):
+        for a, b in pairs:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        return sorted((k, top(k)) for k in up if top(k) != k)
+
+    assert sorted(map(tuple, roots.collect())) == want(first + chain)
+    assert sorted(map(tuple, near_dedup.extended(roots, frame(second + [(20, 330)])).collect())) == want(second + [(20, 330)])
