@@ -26,6 +26,7 @@ without ``shares`` scores symbols alone.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed, fold, small_batches, utf8
+from seriesloom.llm.common import checkpointed, small_batches, utf8
 from seriesloom.llm.lexing import SPACED, Words, words
 
 FREQUENT, BUCKETS, WIDTH, SIDE = 192, 64, 16, 2
 ROUNDS, BATCH, RATE = 2, 512, 0.3
-SCORE_BATCH = 512
+SCORE_BATCH, ROWS = 2048, 128  # places by batch of scoring; those whose logits are worked on at once
 DISCOUNT, SPELLED, NEAR = 0.5, 32, 1 << 18
 _EDGE = 256  # stands before and after the bytes of a word
+_BLANKS = "\t\n\v\f\r"
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -69,43 +71,69 @@ class Network:
         return self.fenced(words(*utf8(column), SPACED))
 
     def fenced(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        slot = np.searchsorted(self.frequent, w.value)
-        common = np.zeros(len(slot), bool)
+        own = (w.value % np.uint64(BUCKETS)).astype(np.int64) + len(self.frequent)
         if len(self.frequent):
-            slot = np.minimum(slot, len(self.frequent) - 1)
-            common = self.frequent[slot] == w.value
-        own = np.where(common, slot, len(self.frequent) + (w.value % np.uint64(BUCKETS)).astype(np.int64))
+            # few words share their last bits with a frequent one, so only these are searched for
+            near = np.zeros(1 << 16, bool)
+            near[self.frequent.astype(np.uint16)] = True
+            maybe = np.flatnonzero(near[w.value.astype(np.uint16)])
+            value = w.value[maybe]
+            slot = np.minimum(np.searchsorted(self.frequent, value), len(self.frequent) - 1)
+            common = self.frequent[slot] == value
+            own[maybe[common]] = slot[common]
         out = np.full(len(own) + SIDE * (w.texts() + 1), self.symbols, np.int64)
         out[np.arange(len(own)) + SIDE * (w.owner() + 1)] = own
         return out, w.first + SIDE * (np.arange(len(w.first)) + 1)
 
     def room(self, rows: int) -> np.ndarray:
-        """Memory for ``exps`` of up to ``rows`` places, used again by every batch."""
+        """Memory for the logits of up to ``rows`` places, used again by every batch."""
         return np.empty((rows, self.symbols), np.float32)
 
-    def exps(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and exponentials of the logits of all symbols at the places ``at``; the latter lie in ``room``."""
-        room = self.room(len(at)) if room is None else room
+    def hidden(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hidden layer at the places ``at``."""
         hidden = self.inner[0].take(symbols[at + PLACES[0]], axis=0)
         for table, k in zip(self.inner[1:], PLACES[1:], strict=True):
             hidden += table.take(symbols[at + k], axis=0)
-        np.tanh(hidden, out=hidden)
-        p = np.matmul(hidden, self.outer, out=room[: len(at)])
-        p += self.bias
-        if p.size and p.max() > 60:
-            np.minimum(p, 60, out=p)
-        return hidden, np.exp(p, out=p)
+        return np.tanh(hidden, out=hidden)
+
+    def _blocks(self, hidden: np.ndarray, room: np.ndarray, *, apart: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Exponentials of the logits of all symbols, ``ROWS`` places at once so that they stay in the cache, with the first
+        place of each block; the blocks follow one another in ``room`` if ``apart``, else each takes the place of the last."""
+        low = np.vstack([self.outer, self.bias])
+        high = np.ones((len(hidden), len(low)), np.float32)
+        high[:, :-1] = hidden
+        bounded = np.abs(low).sum(axis=0).max(initial=0) < 59  # of the hidden layer nothing passes 1
+        for a in range(0, len(hidden), ROWS):
+            p = room[a * apart :][: len(hidden[a : a + ROWS])]
+            np.matmul(high[a : a + ROWS], low, out=p)
+            if not bounded:
+                np.minimum(p, 60, out=p)
+            yield a, np.exp(p, out=p)
+
+    def exps(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and exponentials of the logits of all symbols at the places ``at``; the latter lie in ``room``."""
+        room = self.room(len(at)) if room is None else room
+        hidden = self.hidden(symbols, at)
+        for _ in self._blocks(hidden, room, apart=True):
+            pass
+        return hidden, room[: len(at)]
 
     def predict(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden layer and probabilities of all symbols at the places ``at``."""
-        hidden, p = self.exps(symbols, at, room)
-        p /= p.sum(axis=1, keepdims=True)
-        return hidden, p
+        room = self.room(len(at)) if room is None else room
+        hidden = self.hidden(symbols, at)
+        for _, p in self._blocks(hidden, room, apart=True):
+            p /= p.sum(axis=1, keepdims=True)
+        return hidden, room[: len(at)]
 
     def logs(self, symbols: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of the symbols at the places ``at``; the others are not divided out."""
-        _, p = self.exps(symbols, at, room)
-        return np.log(p[np.arange(len(at)), symbols[at]] / p.sum(axis=1))
+        """Log-probability of the symbols at the places ``at``; the others are not divided out.  ``room`` has ``ROWS`` rows, or
+        one for each place if these are fewer."""
+        room = self.room(min(len(at), ROWS)) if room is None else room
+        own, out = symbols[at], np.empty(len(at), np.float32)
+        for a, p in self._blocks(self.hidden(symbols, at), room, apart=False):
+            out[a : a + len(p)] = p[np.arange(len(p)), own[a : a + len(p)]] / p.sum(axis=1)
+        return np.log(out, out=out)
 
 
 @dataclass
@@ -143,19 +171,18 @@ class Shares:
 def _pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every byte of the words and an edge after each, the byte or edge before it, and where each word begins."""
     size = end - start + 1
-    begin = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(begin, size)
-    last = place == np.repeat(size, size) - 1
-    own = np.r_[data, 0].astype(np.int64)[np.minimum(np.repeat(start, size) + place, len(data))]
-    own[last] = _EDGE
-    before = np.where(place == 0, _EDGE, np.r_[_EDGE, own[:-1]])
+    stop = np.cumsum(size)
+    begin = stop - size
+    own = np.r_[data, 0].take(np.repeat(start - begin, size) + np.arange(int(size.sum()))).astype(np.int64)
+    own[stop - 1] = _EDGE
+    before = np.r_[_EDGE, own[:-1]][: len(own)]
     return own, before, begin
 
 
 def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, follow: np.ndarray) -> np.ndarray:
     """Log-probability of each word byte by byte."""
     own, before, begin = _pairs(data, start, end)
-    return np.add.reduceat(follow[before, own], begin) if len(begin) else np.zeros(0)
+    return np.add.reduceat(follow.ravel().take(before * len(follow) + own), begin) if len(begin) else np.zeros(0)
 
 
 class _Trainer:
@@ -165,19 +192,23 @@ class _Trainer:
         self.net = net
         self.sums = [np.full_like(x, 1e-2) for x in (net.inner, net.outer, net.bias)]
         self.room = net.room(BATCH)
+        self.cells = np.arange(net.inner[0].size).reshape(-1, WIDTH)
 
     def learn(self, symbols: np.ndarray, at: np.ndarray) -> None:
         net = self.net
         hidden, p = net.predict(symbols, at, self.room)
         p[np.arange(len(at)), symbols[at]] -= 1
-        back = (p @ net.outer.T) * (1 - hidden**2)
-        rows = np.stack([symbols[at + k] + j * len(net.inner[0]) for j, k in enumerate(PLACES)])
-        cells = (rows[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        inner = np.bincount(cells, np.broadcast_to(back, (len(PLACES), *back.shape)).ravel(), net.inner.size).astype(np.float32).reshape(net.inner.shape)
+        back = ((p @ net.outer.T) * (1 - hidden**2)).astype(float).ravel()
+        inner = np.empty_like(net.inner)
+        for table, k in zip(inner, PLACES, strict=True):
+            cells = self.cells.take(symbols[at + k], axis=0).ravel()
+            table[:] = np.bincount(cells, back, table.size).reshape(table.shape)
         for value, gradient, total in zip((net.inner, net.outer, net.bias), (inner, hidden.T @ p, p.sum(axis=0)), self.sums, strict=True):
             gradient /= len(at)
             total += gradient**2
-            value -= RATE * gradient / np.sqrt(total)
+            gradient *= RATE
+            gradient /= np.sqrt(total)
+            value -= gradient
 
 
 def places(symbols: np.ndarray, first: np.ndarray, shift: np.ndarray, turn: int, rounds: int, end: int) -> np.ndarray:
@@ -206,7 +237,8 @@ def _learner(shared, turn: int, rounds: int):
 
 def word_counts(docs: DataFrame, *, text="text") -> DataFrame:
     """(word, n) of every word of all texts."""
-    each = docs.select(F.explode(F.split(fold(docs[text]), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    spaced = F.translate(F.coalesce(docs[text], F.lit("")), string.ascii_uppercase + _BLANKS, string.ascii_lowercase + " " * len(_BLANKS))
+    each = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -300,7 +332,7 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", net: Network | None
     @F.arrow_udf("n_tokens long, log_prob double, h array<long>, spelled array<double>")
     def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net, shares = shared.value
-        room = net.room(SCORE_BATCH)
+        room = net.room(ROWS)
         for column in texts:
             w = words(*utf8(column), SPACED)
             symbols, first = net.fenced(w)

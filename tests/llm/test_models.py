@@ -172,3 +172,50 @@ def test_log_probabilities_without_dividing_all():
         np.testing.assert_array_equal(net.logs(symbols, at, room[: max(len(at), 1)] if len(at) <= 128 else None), np.log(p[np.arange(len(at)), symbols[at]]))
         hidden, shared = net.exps(symbols, at[:128], room)
         assert np.shares_memory(shared, room) or not len(at)
+
+
+def test_many_places_need_few_rows():
+    """Blocks of places in a room of one block give what all places at once give; logits past the bound too."""
+    rng, n = np.random.default_rng(4), 40
+    symbols = np.r_[n, n, rng.integers(0, n, 500), n, n]
+    at = np.arange(2, 502)
+    for high in (0, 60):
+        net = lm_score.Network(np.zeros(0, np.uint64), *(rng.normal(0, 0.3, shape).astype(np.float32) for shape in ((4, n + 1, 16), (16, n), (n,))))
+        net.bias[:3] += high
+        logits = np.minimum(np.tanh(sum(net.inner[j][symbols[at + k]] for j, k in enumerate(lm_score.PLACES))) @ net.outer + net.bias, 60)
+        want = logits - np.log(np.exp(logits.astype(float)).sum(axis=1, keepdims=True))
+        got = net.logs(symbols, at, net.room(lm_score.ROWS))
+        np.testing.assert_array_equal(got, net.logs(symbols, at))
+        np.testing.assert_allclose(got, want[np.arange(500), symbols[at]], rtol=1e-4, atol=1e-4)
+        np.testing.assert_allclose(net.predict(symbols, at)[1], np.exp(want), rtol=1e-3, atol=1e-6)
+
+
+def test_learning_step_against_the_plain_formula():
+    rng, n = np.random.default_rng(5), 30
+    net = lm_score.Network(np.zeros(0, np.uint64), *(rng.normal(0, 0.5, shape).astype(np.float32) for shape in ((4, n + 1, 16), (16, n), (n,))))
+    symbols = np.r_[n, n, rng.integers(0, n, 300), n, n]
+    at = np.arange(2, 302)
+    hidden, p = net.predict(symbols, at)
+    p = p - np.eye(n)[symbols[at]]
+    back = (p @ net.outer.T) * (1 - hidden**2)
+    inner = np.zeros(net.inner.shape)
+    for j, k in enumerate(lm_score.PLACES):
+        np.add.at(inner[j], symbols[at + k], back)
+    want = [x - lm_score.RATE * g / 300 / np.sqrt(1e-2 + (g / 300) ** 2) for x, g in ((net.inner, inner), (net.outer, hidden.T @ p), (net.bias, p.sum(axis=0)))]
+    lm_score._Trainer(net).learn(symbols, at)
+    for x, y in zip((net.inner, net.outer, net.bias), want, strict=True):
+        np.testing.assert_allclose(x, y, atol=1e-4)
+
+
+def test_symbols_of_words_that_share_their_last_bits():
+    frequent = np.sort(np.array([5, 5 + (1 << 16), 9 + (1 << 40)], np.uint64))
+    net = lm_score.Network(frequent, np.zeros((4, 68, 16)), np.zeros((16, 67)), np.zeros(67))
+    value = np.array([5, 5 + (1 << 16), 5 + (1 << 17), 9, 9 + (1 << 40), (1 << 64) - 1], np.uint64)
+    spot = np.arange(len(value))
+    symbols, first = net.fenced(lm_score.Words(np.zeros(6, np.uint8), spot, spot + 1, value, np.array([0, 6])))
+    assert list(symbols) == [67, 67, 0, 1, 3 + 5, 3 + 9, 2, 3 + 63, 67, 67] and list(first) == [2, 10]
+
+
+def test_words_between_every_blank(spark):
+    docs = spark.createDataFrame([(1, " A\tb\n\nB\v\u00c4a\f\rb\u00a0\u0085 "), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.word: r.n for r in lm_score.word_counts(docs).collect()} == {"a": 1, "b": 2, "\u00c4a": 1, "b\u00a0\u0085": 1}
